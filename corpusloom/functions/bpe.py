@@ -74,7 +74,7 @@ def word_char_counts(words: DataFrame) -> DataFrame:
 def pair_counts(words: DataFrame, symbols: str = "symbols") -> DataFrame:
     """``(left, right, n)``: how often two symbols are neighbours, over all occurrences.
 
-    ``symbols`` is an array; a null symbol ends a pair.
+    ``symbols`` is an array of strings; an empty symbol belongs to no pair.
     """
     n = F.size(symbols)
     pairs = F.arrays_zip(
@@ -83,10 +83,9 @@ def pair_counts(words: DataFrame, symbols: str = "symbols") -> DataFrame:
     return (
         words.where(n >= 2)
         .select(F.explode(pairs).alias("p"), "n")
-        .select("p.left", "p.right", "n")
-        .where("left is not null and right is not null")
-        .groupBy("left", "right")
+        .groupBy("p.left", "p.right")
         .agg(F.sum("n").alias("n"))
+        .where("left <> '' and right <> ''")
     )
 
 
@@ -109,14 +108,9 @@ def _initial_symbols(words: DataFrame, covered: Sequence[str]) -> DataFrame:
 
 
 def _symbol_pairs(words: DataFrame) -> DataFrame:
-    parts = F.split(F.replace(F.col("s"), F.lit("<"), F.lit("")), ">")
-    listed = words.select(
-        F.transform(
-            F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: F.when(x != "", x).cast("int")
-        ).alias("symbols"),
-        "n",
-    )
-    return pair_counts(listed)
+    inner = F.expr("substring(s, 2, length(s) - 2)")
+    counts = pair_counts(words.select(F.split(inner, "><").alias("symbols"), "n"))
+    return counts.select(F.col("left").cast("int"), F.col("right").cast("int"), "n")
 
 
 def accept_prefix(
@@ -174,8 +168,11 @@ def train_bpe(
     vocab_id = {ord(c): base + i for i, c in enumerate(covered)}
     known: dict[str, int] = {}
     learned: list[tuple[int, str, str, int]] = []
-    state = _initial_symbols(words, covered).where(F.col("s").contains("><")).persist()
-    rounds = 0
+    # Every round passes over all words, so they are spread over all cores.
+    cores = spark.sparkContext.defaultParallelism
+    state = _initial_symbols(words.repartition(cores, "word"), covered)
+    state = state.where(F.col("s").contains("><")).persist()
+    rounds, stale = 0, []
     while room > 0:
         top = (
             _symbol_pairs(state)
@@ -183,6 +180,8 @@ def train_bpe(
             .limit(ROUND_PAIRS)
             .collect()
         )
+        while stale:
+            stale.pop().unpersist()
         if not top:
             break
         taken = accept_prefix([(r["left"], r["right"]) for r in top], piece, known, room)
@@ -201,11 +200,11 @@ def train_bpe(
         following = state.select("n", merged.alias("s")).where(F.col("s").contains("><"))
         if rounds % STAGE_EVERY == 0:
             following = stage(following, "symbols")
-        following = following.persist()
-        following.count()
-        state.unpersist()
-        state = following
-    state.unpersist()
+        # The next count fills the new copy from the old one, which can go after that.
+        stale.append(state)
+        state = following.persist()
+    for df in [*stale, state]:
+        df.unpersist()
 
     merges = spark.createDataFrame(learned, "rank int, left string, right string, id int")
     ranks = spark.createDataFrame(

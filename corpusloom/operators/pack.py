@@ -40,6 +40,21 @@ def pack_blocks(
     Each row finds the blocks it touches from its token offset in the batch and sends
     one slice to each, so what moves is tokens once, never a row per token.
     """
+    blocks = cut_blocks(rows, block_size, batch_size, ordinal, ids, by)
+    return blocks.where(F.size("input_ids") == block_size).withColumn(
+        "attention_mask", F.array_repeat(F.lit(1), block_size)
+    )
+
+
+def cut_blocks(
+    rows: DataFrame,
+    block_size: int,
+    batch_size: int | None = 1000,
+    ordinal: str = "ord",
+    ids: str = "input_ids",
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """The blocks of each batch with its tail, and without a mask."""
     if block_size <= 0:
         raise ValueError("block_size must be positive")
     whole = batch_size is None or batch_size <= 0
@@ -79,14 +94,11 @@ def _assemble(placed: DataFrame, block_size: int, batch: Sequence[str]) -> DataF
         F.expr(f"__start div {block_size}"), F.expr(f"(__start + __n - 1) div {block_size}")
     )
     pieces = placed.select(*batch, "__ord", F.explode(F.transform(touched, piece)).alias("p"))
-    blocks = (
+    return (
         pieces.groupBy(*batch, F.col("p.block_ord").alias("block_ord"))
         .agg(F.sort_array(F.collect_list(F.struct("__ord", F.col("p.part").alias("part")))).alias("ps"))
         .select(*batch, "block_ord", F.flatten(F.col("ps.part")).alias("input_ids"))
     )
-    return blocks.where(F.size("input_ids") == block_size).withColumn(
-        "attention_mask", F.array_repeat(F.lit(1), block_size)
-    )
 
 
 def chunk_row(ids: str | Column, n: int) -> Column:

@@ -125,10 +125,14 @@ def read_shards(spark: SparkSession, path: str, schema: StructType | None = None
 
 
 def read_stream(
-    spark: SparkSession, path: str, schema: StructType, max_files: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    max_files: int | None = None,
+    pattern: str = "*.parquet",
 ) -> DataFrame:
-    """The same files as a stream; nothing is loaded ahead."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
+    """The files of a directory as a stream; nothing is loaded ahead."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path)

@@ -104,9 +104,21 @@ def append_shards(
     return _commit(blocks, path, max_samples, ord, lang, total, total, done)
 
 
-def _commit(df, path, max_samples, ord, lang, start, total, done) -> DataFrame:
+def commit_once(
+    blocks: DataFrame, path: str, number: int, max_samples: int = MAX_SAMPLES_PER_SHARD, ord: str = "ord"
+) -> DataFrame:
+    """Append blocks as commit ``number``; a repeated call with that number does nothing."""
+    spark = blocks.sparkSession
+    if progress(spark, path).where(F.col("commit") == number).count():
+        return progress(spark, path)
+    _, total = _rows_done(spark, path, "all")
+    return _commit(blocks, path, max_samples, ord, "all", total, total, False, number)
+
+
+def _commit(df, path, max_samples, ord, lang, start, total, done, number=None) -> DataFrame:
     spark = df.sparkSession
-    number = _next_commit(spark, path)
+    if number is None:
+        number = _next_commit(spark, path)
     target = f"{path}/commit={number}"
     _write(df, target, max_samples, ord, start)
     rows = _count_rows(spark, target)
