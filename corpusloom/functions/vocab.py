@@ -124,3 +124,35 @@ def rank_pieces(counts: DataFrame, piece: str, n: str, size: int, first_id: int)
     return top.select(
         (F.row_number().over(order) + (first_id - 1)).alias("id"), F.col(piece).alias("piece")
     )
+
+
+def special_ids(requested: DataFrame) -> DataFrame:
+    """Reserved tokens and, after them, the requested ones that are not reserved.
+
+    ``requested`` is a short table ``(piece)``; its pieces take ids in their own order.
+    """
+    spark = requested.sparkSession
+    reserved = special_rows(spark, ())
+    fresh = requested.select("piece").distinct().join(F.broadcast(reserved), "piece", "left_anti")
+    order = W.orderBy("piece")  # a vocabulary's worth of rows at most
+    return reserved.unionByName(
+        fresh.select(
+            (F.row_number().over(order) + (len(RESERVED) - 1)).alias("id"),
+            "piece",
+            F.lit("user").alias("kind"),
+        )
+    )
+
+
+def byte_usage(byte_pieces: DataFrame, counts: DataFrame, covered: DataFrame) -> DataFrame:
+    """``(id, piece, n)``: bytes needed for the characters that are not covered."""
+    outside = counts.join(covered.select("ch"), "ch", "left_anti")
+    hexes = F.regexp_extract_all(F.hex(F.encode("ch", "UTF-8")), F.lit("(..)"), F.lit(1))
+    used = (
+        outside.select(F.explode(hexes).alias("h"), "n")
+        .groupBy(F.concat(F.lit("<0x"), "h", F.lit(">")).alias("piece"))
+        .agg(F.sum("n").alias("n"))
+    )
+    return byte_pieces.join(used, "piece", "left").select(
+        "id", "piece", F.coalesce("n", F.lit(0)).alias("n")
+    )
