@@ -22,7 +22,7 @@ from corpusloom.functions.vocab import (
     user_symbols,
 )
 from corpusloom.operators.sizing import char_coverage
-from corpusloom.session import stage
+from corpusloom.session import spread, stage
 
 # A run of word marks stays with the word that follows it.
 WORD_PATTERN = f"{WORD_MARK}*[^{WORD_MARK}]+|{WORD_MARK}+"
@@ -59,7 +59,7 @@ def word_counts(
         col = F.regexp_replace(col, "|".join(map(re.escape, symbols)), "\n")
     runs = F.split(F.replace(col, F.lit(" "), F.lit(WORD_MARK)), "\n")
     words = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(WORD_PATTERN), F.lit(0))))
-    return lines.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return spread(lines).select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def word_char_counts(words: DataFrame) -> DataFrame:
@@ -325,7 +325,7 @@ def encode_bpe(df: DataFrame, model: BpeModel, text: str = "text", out: str = "i
         for texts in batches:
             yield texts.map(one)
 
-    return df.withColumn(out, encode(text))
+    return spread(df).withColumn(out, encode(text))
 
 
 def ids_decoder(model: BpeModel, skip_special: bool = False, spaces_between: bool = False):
@@ -378,7 +378,7 @@ def decode_bpe(
         for lists in batches:
             yield lists.map(one)
 
-    return df.withColumn(out, decode(ids))
+    return spread(df).withColumn(out, decode(ids))
 
 
 def compare_tokenizations(

@@ -74,7 +74,7 @@ def interleave_documents(
         ranked = ranked.withColumn("__left", F.slice("__all", F.lit(1), F.col(src)))
     else:
         ranked = dense_ordinal(
-            df, order, by=[src], out="__rank", enrich=lambda b: _with_counts(b, df, src)
+            df, order, by=[src], out="__rank", enrich=lambda b, n: _with_counts(b, n, src)
         )
     if stop == "first":
         ranked = ranked.where(F.col("__rank") < F.array_min("__all"))
@@ -82,9 +82,9 @@ def interleave_documents(
     return ranked.withColumn(out, pos.cast("bigint")).drop("__rank", "__all", "__left")
 
 
-def _with_counts(buckets: DataFrame, df: DataFrame, src: str) -> DataFrame:
+def _with_counts(buckets: DataFrame, rows: str, src: str) -> DataFrame:
     """Give each light bucket row the sizes of all sources, and of those before its own."""
-    counts = df.groupBy(src).agg(F.count(F.lit(1)).alias("__cnt"))
+    counts = buckets.groupBy(src).agg(F.sum(rows).alias("__cnt"))
     in_order = W.orderBy(src)  # one row per source
     counts = counts.select(
         src,

@@ -14,13 +14,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-# Keys per bucket of the window that carries whole rows: 2^14.
-ROW_BITS = 14
+# Keys per bucket of the window that carries whole rows: 2^10.
+ROW_BITS = 10
 # Buckets per window over the light totals: 2^20.
 TOTAL_BITS = 20
-# Order keys are taken to lie in [0, 2^34); larger ones stay correct, with more rows
-# in the topmost window.
-KEY_BITS = 34
+# Order keys are taken to lie in [0, 2^30). Larger ones stay correct, with more rows in
+# the topmost window; a larger ``key_bits`` adds a level of totals for them.
+KEY_BITS = 30
 
 
 def running_total(
@@ -32,13 +32,14 @@ def running_total(
     out: str = "before",
     row_bits: int = ROW_BITS,
     key_bits: int = KEY_BITS,
-    enrich: Callable[[DataFrame], DataFrame] | None = None,
+    enrich: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows that come earlier.
 
     Rows are ordered by ``(*lead, order)`` and the total restarts for each ``by``.
-    The order must be unique inside ``by`` and its columns non-null. ``enrich`` may add
-    columns to the light bucket table, which spares the big side another join.
+    The order must be unique inside ``by`` and its columns non-null. ``enrich`` gets the
+    light bucket table and the name of its total column; the columns that it adds reach
+    the rows by the same join.
     """
     bucket, amount, base = f"__b_{out}", f"__v_{out}", f"__base_{out}"
     group = [*by, *lead, bucket]
@@ -60,7 +61,7 @@ def running_total(
             ),
         )
     if enrich is not None:
-        bases = enrich(bases)
+        bases = enrich(bases, amount)
     return (
         rows.join(bases.drop(amount), group)
         .withColumn(out, (F.col(out) + F.col(base)).cast("bigint"))

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.operators.order import ROW_BITS, running_total
+from corpusloom.operators.order import running_total
 
 # Batches up to this many documents are one window group each.
-WINDOW_BATCH = 1 << ROW_BITS
+WINDOW_BATCH = 1 << 14
 IGNORE_LABEL = -100
 
 

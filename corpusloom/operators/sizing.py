@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.session import spread
+
 # Steps per epoch when the number of samples is unknown.
 DEFAULT_STEPS_PER_EPOCH = 100_000
 
@@ -74,7 +76,7 @@ def id_range(blocks: DataFrame, ids: str = "input_ids") -> DataFrame:
 def char_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """``(ch, n)``: occurrences of each character."""
     return (
-        texts.where(F.length(text) > 0)
+        spread(texts.where(F.length(text) > 0))
         .select(F.explode(F.split(text, "")).alias("ch"))
         .groupBy("ch")
         .agg(F.count(F.lit(1)).alias("n"))

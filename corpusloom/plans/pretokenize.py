@@ -11,7 +11,7 @@ from corpusloom.functions.tokens import EOS_ID, tokenize
 from corpusloom.operators.mix import concat_ordinal, interleave_documents
 from corpusloom.operators.order import dense_ordinal
 from corpusloom.operators.pack import WINDOW_BATCH, batch_of, pack_blocks
-from corpusloom.operators.rows import cap_documents, filter_nonempty, filter_valid_text
+from corpusloom.operators.rows import cap_documents, filter_nonempty, filter_valid_text, has_text
 
 
 @dataclass(frozen=True)
@@ -36,10 +36,11 @@ def order_documents(docs: DataFrame, opts: PretokenizeOptions) -> DataFrame:
     Blank documents take part in the interleaving and count towards the cap; they are
     dropped after that.
     """
-    mixed = interleave_documents(docs, stop=opts.interleave)
+    # The flag is made at the scan: counting the valid documents then moves no text.
+    mixed = interleave_documents(docs.withColumn("__valid", has_text()), stop=opts.interleave)
     if opts.max_documents is not None:
         mixed = cap_documents(mixed, opts.max_documents)
-    return dense_ordinal(filter_valid_text(mixed), "pos", out="ord")
+    return dense_ordinal(mixed.where("__valid").drop("__valid"), "pos", out="ord")
 
 
 def tokenize_documents(

@@ -20,7 +20,7 @@ from corpusloom.plans.pretokenize import (
     pretokenize_by_language,
     tokenize_documents,
 )
-from corpusloom.session import scratch_path, stage
+from corpusloom.session import scratch_path, spread, stage
 from corpusloom.sources import catalog, files, materialize, shards
 from corpusloom.streaming import flows
 
@@ -43,7 +43,7 @@ def query(name: str, sql: str | None = None):
 
 LANGS = ("en", "fr", "de", "es")
 BLOCK, BATCH = 128, 100
-SHARD = 200
+SHARD = 2000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -79,7 +79,7 @@ def big(c: Column) -> Column:
 
 def token_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Whole texts as code points, closed with EOS."""
-    return documents(spark, sf).select(
+    return spread(documents(spark, sf)).select(
         "src_ord", "doc_ord", "lang", tokens.tokenize("text", eos_id=tokens.EOS_ID).alias("input_ids")
     )
 
@@ -489,7 +489,7 @@ def _(spark, sf):
     SELECT doc_ord, len(ids) AS n_tokens, md5(array_to_string(ids, ' ')) AS ids_md5 FROM i""",
 )
 def _(spark, sf):
-    ids = documents(spark, sf).select("doc_ord", tokens.tokenize().alias("input_ids"))
+    ids = spread(documents(spark, sf)).select("doc_ord", tokens.tokenize().alias("input_ids"))
     return block_out(ids, "doc_ord")
 
 
@@ -500,7 +500,7 @@ def _(spark, sf):
     SELECT doc_ord, len(ids) AS n_tokens, md5(array_to_string(ids, ' ')) AS ids_md5 FROM i""",
 )
 def _(spark, sf):
-    ids = documents(spark, sf).select("doc_ord", tokens.tokenize(tokenizer="byte").alias("input_ids"))
+    ids = spread(documents(spark, sf)).select("doc_ord", tokens.tokenize(tokenizer="byte").alias("input_ids"))
     return block_out(ids, "doc_ord")
 
 
@@ -510,7 +510,7 @@ def _(spark, sf):
     SELECT doc_ord, len(ids) AS n_tokens, md5(array_to_string(ids, ' ')) AS ids_md5 FROM i""",
 )
 def _(spark, sf):
-    ids = documents(spark, sf).select("doc_ord", tokens.tokenize(max_length=BLOCK).alias("input_ids"))
+    ids = spread(documents(spark, sf)).select("doc_ord", tokens.tokenize(max_length=BLOCK).alias("input_ids"))
     return block_out(ids, "doc_ord")
 
 

@@ -60,6 +60,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df):
+    """Spread a small input over all cores before costly work on each row.
+
+    A table of a few splits would leave cores idle. The size that Spark estimates decides:
+    anything that fills every core with splits of its own is left where it is.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
+
+
 def stage(df, name: str = "stage"):
     """Write ``df`` once to the scratch folder and read it back.
 
