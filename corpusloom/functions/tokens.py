@@ -134,9 +134,19 @@ def pad_or_eos(pad_id: str | Column, eos_id: str | Column) -> Column:
     return F.coalesce(_col(pad_id), _col(eos_id))
 
 
-def codepoint_char(c: Column) -> Column:
-    """The character of a code point, also above U+FFFF."""
-    return F.decode(F.unhex(F.lpad(F.hex(c.cast("bigint")), 8, "0")), "UTF-32")
+def _point_hex(c: Column) -> Column:
+    """A code point as eight hex digits; they reach above U+FFFF."""
+    return F.lpad(F.hex(c.cast("bigint")), 8, "0")
+
+
+def _text_hex(text: str) -> str:
+    return text.encode("utf-32-be").hex().upper()
+
+
+def _hex_text(digits: Column) -> Column:
+    """Join the digits of a list and decode them at once."""
+    text = F.decode(F.unhex(F.array_join(digits, "")), "UTF-32")
+    return F.replace(text, F.lit(WORD_MARK), F.lit(" "))
 
 
 def decode_codepoint(
@@ -154,22 +164,20 @@ def decode_codepoint(
     c = _col(ids)
     specials = dict(specials or {})
     if not specials:
-        hexes = F.transform(c, lambda x: F.lpad(F.hex(x.cast("bigint")), 8, "0"))
-        text = F.decode(F.unhex(F.array_join(hexes, "")), "UTF-32")
-        return F.replace(text, F.lit(WORD_MARK), F.lit(" "))
+        return _hex_text(F.transform(c, _point_hex))
     special_ids = list(specials)
     if skip_special:
         kept = F.filter(c, lambda x: ~x.isin(*special_ids))
         return decode_codepoint(kept)
 
     def render(x: Column, i: Column) -> Column:
-        out = codepoint_char(F.when(~x.isin(*special_ids), x))
+        out = _point_hex(x)
         for sid, content in specials.items():
-            out = F.when(x == sid, F.lit(content)).otherwise(out)
+            out = F.when(x == sid, F.lit(_text_hex(content))).otherwise(out)
         if not spaces_between:
             return out
         before = F.try_element_at(c, F.when(i > 0, i).otherwise(F.lit(1)))
         parted = (i > 0) & (x.isin(*special_ids) | before.isin(*special_ids))
-        return F.concat(F.when(parted, F.lit(" ")).otherwise(F.lit("")), out)
+        return F.concat(F.when(parted, F.lit(_text_hex(" "))).otherwise(F.lit("")), out)
 
-    return F.replace(F.array_join(F.transform(c, render), ""), F.lit(WORD_MARK), F.lit(" "))
+    return _hex_text(F.transform(c, render))

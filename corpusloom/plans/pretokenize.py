@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,17 @@ from corpusloom.operators.mix import concat_ordinal, interleave_documents
 from corpusloom.operators.order import dense_ordinal
 from corpusloom.operators.pack import WINDOW_BATCH, batch_of, pack_blocks
 from corpusloom.operators.rows import cap_documents, filter_nonempty, filter_valid_text, has_text
+from corpusloom.session import stage
+from corpusloom.sources.shards import (
+    MAX_SAMPLES_PER_SHARD,
+    block_ordinal,
+    finished_languages,
+    progress,
+    read_committed,
+    write_dataset_info,
+    write_languages,
+    write_shards,
+)
 
 
 @dataclass(frozen=True)
@@ -66,6 +78,50 @@ def pretokenize(docs: DataFrame, opts: PretokenizeOptions = PretokenizeOptions()
     return filter_nonempty(pack_blocks(tokens, opts.block_size, opts.batch_size))
 
 
+def pretokenize_to_shards(
+    docs: DataFrame,
+    path: str,
+    opts: PretokenizeOptions = PretokenizeOptions(),
+    max_samples: int = MAX_SAMPLES_PER_SHARD,
+    resume: bool = False,
+) -> DataFrame:
+    """The whole run, from documents to shards with their sidecar; gives the progress table.
+
+    The blocks are staged: numbering and writing them reads them twice.
+    """
+    blocks = block_ordinal(stage(pretokenize(docs, opts), "blocks"))
+    table = write_shards(blocks, path, max_samples, resume=resume)
+    write_dataset_info(read_committed(docs.sparkSession, path), path)
+    return table
+
+
+def pretokenize_languages_to_shards(
+    docs: DataFrame,
+    path: str,
+    langs: Sequence[str],
+    opts: PretokenizeOptions = PretokenizeOptions(),
+    max_samples: int = MAX_SAMPLES_PER_SHARD,
+    resume: bool = False,
+) -> DataFrame | None:
+    """One commit per language in list order; ``langs[i]`` names ``src_ord`` ``i``.
+
+    With ``resume`` the languages that are done are neither read nor tokenized again.
+    """
+    spark = docs.sparkSession
+    skip = set(finished_languages(spark, path)) if resume else set()
+    todo = [(i, lang) for i, lang in enumerate(langs) if lang not in skip]
+    if todo:
+        if opts.max_documents is not None:
+            docs = cap_documents(concat_ordinal(docs, out="__at"), opts.max_documents, "__at").drop("__at")
+            opts = replace(opts, max_documents=None)
+        wanted = docs.where(F.col("src_ord").isin([i for i, _ in todo]))
+        blocks = stage(pretokenize_by_language(wanted, opts), "blocks")
+        parts = ((lang, block_ordinal(blocks.where(F.col("src_ord") == i))) for i, lang in todo)
+        write_languages(parts, path, max_samples, resume=resume)
+        write_dataset_info(read_committed(spark, path), path)
+    return progress(spark, path)
+
+
 def pretokenize_by_language(
     docs: DataFrame, opts: PretokenizeOptions = PretokenizeOptions()
 ) -> DataFrame:

@@ -163,8 +163,8 @@ class StreamPacker:
         last = self.last_number(spark)
         if last < 0:
             return spark.createDataFrame([], BLOCK_SCHEMA)
-        paths = [f"{self.path}/commit={i}" for i in range(last + 1)]
-        return spark.read.schema(BLOCK_SCHEMA).parquet(*paths)
+        found = spark.read.schema(f"{BLOCK_SCHEMA}, commit bigint").parquet(self.path)
+        return found.where(F.col("commit") <= last).drop("commit")
 
 
 class StreamTake:
@@ -173,17 +173,23 @@ class StreamTake:
     def __init__(self, path: str, n: int, order: Sequence[str]):
         self.path, self.n, self.order = path, n, list(order)
 
-    def taken(self, spark: SparkSession, before: int) -> int:
-        """Rows that the micro-batches below ``before`` have written."""
-        paths = [p for i in range(before) if path_exists(spark, p := f"{self.path}/part={i}")]
-        return spark.read.parquet(*paths).count() if paths else 0
+    def taken(self, spark: SparkSession, number: int) -> int:
+        """Rows taken up to the end of micro-batch ``number``."""
+        path = f"{self.path}/_taken/{number}"
+        if number < 0 or not path_exists(spark, path):
+            return 0
+        return spark.read.schema("taken bigint").parquet(path).head()[0]
 
     def __call__(self, df: DataFrame, number: int) -> None:
-        left = self.n - self.taken(df.sparkSession, number)
-        if left > 0:
-            df.orderBy(*self.order).limit(left).write.mode("overwrite").parquet(
-                f"{self.path}/part={number}"
-            )
+        spark, before = df.sparkSession, self.taken(df.sparkSession, number - 1)
+        rows, path = 0, f"{self.path}/part={number}"
+        if before < self.n:
+            first = df.orderBy(*self.order).limit(self.n - before)
+            first.write.mode("overwrite").parquet(path)
+            rows = spark.read.schema(df.schema).parquet(path).count()
+        spark.createDataFrame([(before + rows,)], "taken bigint").coalesce(1).write.mode(
+            "overwrite"
+        ).parquet(f"{self.path}/_taken/{number}")
 
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/part=*")

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.batches import map_batches
 from corpusloom.plans.loading import load_manifest, load_shards
+from corpusloom.plans.pretokenize import (
+    PretokenizeOptions,
+    pretokenize,
+    pretokenize_languages_to_shards,
+    pretokenize_to_shards,
+)
 from corpusloom.sources import catalog, files, shards
 from corpusloom.sources.materialize import DatasetCache, fingerprint
 from corpusloom.session import scratch_root
@@ -242,3 +248,30 @@ def test_scratch_folder_comes_from_the_session(spark):
     root = scratch_root(spark)
     assert root == configured.rstrip("/") if configured else os.path.isdir(root)
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+# Whole runs
+
+
+def run_docs(spark, keep=None):
+    rows = [(s, i, f"text {s} {i} " * 3) for s in range(3) for i in range(6 + s)]
+    return spark.createDataFrame([r for r in rows if keep is None or r[0] in keep], "src_ord int, doc_ord bigint, text string")
+
+
+def test_run_to_shards(spark, tmp_path):
+    opts = PretokenizeOptions(block_size=8, batch_size=5, truncate=None)
+    table = pretokenize_to_shards(run_docs(spark), str(tmp_path / "s"), opts, 10)
+    stored = shards.read_committed(spark, str(tmp_path / "s"))
+    assert stored.count() == table.head()["rows_done"] == pretokenize(run_docs(spark), opts).count()
+    assert spark.read.json(str(tmp_path / "s/_dataset_info")).head()["num_examples"] == stored.count()
+
+
+def test_language_run_resumes_with_the_missing_language(spark, tmp_path):
+    opts = PretokenizeOptions(block_size=8, batch_size=5, truncate=None, max_documents=17)
+    whole, parts = str(tmp_path / "w"), str(tmp_path / "p")
+    pretokenize_languages_to_shards(run_docs(spark), whole, ["a", "b", "c"], opts, 10)
+    pretokenize_languages_to_shards(run_docs(spark, {0, 1}), parts, ["a", "b"], opts, 10)
+    pretokenize_languages_to_shards(run_docs(spark), parts, ["a", "b", "c"], opts, 10, resume=True)
+    view = lambda p: sorted((r["shard"], r["input_ids"]) for r in shards.read_committed(spark, p).collect())
+    assert view(whole) == view(parts)
+    assert shards.finished_languages(spark, parts) == ["a", "b", "c"]
