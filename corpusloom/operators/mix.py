@@ -8,7 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.operators.order import dense_ordinal
+from corpusloom.operators.order import ROW_BITS, dense_ordinal, key_bits_for, measure_key_bits
+
+# Sources whose sizes may come to the driver.
+MAX_LISTED_SOURCES = 1_000
 
 
 def concat_sources(sources: Sequence[DataFrame], src: str = "src_ord") -> DataFrame:
@@ -53,6 +56,8 @@ def interleave_documents(
     out: str = "pos",
     rank: str | None = None,
     counts: Sequence[int] | None = None,
+    row_bits: int = ROW_BITS,
+    sizes: tuple[Sequence[int] | None, int] | None = None,
 ) -> DataFrame:
     """Add ``out``, the position in a round-robin over the sources, one document each.
 
@@ -60,26 +65,49 @@ def interleave_documents(
     ``stop="first"``: every source gives as many documents as the shortest one has.
 
     The position follows from the rank in the source and the sizes of all sources, so
-    nothing is sorted globally. When ``rank`` (0-based, dense) and ``counts`` (size of
-    source 0, 1, ...) are known, as with sources made of whole files, there is no
-    shuffle at all.
+    nothing is sorted globally. Sizes and largest keys come from one scan of the key
+    columns, or from ``sizes`` if ``source_sizes`` was asked before. When ``rank`` (0-based, dense) and ``counts`` (size of source 0, 1, ...) are
+    known, as with sources made of whole files, there is neither a scan nor a shuffle.
     """
     if stop not in ("all", "first"):
         raise ValueError(f"stop must be 'all' or 'first', not {stop!r}")
     if (rank is None) != (counts is None):
         raise ValueError("rank and counts belong together")
-    if counts is not None:
-        sizes = F.array(*[F.lit(int(c)).cast("bigint") for c in counts])
-        ranked = df.withColumn("__rank", F.col(rank).cast("bigint")).withColumn("__all", sizes)
-        ranked = ranked.withColumn("__left", F.slice("__all", F.lit(1), F.col(src)))
-    else:
+    if counts is None:
+        counts, key_bits = sizes or source_sizes(df, src, order)
+        enrich = None if counts is not None else lambda b, n: _with_counts(b, n, src)
         ranked = dense_ordinal(
-            df, order, by=[src], out="__rank", enrich=lambda b, n: _with_counts(b, n, src)
+            df, order, by=[src], out="__rank", row_bits=row_bits, key_bits=key_bits, enrich=enrich
         )
+    else:
+        ranked = df.withColumn("__rank", F.col(rank).cast("bigint"))
+    if counts is not None:
+        listed = F.array(*[F.lit(int(c)).cast("bigint") for c in counts])
+        ranked = ranked.withColumn("__all", listed)
+        ranked = ranked.withColumn("__left", F.slice("__all", F.lit(1), F.col(src)))
     if stop == "first":
         ranked = ranked.where(F.col("__rank") < F.array_min("__all"))
     pos = _position(F.col("__rank"), F.col("__all"), F.col("__left"), stop)
-    return ranked.withColumn(out, pos.cast("bigint")).drop("__rank", "__all", "__left")
+    return ranked.withColumn(out, F.coalesce(pos, F.lit(0)).cast("bigint")).drop(
+        "__rank", "__all", "__left"
+    )
+
+
+def source_sizes(
+    df: DataFrame, src: str = "src_ord", order: str = "doc_ord"
+) -> tuple[list[int] | None, int]:
+    """``(size of each source, bits of the largest key)``.
+
+    The sizes are None, and stay in a table, when there are more than 1,000 sources or
+    they are not numbered 0, 1, 2, ...
+    """
+    per_source = df.groupBy(src).agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("last"))
+    listed = per_source.orderBy(src).limit(MAX_LISTED_SOURCES + 1).collect()
+    if len(listed) > MAX_LISTED_SOURCES:
+        return None, measure_key_bits(df, order)
+    bits = key_bits_for(max((r["last"] for r in listed), default=0))
+    numbered = [r[src] for r in listed] == list(range(len(listed)))
+    return [r["n"] for r in listed] if numbered and listed else None, bits
 
 
 def _with_counts(buckets: DataFrame, rows: str, src: str) -> DataFrame:

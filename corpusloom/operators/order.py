@@ -4,7 +4,8 @@ Row order is part of the data model, and a DataFrame has none. Every operator he
 takes an explicit BIGINT order key. A running total is found in two steps: rows are
 windowed inside buckets of adjacent keys, and the bucket totals, one light row per
 bucket, get a running total of their own. A bucket covers a fixed range of keys, so its
-size has an upper bound whatever share of the table one source holds.
+size has an upper bound whatever share of the table one source holds. Totals that are too
+many for one window are summed the same way again.
 """
 
 from __future__ import annotations
@@ -14,13 +15,20 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-# Keys per bucket of the window that carries whole rows: 2^10.
+# Keys per window group where rows carry texts or token lists: 2^10.
 ROW_BITS = 10
-# Buckets per window over the light totals: 2^20.
-TOTAL_BITS = 20
-# Order keys are taken to lie in [0, 2^30). Larger ones stay correct, with more rows in
-# the topmost window; a larger ``key_bits`` adds a level of totals for them.
-KEY_BITS = 30
+# Keys per window group where rows are a few numbers: 2^16.
+LIGHT_BITS = 16
+
+
+def key_bits_for(largest: int | None) -> int:
+    """Bits of the largest order key."""
+    return max(0, largest or 0).bit_length()
+
+
+def measure_key_bits(df: DataFrame, order: str) -> int:
+    """Read the key column once to see how many levels of buckets it needs."""
+    return key_bits_for(df.agg(F.max(order)).head()[0])
 
 
 def running_total(
@@ -31,44 +39,54 @@ def running_total(
     lead: Sequence[str] = (),
     out: str = "before",
     row_bits: int = ROW_BITS,
-    key_bits: int = KEY_BITS,
+    key_bits: int | None = None,
     enrich: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows that come earlier.
 
-    Rows are ordered by ``(*lead, order)`` and the total restarts for each ``by``.
-    The order must be unique inside ``by`` and its columns non-null. ``enrich`` gets the
-    light bucket table and the name of its total column; the columns that it adds reach
-    the rows by the same join.
+    Rows are ordered by ``(*lead, order)`` and the total restarts for each ``by``. The
+    order must be unique inside ``(*by, *lead)``, not negative, and its columns non-null.
+    ``key_bits`` bounds the order keys; without it the key column is read once to find the
+    bound. It decides the number of levels, so that no window group spans more than
+    ``2^row_bits`` keys, or 2^16 buckets, whatever the size of the table.
+
+    ``enrich`` gets the light bucket table and the name of its total column; the columns
+    that it adds reach the rows by the same join.
     """
+    if key_bits is None:
+        key_bits = measure_key_bits(df, order)
+    if key_bits <= row_bits and not lead and enrich is None:
+        return df.withColumn(out, _sum_before(value, W.partitionBy(*by).orderBy(order)))
     bucket, amount, base = f"__b_{out}", f"__v_{out}", f"__base_{out}"
     group = [*by, *lead, bucket]
-    keyed = df.withColumn(bucket, F.shiftright(F.col(order), row_bits))
-    earlier = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    rows = keyed.withColumn(out, F.coalesce(F.sum(value).over(earlier), F.lit(0)))
+    # Never null, so that the joins put no filters below them and plans can be shared.
+    place = F.coalesce(F.shiftright(F.col(order), row_bits), F.lit(-1).cast("bigint"))
+    keyed = df.withColumn(bucket, place)
+    rows = keyed.withColumn(out, _sum_before(value, W.partitionBy(*group).orderBy(order)))
     totals = keyed.groupBy(*group).agg(F.sum(value).alias(amount))
-    left_bits = key_bits - row_bits
-    if left_bits > TOTAL_BITS:
+    left_bits = max(0, key_bits - row_bits)
+    if left_bits > LIGHT_BITS:
         bases = running_total(
-            totals, F.col(amount), bucket, by, lead, base, TOTAL_BITS, left_bits
+            totals, F.col(amount), bucket, by, lead, base, LIGHT_BITS, left_bits
         )
     else:
-        top = W.partitionBy(*by).orderBy(*lead, bucket)
         bases = totals.withColumn(
-            base,
-            F.coalesce(
-                F.sum(amount).over(top.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-            ),
+            base, _sum_before(F.col(amount), W.partitionBy(*by).orderBy(*lead, bucket))
         )
     if enrich is not None:
         bases = enrich(bases, amount)
     return (
         rows.join(bases.drop(amount), group)
-        .withColumn(out, (F.col(out) + F.col(base)).cast("bigint"))
+        .withColumn(out, F.coalesce(F.col(out) + F.col(base), F.lit(0)).cast("bigint"))
         .drop(bucket, base)
     )
 
 
+def _sum_before(value: Column, order: W) -> Column:
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(earlier), F.lit(0)).cast("bigint")
+
+
 def dense_ordinal(
     df: DataFrame,
     order: str,

@@ -59,12 +59,13 @@ def cut_blocks(
         raise ValueError("block_size must be positive")
     whole = batch_size is None or batch_size <= 0
     batch = [*by, "batch_id"]
-    lists = rows.where(F.col(ids).isNotNull()).select(
+    # A filter on the ids here would be pushed down and tokenize a second time.
+    lists = rows.select(
         *by,
         "batch_id" if "batch_id" in rows.columns else batch_of(ordinal, batch_size).alias("batch_id"),
         F.col(ordinal).alias("__ord"),
         F.col(ids).alias("__ids"),
-        F.size(ids).cast("bigint").alias("__n"),
+        F.coalesce(F.size(ids), F.lit(0)).cast("bigint").alias("__n"),
     )
     if whole or batch_size > WINDOW_BATCH:
         placed = running_total(lists, F.col("__n"), "__ord", by=batch, out="__start")

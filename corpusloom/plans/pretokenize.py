@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import EOS_ID, tokenize
-from corpusloom.operators.mix import concat_ordinal, interleave_documents
-from corpusloom.operators.order import dense_ordinal
+from corpusloom.operators.mix import concat_ordinal, interleave_documents, source_sizes
+from corpusloom.operators.order import LIGHT_BITS, dense_ordinal, key_bits_for
 from corpusloom.operators.pack import WINDOW_BATCH, batch_of, pack_blocks
 from corpusloom.operators.rows import cap_documents, filter_nonempty, filter_valid_text, has_text
-from corpusloom.session import stage
+from corpusloom.session import spread, stage
 from corpusloom.sources.shards import (
     MAX_SAMPLES_PER_SHARD,
     block_ordinal,
@@ -46,13 +46,23 @@ def order_documents(docs: DataFrame, opts: PretokenizeOptions) -> DataFrame:
     """Valid documents with a dense ordinal ``ord`` over the interleaved corpus.
 
     Blank documents take part in the interleaving and count towards the cap; they are
-    dropped after that.
+    dropped after that. The order is worked out on keys and a flag alone; the texts move
+    once, to meet their ordinal.
     """
-    # The flag is made at the scan: counting the valid documents then moves no text.
-    mixed = interleave_documents(docs.withColumn("__valid", has_text()), stop=opts.interleave)
+    keys = ["src_ord", "doc_ord"]
+    flagged = docs.select(*keys, has_text().alias("valid"))
+    sizes = source_sizes(docs)
+    mixed = interleave_documents(flagged, stop=opts.interleave, row_bits=LIGHT_BITS, sizes=sizes)
     if opts.max_documents is not None:
         mixed = cap_documents(mixed, opts.max_documents)
-    return dense_ordinal(mixed.where("__valid").drop("__valid"), "pos", out="ord")
+    ordinals = dense_ordinal(
+        mixed.where("valid").select(*keys, "pos"),
+        "pos",
+        out="ord",
+        row_bits=LIGHT_BITS,
+        key_bits=key_bits_for(docs.count() if sizes[0] is None else sum(sizes[0])),
+    )
+    return spread(docs).join(ordinals.drop("pos"), keys)
 
 
 def tokenize_documents(
@@ -64,18 +74,19 @@ def tokenize_documents(
 
 
 def pretokenize(docs: DataFrame, opts: PretokenizeOptions = PretokenizeOptions()) -> DataFrame:
-    """Documents ``(src_ord, doc_ord, text)`` to ``(batch_id, block_ord, ids, mask)``.
+    """Documents ``(src_ord, doc_ord, text)`` to ``(batch_id, block_ord, ids, mask)``."""
+    return _pack(order_documents(docs, opts).select("ord", "text"), opts)
 
-    The texts move to their batch before they are tokenized: the token lists, several
+
+def _pack(placed: DataFrame, opts: PretokenizeOptions, by: Sequence[str] = ()) -> DataFrame:
+    """The texts move to their batch before they are tokenized: the token lists, several
     times larger, are then packed where they are made.
     """
-    placed = order_documents(docs, opts).select("ord", "text")
     if opts.batch_size and 0 < opts.batch_size <= WINDOW_BATCH:
-        placed = placed.withColumn("batch_id", batch_of("ord", opts.batch_size)).repartition(
-            "batch_id"
-        )
+        batch = batch_of("ord", opts.batch_size)
+        placed = placed.withColumn("batch_id", batch).repartition(*by, "batch_id")
     tokens = tokenize_documents(placed, opts)
-    return filter_nonempty(pack_blocks(tokens, opts.block_size, opts.batch_size))
+    return filter_nonempty(pack_blocks(tokens, opts.block_size, opts.batch_size, by=by))
 
 
 def pretokenize_to_shards(
@@ -133,5 +144,4 @@ def pretokenize_by_language(
     if opts.max_documents is not None:
         docs = cap_documents(concat_ordinal(docs, out="__at"), opts.max_documents, "__at").drop("__at")
     valid = dense_ordinal(filter_valid_text(docs), "doc_ord", by=["src_ord"], out="ord")
-    tokens = tokenize_documents(valid, opts).select("src_ord", "ord", "input_ids")
-    return filter_nonempty(pack_blocks(tokens, opts.block_size, opts.batch_size, by=["src_ord"]))
+    return _pack(valid.select("src_ord", "ord", "text"), opts, by=["src_ord"])

@@ -50,11 +50,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def src_ord() -> Column:
+    """Place of the language in the list; -1 for one that is not in it."""
+    place = F.array_position(F.array(*map(F.lit, LANGS)), F.col("lang"))
+    return F.coalesce(place - 1, F.lit(-1)).cast("int")
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """``(src_ord, doc_ord, lang, text)`` in one scan."""
-    place = F.array_position(F.array(*map(F.lit, LANGS)), F.col("lang")) - 1
     return table(spark, sf, "documents").select(
-        place.cast("int").alias("src_ord"), F.col("doc_id").alias("doc_ord"), "lang", "text"
+        src_ord().alias("src_ord"), F.col("doc_id").alias("doc_ord"), "lang", "text"
     )
 
 
@@ -1097,8 +1102,7 @@ def _document_stream(spark: SparkSession, sf: str, path: str | None = None) -> D
     if path is not None:
         return files.read_stream(spark, path, schema, max_files=1)
     raw = files.read_stream(spark, sf, table(spark, sf, "documents").schema, pattern="documents.parquet")
-    place = F.array_position(F.array(*map(F.lit, LANGS)), F.col("lang")) - 1
-    return raw.select(place.cast("int").alias("src_ord"), F.col("doc_id").alias("doc_ord"), "lang", "text")
+    return raw.select(src_ord().alias("src_ord"), F.col("doc_id").alias("doc_ord"), "lang", "text")
 
 
 @query("stream_scan", "SELECT lang, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.order import running_total
+from corpusloom.operators.order import LIGHT_BITS, running_total
 from corpusloom.operators.rows import require_columns
 from corpusloom.session import stage
 from corpusloom.sources.files import path_exists
@@ -30,10 +30,12 @@ def block_ordinal(
 ) -> DataFrame:
     """Dense ordinal over blocks: blocks of the earlier batches plus the own number.
 
-    Only one light row per batch is summed up.
+    Only one light row per batch is summed up. The blocks are read several times, so they
+    should be staged.
     """
     counts = blocks.groupBy(batch).agg(F.count(F.lit(1)).alias("__n"))
-    bases = running_total(counts, F.col("__n"), batch, out="__base").select(batch, "__base")
+    bases = running_total(counts, F.col("__n"), batch, out="__base", row_bits=LIGHT_BITS)
+    bases = bases.select(batch, "__base")
     return blocks.join(bases, batch).withColumn(out, F.col("__base") + F.col(block)).drop("__base")
 
 

@@ -102,7 +102,8 @@ class StreamPacker:
     def __call__(self, df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         batches, blocks, pending = self._left(spark, number - 1)
-        fresh = dense_ordinal(df.where("input_ids is not null"), self.order, out="ord").select(
+        df = df.select(self.order, "input_ids").persist()
+        fresh = dense_ordinal(df, self.order, out="ord").select(
             (F.col("ord") + pending).alias("ord"), "input_ids"
         )
         rows = self._pending(spark, number - 1).unionByName(fresh).persist()
@@ -113,6 +114,7 @@ class StreamPacker:
                 self._step_batches(rows, batches, number)
         finally:
             rows.unpersist()
+            df.unpersist()
 
     def _step_batches(self, rows: DataFrame, batches: int, number: int) -> None:
         n = rows.count()

@@ -37,8 +37,9 @@ def test_dense_ordinal_over_levels(spark, row_bits, key_bits):
 def test_two_levels_of_totals_equal_one(spark):
     df = spark.range(5000).select((F.col("id") * 977).alias("k"), (F.col("id") % 7).alias("v"))
     one = running_total(df, F.col("v"), "k", out="s", row_bits=6, key_bits=20)
-    two = running_total(df, F.col("v"), "k", out="s", row_bits=6, key_bits=40)
-    assert one.orderBy("k").collect() == two.orderBy("k").collect()
+    for kw in ({"row_bits": 6, "key_bits": 40}, {"row_bits": 24}, {"row_bits": 3}):
+        other = running_total(df, F.col("v"), "k", out="s", **kw)
+        assert one.orderBy("k").collect() == other.orderBy("k").collect()
     total = 0
     for r in one.orderBy("k").collect():
         assert r["s"] == total
@@ -55,6 +56,15 @@ def test_interleave(spark, sizes, stop):
     assert [r["pos"] for r in got] == list(range(len(got)))
 
 
+def test_many_or_unnumbered_sources_keep_their_sizes_in_a_table(spark, monkeypatch):
+    df = make_docs(spark, [5, 3, 9])
+    expect = [r["text"] for r in interleave_documents(df).orderBy("pos").collect()]
+    shifted = df.withColumn("src_ord", F.col("src_ord") * 3 - 1)
+    assert [r["text"] for r in interleave_documents(shifted).orderBy("pos").collect()] == expect
+    monkeypatch.setattr("corpusloom.operators.mix.MAX_LISTED_SOURCES", 2)
+    assert [r["text"] for r in interleave_documents(df).orderBy("pos").collect()] == expect
+
+
 def test_interleave_by_known_ranks_has_no_shuffle(spark):
     sizes = [5, 0, 9]
     df = dense_ordinal(make_docs(spark, sizes), "doc_ord", by=["src_ord"], out="r")
