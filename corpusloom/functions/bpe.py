@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import CODEPOINTS, WORD_MARK
@@ -315,9 +315,9 @@ def text_encoder(model: BpeModel):
     return encode
 
 
-def encode_bpe(df: DataFrame, model: BpeModel, text: str = "text", out: str = "input_ids") -> DataFrame:
-    """Add token ids; a map over Arrow batches without a shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def bpe_ids(spark: SparkSession, model: BpeModel, text: str = "text") -> Column:
+    """Token ids of a text; each worker remembers the words it has seen."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -325,7 +325,12 @@ def encode_bpe(df: DataFrame, model: BpeModel, text: str = "text", out: str = "i
         for texts in batches:
             yield texts.map(one)
 
-    return spread(df).withColumn(out, encode(text))
+    return encode(text)
+
+
+def encode_bpe(df: DataFrame, model: BpeModel, text: str = "text", out: str = "input_ids") -> DataFrame:
+    """Add token ids; a map over Arrow batches without a shuffle."""
+    return spread(df).withColumn(out, bpe_ids(df.sparkSession, model, text))
 
 
 def ids_decoder(model: BpeModel, skip_special: bool = False, spaces_between: bool = False):

@@ -170,14 +170,20 @@ def decode_codepoint(
         kept = F.filter(c, lambda x: ~x.isin(*special_ids))
         return decode_codepoint(kept)
 
-    def render(x: Column, i: Column) -> Column:
+    def render(x: Column) -> Column:
         out = _point_hex(x)
         for sid, content in specials.items():
             out = F.when(x == sid, F.lit(_text_hex(content))).otherwise(out)
-        if not spaces_between:
-            return out
-        before = F.try_element_at(c, F.when(i > 0, i).otherwise(F.lit(1)))
-        parted = (i > 0) & (x.isin(*special_ids) | before.isin(*special_ids))
-        return F.concat(F.when(parted, F.lit(_text_hex(" "))).otherwise(F.lit("")), out)
-
-    return _hex_text(F.transform(c, render))
+        return out
+
+    def render_after(x: Column, before: Column) -> Column:
+        parted = before.isNotNull() & (x.isin(*special_ids) | before.isin(*special_ids))
+        return F.concat(F.when(parted, F.lit(_text_hex(" "))).otherwise(F.lit("")), render(x))
+
+    if not spaces_between:
+        return _hex_text(F.transform(c, render))
+    # Each id meets the one before it in a second list: a look back into ``c`` from the
+    # lambda could work the whole list out again for every id.
+    n = F.size(c)
+    earlier = F.slice(F.concat(F.array(F.lit(None).cast("int")), c), F.lit(1), n)
+    return _hex_text(F.zip_with(c, earlier, render_after))

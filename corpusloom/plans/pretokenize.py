@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.tokens import EOS_ID, tokenize
+from corpusloom.functions.bpe import BpeModel, bpe_ids
+from corpusloom.functions.tokens import EOS_ID, append_eos, tokenize, truncate
 from corpusloom.operators.mix import concat_ordinal, interleave_documents, source_sizes
 from corpusloom.operators.order import LIGHT_BITS, dense_ordinal, key_bits_for
 from corpusloom.operators.pack import WINDOW_BATCH, batch_of, pack_blocks
@@ -30,7 +31,9 @@ from corpusloom.sources.shards import (
 class PretokenizeOptions:
     """Settings of a run.
 
-    ``truncate=None`` keeps whole texts; the usual run truncates at the block size.
+    ``truncate=None`` keeps whole texts; the usual run truncates at the block size. The
+    tokenizer is the name of an expression tokenizer or a byte-pair vocabulary; the latter
+    closes texts with its own ``eos_id``, 2.
     """
 
     block_size: int = 1024
@@ -39,7 +42,7 @@ class PretokenizeOptions:
     max_documents: int | None = None
     truncate: int | None = 1024
     eos_id: int | None = EOS_ID
-    tokenizer: str = "codepoint"
+    tokenizer: str | BpeModel = "codepoint"
 
 
 def order_documents(docs: DataFrame, opts: PretokenizeOptions) -> DataFrame:
@@ -65,12 +68,14 @@ def order_documents(docs: DataFrame, opts: PretokenizeOptions) -> DataFrame:
     return spread(docs).join(ordinals.drop("pos"), keys)
 
 
-def tokenize_documents(
-    docs: DataFrame, opts: PretokenizeOptions, encode: Column | None = None
-) -> DataFrame:
-    """Add ``input_ids``. ``encode`` may name another tokenizer's id column expression."""
-    ids = tokenize("text", opts.tokenizer, opts.truncate, opts.eos_id) if encode is None else encode
-    return docs.withColumn("input_ids", ids).drop("text")
+def tokenize_documents(docs: DataFrame, opts: PretokenizeOptions) -> DataFrame:
+    """Replace ``text`` by ``input_ids``: truncated first, closed with EOS second."""
+    if isinstance(opts.tokenizer, str):
+        ids = tokenize("text", opts.tokenizer, opts.truncate, opts.eos_id)
+        return docs.withColumn("input_ids", ids).drop("text")
+    whole = docs.withColumn("input_ids", bpe_ids(docs.sparkSession, opts.tokenizer)).drop("text")
+    ids = F.col("input_ids") if opts.truncate is None else truncate("input_ids", opts.truncate)
+    return whole.withColumn("input_ids", append_eos(ids, opts.eos_id))
 
 
 def pretokenize(docs: DataFrame, opts: PretokenizeOptions = PretokenizeOptions()) -> DataFrame:

@@ -509,6 +509,18 @@ def _(spark, sf):
     return block_out(ids, "doc_ord")
 
 
+@query(
+    "tokenize_whitespace",
+    r"""WITH i AS (SELECT doc_id AS doc_ord, regexp_extract_all(text, '\S+') AS words FROM documents)
+    SELECT doc_ord, len(words) AS n_words, md5(array_to_string(words, ' ')) AS words_md5 FROM i""",
+)
+def _(spark, sf):
+    words = spread(documents(spark, sf)).select("doc_ord", tokens.whitespace_pieces().alias("w"))
+    return words.select(
+        "doc_ord", big(F.size("w")).alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5")
+    )
+
+
 @query(
     "truncate",
     f"""WITH {_D}, i AS (SELECT doc_ord, ({_CP.format('text')})[1:{BLOCK}] AS ids FROM d)
@@ -612,7 +624,7 @@ def _(spark, sf):
 def _(spark, sf):
     names = {tokens.BOS_ID: "<bos>", tokens.EOS_ID: "<eos>"}
     ids = tokens.add_special(tokens.codepoint_ids(), eos_id=tokens.EOS_ID)
-    return documents(spark, sf).select("doc_ord", ids.alias("ids")).select(
+    return spread(documents(spark, sf)).select("doc_ord", ids.alias("ids")).select(
         "doc_ord",
         text_md5(tokens.decode_codepoint("ids", names, skip_special=True)).alias("plain"),
         text_md5(tokens.decode_codepoint("ids", names)).alias("verbatim"),
@@ -853,6 +865,14 @@ def _(spark, sf):
     )
 
 
+@query("pretokenize_bpe")
+def _(spark, sf):
+    """The flow with the trained vocabulary."""
+    model = _bpe(spark, sf)[2]
+    opts = PretokenizeOptions(BLOCK, BATCH, truncate=None, eos_id=vocab.EOS_ID, tokenizer=model)
+    return block_out(pretokenize(documents(spark, sf), opts), "batch_id", "block_ord")
+
+
 @query("decode_bpe", "SELECT doc_id AS doc_ord, md5(text) AS text_md5 FROM documents")
 def _(spark, sf):
     df, model = _encoded(spark, sf)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import bpe, vocab
 from corpusloom.functions.tokens import WORD_MARK
 from corpusloom.operators import sizing
+from corpusloom.plans.pretokenize import PretokenizeOptions, pretokenize
 from tests import models
 
 BASE = len(vocab.RESERVED) + len(vocab.user_symbols()) + vocab.BYTES
@@ -106,6 +107,17 @@ def test_round_trip(spark, model):
     assert spaced["back"] == "user  <|user|>  said <|eot_id|>"
 
 
+def test_flow_with_a_vocabulary(spark, model):
+    texts = [t for t in TEXTS if t.strip()] * 3
+    docs = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "src_ord int, doc_ord bigint, text string")
+    encode = bpe.text_encoder(model)
+    for truncate in (None, 6):
+        opts = PretokenizeOptions(7, 4, truncate=truncate, eos_id=vocab.EOS_ID, tokenizer=model)
+        got = pretokenize(docs, opts).collect()
+        lists = [encode(t)[:truncate] + [vocab.EOS_ID] for t in texts]
+        assert {(r["batch_id"], r["block_ord"]): r["input_ids"] for r in got} == models.pack(lists, 7, 4)
+
+
 def test_null_text_encodes_to_nothing(spark, model):
     df = spark.createDataFrame([(None,)], "text string")
     assert bpe.encode_bpe(df, model).head()["input_ids"] == []
