@@ -108,8 +108,9 @@ def _initial_symbols(words: DataFrame, covered: Sequence[str]) -> DataFrame:
 
 
 def _symbol_pairs(words: DataFrame) -> DataFrame:
-    inner = F.expr("substring(s, 2, length(s) - 2)")
-    counts = pair_counts(words.select(F.split(inner, "><").alias("symbols"), "n"))
+    # One blank between symbols: a pattern of one character needs no regular expression.
+    spaced = F.replace(F.expr("substring(s, 2, length(s) - 2)"), F.lit("><"), F.lit(" "))
+    counts = pair_counts(words.select(F.split(spaced, " ").alias("symbols"), "n"))
     return counts.select(F.col("left").cast("int"), F.col("right").cast("int"), "n")
 
 
