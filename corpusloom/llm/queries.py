@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import fingerprint, interleave
+from corpusloom.llm import bpe, fingerprint, interleave
 
 QUERIES = {
     "op1_prefix_hash": fingerprint.op1_prefix_hash,
+    "op8_rank_queue_bpe": bpe.op8_rank_queue_bpe,
     "op7_stratified_interleave": interleave.op7_stratified_interleave,
 }
 
 ORACLES = {
+    "op8_rank_queue_bpe": bpe.op8_rank_queue_bpe,
     "op7_stratified_interleave": interleave.SQL,
 }
