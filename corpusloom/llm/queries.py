@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, fingerprint, interleave
+from corpusloom.llm import bpe, fingerprint, interleave, minhash
 
 QUERIES = {
     "op1_prefix_hash": fingerprint.op1_prefix_hash,
-    "op8_rank_queue_bpe": bpe.op8_rank_queue_bpe,
     "op7_stratified_interleave": interleave.op7_stratified_interleave,
+    "op8_rank_queue_bpe": bpe.op8_rank_queue_bpe,
+    "op10_hyperminhash": minhash.op10_hyperminhash,
 }
 
 ORACLES = {
-    "op8_rank_queue_bpe": bpe.op8_rank_queue_bpe,
     "op7_stratified_interleave": interleave.SQL,
+    "op10_hyperminhash": minhash.SQL,
 }
