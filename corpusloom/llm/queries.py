@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, fingerprint, interleave, minhash
+from corpusloom.llm import bpe, fingerprint, interleave, minhash, pii, secret_scan
 
 QUERIES = {
     "op1_prefix_hash": fingerprint.op1_prefix_hash,
+    "op3_weak_supervision": pii.op3_weak_supervision,
     "op7_stratified_interleave": interleave.op7_stratified_interleave,
     "op8_rank_queue_bpe": bpe.op8_rank_queue_bpe,
+    "op9_trigram_secrets": secret_scan.op9_trigram_secrets,
     "op10_hyperminhash": minhash.op10_hyperminhash,
 }
 
