@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, fingerprint, interleave, minhash, pii, secret_scan
+from corpusloom.llm import bpe, fingerprint, interleave, minhash, pii, secret_scan, toxicity
 
 QUERIES = {
     "op1_prefix_hash": fingerprint.op1_prefix_hash,
     "op3_weak_supervision": pii.op3_weak_supervision,
+    "op6_boosted_toxicity": toxicity.op6_boosted_toxicity,
     "op7_stratified_interleave": interleave.op7_stratified_interleave,
     "op8_rank_queue_bpe": bpe.op8_rank_queue_bpe,
     "op9_trigram_secrets": secret_scan.op9_trigram_secrets,
