@@ -365,13 +365,16 @@ def decode(tokens: DataFrame, ranks, pattern: str) -> DataFrame:
     return tokens.mapInArrow(work, StructType(fields))
 
 
-def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """Encode, decode the ids again, and reduce both to digests."""
+def digests(docs: DataFrame, rank_path: str, pattern: str, carry: list[str] | None = None) -> DataFrame:
+    """Encode, decode the ids again, and reduce both to digests; ``carry`` names columns to keep, ``ids`` among them."""
     ranks = load_ranks(docs.sparkSession, rank_path)
-    ids = encode(docs.select("doc_id", "text"), ranks, pattern, keep_text=False)
+    carry = carry or []
+    given = [c for c in carry if c != "ids"]
+    ids = encode(docs.select("doc_id", *given, "text"), ranks, pattern, keep_text=False)
     both = decode(ids, ranks, pattern)
     return both.select(
         "doc_id",
+        *carry,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -28,7 +28,7 @@ def _bucket_of_hash(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
 
 
-def _with_running(df: DataFrame, group: list[str], bucket: str, order: list[Column], name: str) -> DataFrame:
+def running_number(df: DataFrame, group: list[str], bucket: str, order: list[Column], name: str) -> DataFrame:
     """Row number over ``group`` by bucket, then ``order``: bucket row numbers plus running totals."""
     counts = df.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
@@ -56,11 +56,11 @@ def assign_shards(
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_key"),
     ).withColumn("_bucket", _bucket_of_hash(F.col("_key")))
     ties = [F.col(c) for c in ("_key", "doc_id", "size", "text_crc32")]
-    ranked = _with_running(light, ["_source"], "_bucket", ties, "_rank")
+    ranked = running_number(light, ["_source"], "_bucket", ties, "_rank")
     totals = light.groupBy("_source").agg(F.count(F.lit(1)).alias("_n"))
     placed = ranked.join(totals, "_source").withColumn("_place", (F.col("_rank") - 0.5) / F.col("_n"))
     placed = placed.withColumn("_all", F.lit(0)).withColumn("_slice", F.floor(F.col("_place") * BUCKETS))
-    numbered = _with_running(placed, ["_all"], "_slice", [F.col("_place"), F.col("_source"), *ties], "_at")
+    numbered = running_number(placed, ["_all"], "_slice", [F.col("_place"), F.col("_source"), *ties], "_at")
     total = light.agg(F.count(F.lit(1)).alias("_total"))
     shard = F.floor((F.col("_at") - 1) * shards / F.col("_total"))
     first = F.ceil(F.col("shard") * F.col("_total") / shards)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, fingerprint, interleave, minhash, pii, secret_scan, toxicity
+from corpusloom.llm import bpe, decontaminate, fingerprint, html_text, interleave, minhash, pii, quotes, secret_scan, toxicity
 
 QUERIES = {
     "op1_prefix_hash": fingerprint.op1_prefix_hash,
+    "op2_template_leaks": decontaminate.op2_template_leaks,
     "op3_weak_supervision": pii.op3_weak_supervision,
+    "op4_text_tag_ratio": html_text.op4_text_tag_ratio,
+    "op5_quotation_links": quotes.op5_quotation_links,
     "op6_boosted_toxicity": toxicity.op6_boosted_toxicity,
     "op7_stratified_interleave": interleave.op7_stratified_interleave,
     "op8_rank_queue_bpe": bpe.op8_rank_queue_bpe,

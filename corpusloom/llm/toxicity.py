@@ -262,19 +262,19 @@ def _margin(trees, df: DataFrame) -> DataFrame:
     return trees.transform(df).withColumn("margin", vector_to_array("probability")[1])
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all) of ``docs`` and ``score``.
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``keep`` (all) of ``docs`` and the score as ``name``.
 
     Calibration is a step function; a hundredth of the trees' own probability keeps the order
     within a step.
     """
     kept = docs.columns if keep is None else keep
     if model.trees is None:
-        return docs.select(*kept).withColumn("score", F.lit(0.0))
+        return docs.select(*kept).withColumn(name, F.lit(0.0))
     rows = _margin(model.trees, _assembled(with_features(docs, model.lexicon, keep=kept)))
     rows = model.calibration.transform(rows.drop("prediction"))
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.99 * F.col("prediction") + 0.01 * F.col("margin")))
-    return rows.select(*kept, value.alias("score"))
+    return rows.select(*kept, value.alias(name))
 
 
 def op6_boosted_toxicity(spark, sf_dir: str) -> DataFrame:
