@@ -10,13 +10,17 @@ sequence is the one shingle; without words the set is empty and linked with noth
    empty and lose their links.
 2. Equal sets form a class with one representative; copies are never paired.
 3. Four registers make a band. Two sets at similarity 0.8 share one of 32 bands but for about
-   5 in 10**8 cases. Every representative is paired with the smallest id of each of its bands.
+   5 in 10**8 cases. Every representative is paired with the smallest id of each of its bands and,
+   in a hashed order of its own for each band, with its predecessor.
 4. Registers give a Jaccard estimate, corrected for chance collisions. Pairs estimated
-   below ``threshold - 0.25`` (seven standard deviations) are dropped; all others are confirmed on full sets.
-5. Links form components. Where a band still holds several components, all pairs of
-   different components in it are estimated, in blocks of bounded size inside tasks, and
-   those that pass are confirmed too. So no link between different components is lost
-   because both its ends failed against the smallest id.
+   below ``threshold - 0.15`` (more than four standard deviations) are dropped; all others are
+   confirmed on full sets. Links form components.
+5. Where a band still holds several components, all pairs of different components in it are
+   estimated, in blocks of bounded size inside tasks and each pair in its first shared band
+   only. Documents of plausible pairs, not the pairs, are emitted; their full sets meet in
+   a second task of bounded bytes, which confirms the pairs and emits links between
+   components not yet joined. So no link between different components is lost
+   because both its ends failed against their partners of step 3.
 
 Defined cases: null text is empty; a document with an empty set is alone and kept. A row with
 a null id is kept, has its set size and no component. Rows with equal ids count as copies of one
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm import vector
@@ -41,8 +45,9 @@ from corpusloom.session import stage
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
-SLACK = 0.25
+SLACK = 0.15
 BLOCK = 1024
+SET_BYTES = 16 << 20
 PART = 2048
 
 _GAPS = vector.byte_class(b" \t\n\x0b\x0c\r")
@@ -125,16 +130,15 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def band_keys(representatives: DataFrame) -> DataFrame:
-    """``key, id``: one row for each band."""
+    """``id, band, key``: one row for each band."""
     hexed = F.hex("regs")
     step = ROWS * 4
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring(hexed, 1 + i * step, step)) for i in range(BANDS)))
-    return representatives.select("id", F.explode(keys).alias("key"))
+    return representatives.select("id", F.posexplode(keys).alias("band", "key"))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose full sets satisfy ``100 * both >= percent * either``."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``id, items``: the packed full set of each document in ``ids(doc_id)``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,29 +149,114 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                 packed = pa.array([s.tobytes() for s in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), packed], ["id", "items"])
 
+    texts = docs.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(sets, "id long, items binary")
+    return texts
+
+
+def linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """``100 * both >= percent * either`` of two ascending arrays of distinct hashes."""
+    if len(u) > len(v):
+        u, v = v, u
+    if 100 * len(u) < percent * len(v) or not len(u):
+        return False
+    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+    both = int((v[at] == u).sum())
+    return 100 * both >= percent * (len(u) + len(v) - both)
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The linked ones among pairs ``a, b``."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column("sa"), batch.column("sb"), strict=True)
-            keep = []
-            for x, y in rows:
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(u) > len(v):
-                    u, v = v, u
-                both = 0
-                if 100 * len(u) >= percent * len(v):
-                    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-                    both = int((v[at] == u).sum())
-                keep.append(100 * both >= percent * (len(u) + len(v) - both))
+            keep = [
+                linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    full = stage(texts.mapInArrow(sets, "id long, items binary"), "sets")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    full = stage(full_sets(wanted, docs, width), "sets")
     left = full.select(F.col("id").alias("a"), F.col("items").alias("sa"))
     right = full.select(F.col("id").alias("b"), F.col("items").alias("sb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     return joined.mapInArrow(compare, "a long, b long")
 
 
+def _plausible(frame: pd.DataFrame, key: tuple, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers ``i`` and ``js`` of pairs of different components that this unit has to look at."""
+    _, band, u, v = key[:4]
+    regs = np.frombuffer(b"".join(frame["regs"]), np.uint16).reshape(-1, REGISTERS)
+    bands = regs.view(np.uint64)
+    n, ids, label, of = (frame[c].to_numpy() for c in ("n", "id", "label", "block"))
+    others = np.flatnonzero(of == v)
+    for i in np.flatnonzero(of == u):
+        js = others[label[others] != label[i]]
+        if u == v:
+            js = js[ids[js] > ids[i]]
+        js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
+        if len(js):
+            js = js[estimate(regs[js], regs[i], n[js], n[i : i + 1]) >= percent / 100 - SLACK]
+            js = js[(bands[js] == bands[i]).argmax(axis=1) == band]
+        if len(js):
+            yield i, js
+
+
+def cross_links(open_bands: DataFrame, light: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between different components of bands ``key, band, id, label, blocks``."""
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    partners = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda k: F.struct(F.least("block", k).alias("u"), F.greatest("block", k).alias("v")),
+    )
+    units = open_bands.withColumn("block", block).withColumn("unit", F.explode(partners))
+    units = units.select("key", "band", F.col("unit.u").alias("u"), F.col("unit.v").alias("v"), "id", "label", "block")
+
+    def find(key, frame: pd.DataFrame) -> pd.DataFrame:
+        pairs = [np.stack([np.full(len(js), i), js]) for i, js in _plausible(frame, key, percent)]
+        if not pairs:
+            return pd.DataFrame(columns=["key", "band", "u", "v", "sub", "id", "label", "block"])
+        at = np.concatenate(pairs, axis=1)
+        who = np.unique(at)
+        chunk = np.zeros(len(frame), np.int64)
+        chunk[who] = np.cumsum(frame["n"].to_numpy()[who] * 8) // SET_BYTES
+        many = int(chunk.max()) + 1
+        sub = chunk[at].min(axis=0) * many + chunk[at].max(axis=0)
+        rows = np.unique(np.stack([np.tile(sub, 2), at.reshape(-1)]), axis=1)
+        out = frame.iloc[rows[1]][["key", "band", "u", "v", "id", "label", "block"]].assign(sub=rows[0])
+        return out[["key", "band", "u", "v", "sub", "id", "label", "block"]]
+
+    kinds = "key long, band int, u int, v int, sub long, id long, label long, block int"
+    found = units.join(light, "id").groupBy("key", "band", "u", "v").applyInPandas(find, kinds)
+    found = stage(found, "open")
+
+    def decide(key, frame: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in frame["items"]]
+        ids, label = (frame[c].to_numpy() for c in ("id", "label"))
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        links = []
+        for i, js in _plausible(frame, key, percent):
+            for j in js:
+                a, b = root(label[i]), root(label[j])
+                if a != b and linked(sets[i], sets[j], percent):
+                    joined[a] = b
+                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    sets = full_sets(found.select(F.col("id").alias("doc_id")), docs, width)
+    return (
+        found.join(light, "id").join(sets, "id")
+        .groupBy("key", "band", "u", "v", "sub")
+        .applyInPandas(decide, "a long, b long")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -182,9 +271,20 @@ def near_duplicates(
     representatives = stage(found, "classes")
 
     keys = band_keys(representatives)
-    shared = keys.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("most")).where("center < most")
-    members = stage(keys.join(shared.select("key", "center"), "key").select("key", "id", "center"), "bands")
-    star = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    shared = keys.groupBy("key", "band").agg(
+        F.count(F.lit(1)).alias("size"), F.min("id").alias("center"), F.max("id").alias("most")
+    )
+    shared = shared.where("center < most").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    members = stage(keys.join(shared.select("key", "band", "center", "blocks"), ["key", "band"]), "bands")
+    star = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b"))
+    order = W.partitionBy("key", "band", "part").orderBy(F.xxhash64("id", "key"), "id")
+    chain = (
+        members.withColumn("part", F.pmod(F.xxhash64("key", "id"), F.col("blocks")))
+        .withColumn("last", F.lag("id").over(order))
+        .where("last IS NOT NULL")
+        .select(F.least("id", "last").alias("a"), F.greatest("id", "last").alias("b"))
+    )
+    first_pairs = star.union(chain).distinct()
 
     light = representatives.select("id", "n", "regs")
 
@@ -205,55 +305,19 @@ def near_duplicates(
         return light.select(F.col("id").alias(name), F.col("n").alias(f"n{to}"), F.col("regs").alias(f"r{to}"))
 
     estimated = (
-        star.join(side("a", "a"), "a").join(side("b", "b"), "b").select("a", "b", "na", "nb", "ra", "rb")
+        first_pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").select("a", "b", "na", "nb", "ra", "rb")
         .mapInArrow(plausible, "a long, b long")
     )
     links = stage(confirm(stage(estimated, "pairs"), rows, width, percent), "links")
     labels = components(links)
 
     # Bands that still hold several components
-    placed = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).select("key", "id", "label")
-    mixed = (
-        placed.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("least"), F.max("label").alias("most"))
-        .where("least < most")
-        .select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    )
-    open_bands = placed.join(mixed, "key")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    units = open_bands.withColumn("block", block).select(
-        "key", "id", "label", "block",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
-            F.least("block", k).alias("u"), F.greatest("block", k).alias("v")))).alias("unit"),
-    )
-
-    def cross(key, frame: pd.DataFrame) -> pd.DataFrame:
-        _, u, v = key
-        regs = np.frombuffer(b"".join(frame["regs"]), np.uint16).reshape(-1, REGISTERS)
-        n, ids, label = (frame[c].to_numpy() for c in ("n", "id", "label"))
-        of = frame["block"].to_numpy()
-        pairs = []
-        others = np.flatnonzero(of == v)
-        for i in np.flatnonzero(of == u):
-            js = others[(label[others] != label[i]) & (ids[others] > ids[i] if u == v else True)]
-            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-            if len(js):
-                js = js[estimate(regs[js], regs[i], n[js], n[i : i + 1]) >= threshold - SLACK]
-                pairs += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js]
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
-
-    rest = (
-        units.join(light, "id")
-        .select("key", F.col("unit.u").alias("u"), F.col("unit.v").alias("v"), "id", "label", "block", "n", "regs")
-        .groupBy("key", "u", "v")
-        .applyInPandas(cross, "a long, b long")
-        .distinct()
-    )
-    rest = stage(rest, "rest")
-    if rest.limit(1).count():
-        more = stage(confirm(rest, rows, width, percent), "links")
-        if more.limit(1).count():
-            labels = components(links.union(more))
+    placed = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    mixed = placed.groupBy("key", "band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    open_bands = placed.join(mixed.select("key", "band"), ["key", "band"]).select("key", "band", "id", "label", "blocks")
+    more = stage(cross_links(open_bands, light, rows, width, percent), "links")
+    if more.limit(1).count():
+        labels = components(links.union(more))
 
     # Copies, then rows with equal ids, follow their class.
     joined = classes.select("doc_id", *whole).join(representatives.select("id", *whole), whole).select("doc_id", "id")
@@ -273,6 +337,16 @@ def near_duplicates(
     ).withColumn("kept", F.coalesce("kept", F.lit(True)))
 
 
+def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group; rows whose id is null stay."""
+    found = stage(near_duplicates(docs, width, percent).select("doc_id", "kept"), "kept")
+    left = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
+    if ids.where("c > 1").limit(1).count() == 0:
+        return left
+    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(left.where("doc_id IS NULL"))
+
+
 def op10_hyperminhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, width=4, percent=80)
