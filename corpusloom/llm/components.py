@@ -1,4 +1,4 @@
-"""Connected components by repeated joins; nothing but a changed-row count reaches the driver."""
+"""Connected components by repeated contraction; nothing but "is there more" reaches the driver."""
 
 from __future__ import annotations
 
@@ -8,37 +8,37 @@ from pyspark.sql import functions as F
 from corpusloom.session import stage
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``id, component``: the smallest id reachable, for every id that has an edge.
-
-    Each round, every edge is replaced by edges to the smaller label of its ends (hooking), then
-    labels jump to their label's label, so rounds follow the logarithm of the longest path.
-    Every round is written to the shared folder. Self-loops, repeated and turned edges are fine.
-    """
-    links = stage(
-        edges.where(F.col(a) != F.col(b))
+def _edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return (
+        pairs.where(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"))
-        .distinct(),
-        "links",
+        .distinct()
     )
-    both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    labels = stage(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")), "labels")
-    while True:
-        # The smallest label among neighbours, sent to the row's own label as well (hooking).
-        y = labels.select(F.col("x").alias("y"), F.col("label").alias("other"))
-        near = both.join(y, "y").groupBy("x").agg(F.min("other").alias("near"))
-        seen = labels.join(near, "x").withColumn("new", F.least("label", "near"))
-        hooks = seen.groupBy(F.col("label").alias("root")).agg(F.min("new").alias("hook"))
-        moved = (
-            seen.join(hooks, seen["label"] == hooks["root"])
-            .select("x", "label", F.least("new", "hook").alias("new"))
-        )
-        moved = stage(moved, "moved")
-        jump = moved.select(F.col("x").alias("via"), F.col("new").alias("further"))
-        jumped = moved.join(jump, moved["new"] == jump["via"], "left").select(
-            "x", F.least("new", F.coalesce("further", "new")).alias("label"), (F.col("label") != F.col("new")).alias("changed")
-        )
-        jumped = stage(jumped, "labels")
-        if jumped.where("changed").limit(1).count() == 0:
-            return jumped.select(F.col("x").alias("id"), F.col("label").alias("component"))
-        labels = jumped.select("x", "label")
+
+
+def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``id, component``: the smallest id reachable, for every id that has an edge to another.
+
+    Each round every vertex hooks to its smallest neighbour if that is smaller, hooks are
+    followed two steps, and the graph is contracted: edges take the new names of their ends,
+    and those inside one vertex go. What is left shrinks fast, in dense groups at once. Every round
+    is written to the shared folder. Self-loops, repeated and turned edges are fine.
+    """
+    left = stage(_edges(pairs, a, b), "edges")
+    labels = None
+    while left.limit(1).count():
+        both = left.unionByName(left.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        hooks = stage(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("up")), "hooks")
+        via = hooks.select(F.col("x").alias("up"), F.col("up").alias("further"))
+        jumped = stage(hooks.join(via, "up").select("x", F.col("further").alias("up")), "hooks")
+        if labels is None:
+            labels = jumped.select(F.col("x").alias("id"), F.col("up").alias("component"))
+        else:
+            to = jumped.select(F.col("x").alias("component"), "up")
+            labels = labels.join(to, "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+        labels = stage(labels, "labels")
+        ends = jumped.select("x", F.col("up").alias("to_x")), jumped.select(F.col("x").alias("y"), F.col("up").alias("to_y"))
+        left = stage(_edges(left.join(ends[0], "x").join(ends[1], "y"), "to_x", "to_y"), "edges")
+    if labels is None:
+        labels = left.select(F.col("x").alias("id"), F.col("y").alias("component"))
+    return labels

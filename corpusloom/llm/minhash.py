@@ -317,7 +317,18 @@ def near_duplicates(
     open_bands = placed.join(mixed.select("key", "band"), ["key", "band"]).select("key", "band", "id", "label", "blocks")
     more = stage(cross_links(open_bands, light, rows, width, percent), "links")
     if more.limit(1).count():
-        labels = components(links.union(more))
+        # Joins of whole components: contract to their labels, then follow both steps.
+        to = labels.select("id", "component")
+        ends = more.join(to.toDF("a", "ca"), "a", "left").join(to.toDF("b", "cb"), "b", "left")
+        ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        above = components(ends)
+        lone = above.join(to.select("id"), "id", "left_anti")
+        labels = (
+            labels.join(above.toDF("component", "up"), "component", "left")
+            .select("id", F.coalesce("up", "component").alias("component"))
+            .unionByName(lone)
+        )
+        labels = stage(labels, "labels")
 
     # Copies, then rows with equal ids, follow their class.
     joined = classes.select("doc_id", *whole).join(representatives.select("id", *whole), whole).select("doc_id", "id")
