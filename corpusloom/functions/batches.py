@@ -21,7 +21,8 @@ def map_batches(
     """Call ``fn`` on batches of ``batch_size`` rows; it may give any number of rows.
 
     With a dense ``ordinal`` a batch is that many consecutive rows. Without it batches
-    follow the partitions, which saves the shuffle for functions that work row by row.
+    follow the partitions, which saves the shuffle for functions that work row by row; only
+    the last one of a partition may be shorter.
     """
     if ordinal is not None:
         return df.groupBy(batch_of(ordinal, batch_size).alias("batch_id")).applyInPandas(
@@ -29,8 +30,17 @@ def map_batches(
         )
 
     def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        rows = 0
         for pdf in frames:
-            for i in range(0, len(pdf), batch_size):
-                yield fn(pdf.iloc[i : i + batch_size].reset_index(drop=True))
+            while len(pdf):
+                part, pdf = pdf.iloc[: batch_size - rows], pdf.iloc[batch_size - rows :]
+                held.append(part)
+                rows += len(part)
+                if rows == batch_size:
+                    yield fn(pd.concat(held, ignore_index=True))
+                    held, rows = [], 0
+        if held:
+            yield fn(pd.concat(held, ignore_index=True))
 
     return df.mapInPandas(chunks, schema)

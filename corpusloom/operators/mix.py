@@ -99,12 +99,21 @@ def source_sizes(
     """``(size of each source, bits of the largest key)``.
 
     The sizes are None, and stay in a table, when there are more than 1,000 sources or
-    they are not numbered 0, 1, 2, ...
+    they are not numbered 0, 1, 2, ... Null or negative keys are an error: the joins on
+    them would lose rows.
     """
-    per_source = df.groupBy(src).agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("last"))
+    per_source = df.groupBy(src).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(order).alias("last"),
+        F.min(order).alias("first"),
+        F.count(order).alias("known"),
+    )
     listed = per_source.orderBy(src).limit(MAX_LISTED_SOURCES + 1).collect()
     if len(listed) > MAX_LISTED_SOURCES:
         return None, measure_key_bits(df, order)
+    for r in listed:
+        if r[src] is None or r["known"] < r["n"] or r["first"] < 0:
+            raise ValueError(f"source {r[src]}: {src} and {order} must not be null or negative")
     bits = key_bits_for(max((r["last"] for r in listed), default=0))
     numbered = [r[src] for r in listed] == list(range(len(listed)))
     return [r["n"] for r in listed] if numbered and listed else None, bits

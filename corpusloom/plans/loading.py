@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from corpusloom.operators.rows import add_labels, holdout, require_columns
 from corpusloom.plans.pretokenize import PretokenizeOptions, pretokenize
 from corpusloom.sources.files import read_files_in_order, read_manifest, read_shards
 from corpusloom.sources.materialize import DatasetCache
+from corpusloom.sources.shards import has_progress, read_committed
 
 
 def load_manifest(
@@ -16,7 +19,7 @@ def load_manifest(
 ) -> tuple[DataFrame, DataFrame]:
     """Train and eval rows of a manifest, with labels; kept in ``cache`` if there is one."""
     manifest = read_manifest(spark, path)
-    name = path.rstrip("/").rsplit("/", 1)[-1]
+    name = md5(path.rstrip("/").encode()).hexdigest()  # manifests of one base name stay apart
 
     def build(files, first_n):
         rows = require_columns(read_files_in_order(spark, files, first_n=first_n))
@@ -40,7 +43,8 @@ def load_shards(
     spark: SparkSession, path: str, eval_rows: int = 1000, overlap: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """A shard directory; eval is its first rows by file and row number."""
-    rows = read_shards(spark, path)
+    # Where a progress table tells finished commits, files of others are not rows.
+    rows = read_committed(spark, path) if has_progress(spark, path) else read_shards(spark, path)
     keys = [c for c in ("shard", "commit") if c in rows.columns]
     placed = require_columns(rows).select(
         "*",

@@ -31,7 +31,7 @@ from corpusloom.sources.shards import (
 class PretokenizeOptions:
     """Settings of a run.
 
-    ``truncate=None`` keeps whole texts; the usual run truncates at the block size. The
+    ``truncate=None`` keeps whole texts, a number cuts them before EOS. The
     tokenizer is the name of an expression tokenizer or a byte-pair vocabulary; the latter
     closes texts with its own ``eos_id``, 2.
     """
@@ -40,7 +40,7 @@ class PretokenizeOptions:
     batch_size: int | None = 1000
     interleave: str = "all"
     max_documents: int | None = None
-    truncate: int | None = 1024
+    truncate: int | None = None
     eos_id: int | None = EOS_ID
     tokenizer: str | BpeModel = "codepoint"
 

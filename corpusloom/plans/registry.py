@@ -13,6 +13,7 @@ from corpusloom.functions import arrays, bpe, tokens, vocab
 from corpusloom.functions.batches import map_batches
 from corpusloom.operators import mix, pack, rows, sizing
 from corpusloom.operators.order import dense_ordinal
+from corpusloom.plans.loading import load_shards
 from corpusloom.plans.pretokenize import (
     PretokenizeOptions,
     order_documents,
@@ -139,9 +140,7 @@ _NUMBERED = (
 
 @query(
     "pretokenize",
-    f"""WITH {_D}, {_MIX},
-    c AS (SELECT pos, {_CP.format('text')}[1:1024] AS cut FROM m),
-    {_pack_sql(f"list_append(cut, {tokens.EOS_ID})", "ord // 1000", 1024, "c")}
+    f"""WITH {_D}, {_MIX}, {_pack_sql(_IDS, "ord // 1000", 1024)}
     SELECT batch_id, block_ord, n_tokens, ids_md5 FROM b""",
 )
 def _(spark, sf):
@@ -298,6 +297,29 @@ def _(spark, sf):
     return block_out(shards.read_committed(spark, path), "shard")
 
 
+@query("stream_append_shards", _IN_SHARDS)
+def _(spark, sf):
+    """A stream into a directory that holds a batch run's commit already."""
+    path, source = scratch_path(spark, "shards"), scratch_path(spark, "blocks")
+    blocks = numbered_blocks(spark, sf)
+    shards.write_shards(blocks.where(F.col("ord") < SHARD + 500), path, SHARD)
+    blocks.where(F.col("ord") >= SHARD + 500).withColumnRenamed("ord", "at").coalesce(1).write.parquet(source)
+    stream = files.read_stream(spark, source, spark.read.parquet(source).schema)
+    flows.run_batches(stream, flows.StreamShards(path, "at", SHARD), scratch_path(spark, "ckpt"))
+    return block_out(shards.read_committed(spark, path), "shard")
+
+
+@query("load_shards", _IN_SHARDS)
+def _(spark, sf):
+    """Loading leaves out the files of a commit that never finished."""
+    path = scratch_path(spark, "shards")
+    blocks = numbered_blocks(spark, sf)
+    shards.write_shards(blocks, path, SHARD)
+    blocks.where(F.col("ord") < 10).select("input_ids", "attention_mask").write.parquet(f"{path}/commit=1/shard=0")
+    train, _ = load_shards(spark, path)
+    return block_out(train, "shard")
+
+
 @query(
     "progress_table",
     f"""WITH {_D}, c AS (SELECT src_ord, lang, count(*) AS rows FROM d GROUP BY 1, 2),
@@ -567,12 +589,13 @@ _TURNS = f"""WITH w AS (SELECT conv_id, turn, role, text,
 
 @query(
     "special_single",
-    f"""{_TURNS}, i AS (SELECT conv_id, turn, list_concat([{tokens.BOS_ID}], a, [{tokens.EOS_ID}]) AS ids FROM ab)
-    SELECT conv_id, turn, len(ids) AS n_tokens, md5(array_to_string(ids, ' ')) AS ids_md5 FROM i""",
+    f"""WITH i AS (SELECT conv_id, turn, list_concat([{tokens.BOS_ID}], {_CP.format('text')}, [{tokens.EOS_ID}]) AS ids
+    FROM conversations) SELECT conv_id, turn, len(ids) AS n_tokens, md5(array_to_string(ids, ' ')) AS ids_md5 FROM i""",
 )
 def _(spark, sf):
     ids = tokens.add_special("a", eos_id=tokens.EOS_ID)
-    return block_out(_turns(spark, sf).withColumn("input_ids", ids), "conv_id", "turn")
+    every = table(spark, sf, "conversations").select("conv_id", "turn", tokens.codepoint_ids("text").alias("a"))
+    return block_out(every.withColumn("input_ids", ids), "conv_id", "turn")
 
 
 @query(

@@ -23,6 +23,8 @@ PROGRESS_SCHEMA = (
     "commit bigint, lang string, rows bigint, rows_done bigint, shard int, "
     "rows_in_shard bigint, done boolean"
 )
+# The log keeps, besides, which stream wrote a commit and from which of its micro-batches.
+LOG_SCHEMA = f"{PROGRESS_SCHEMA}, writer string, micro_batch bigint"
 
 
 def block_ordinal(
@@ -47,20 +49,22 @@ def assign_shard(df: DataFrame, max_samples: int, ord: str = "ord", start: int =
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    """Shards hold exactly the ids and the mask, as 64-bit integers."""
-    require_columns(df)
-    return df.withColumn("input_ids", F.col("input_ids").cast("array<bigint>")).withColumn(
-        "attention_mask", F.col("attention_mask").cast("array<bigint>")
+    """Shards hold the ids and the mask as 64-bit integers."""
+    return require_columns(df).withColumns(
+        {c: F.col(c).cast("array<bigint>") for c in ("input_ids", "attention_mask")}
     )
 
 
 def _write(df: DataFrame, path: str, max_samples: int, ord: str, start: int) -> None:
-    (
-        assign_shard(_stored(df), max_samples, ord, start)
+    moved = (
+        assign_shard(require_columns(df), max_samples, ord, start)
         .select("shard", ord, "input_ids", "attention_mask")
         .repartition("shard")
         .sortWithinPartitions("shard", ord)
         .drop(ord)
+    )
+    (
+        _stored(moved)  # widened after the shuffle
         .write.mode("overwrite")
         .partitionBy("shard")
         .option("compression", "snappy")
@@ -107,25 +111,34 @@ def append_shards(
 
 
 def commit_once(
-    blocks: DataFrame, path: str, number: int, max_samples: int = MAX_SAMPLES_PER_SHARD, ord: str = "ord"
+    blocks: DataFrame,
+    path: str,
+    micro_batch: int,
+    max_samples: int = MAX_SAMPLES_PER_SHARD,
+    ord: str = "ord",
+    writer: str = "stream",
 ) -> DataFrame:
-    """Append blocks as commit ``number``; a repeated call with that number does nothing."""
+    """Append the blocks of a stream's micro-batch once; a repeated call does nothing.
+
+    The log tells the micro-batches of each ``writer`` apart, so other commits in the same
+    directory, of batch runs or other streams, do not matter.
+    """
     spark = blocks.sparkSession
-    if progress(spark, path).where(F.col("commit") == number).count():
+    mine = (F.col("writer") == writer) & (F.col("micro_batch") == micro_batch)
+    if _log_rows(spark, path).where(mine).limit(1).count():
         return progress(spark, path)
     _, total = _rows_done(spark, path, "all")
-    return _commit(blocks, path, max_samples, ord, "all", total, total, False, number)
+    return _commit(blocks, path, max_samples, ord, "all", total, total, False, (writer, micro_batch))
 
 
-def _commit(df, path, max_samples, ord, lang, start, total, done, number=None) -> DataFrame:
+def _commit(df, path, max_samples, ord, lang, start, total, done, origin=(None, None)) -> DataFrame:
     spark = df.sparkSession
-    if number is None:
-        number = _next_commit(spark, path)
+    number = _next_commit(spark, path)
     target = f"{path}/commit={number}"
     _write(df, target, max_samples, ord, start)
     rows = _count_rows(spark, target)
     now = total + rows
-    entry = (number, lang, rows, now, int(now // max_samples), now % max_samples, done)
+    entry = (number, lang, rows, now, int(now // max_samples), now % max_samples, done, *origin)
     _log(spark, path, entry)
     return progress(spark, path)
 
@@ -204,13 +217,17 @@ def has_progress(spark: SparkSession, path: str) -> bool:
 
 def progress(spark: SparkSession, path: str) -> DataFrame:
     """One row per commit."""
+    return _log_rows(spark, path).drop("writer", "micro_batch")
+
+
+def _log_rows(spark: SparkSession, path: str) -> DataFrame:
     if not has_progress(spark, path):
-        return spark.createDataFrame([], PROGRESS_SCHEMA)
-    return spark.read.schema(PROGRESS_SCHEMA).parquet(_log_path(path))
+        return spark.createDataFrame([], LOG_SCHEMA)
+    return spark.read.schema(LOG_SCHEMA).parquet(_log_path(path))
 
 
 def _log(spark: SparkSession, path: str, entry: tuple) -> None:
-    spark.createDataFrame([entry], PROGRESS_SCHEMA).coalesce(1).write.mode("append").parquet(
+    spark.createDataFrame([entry], LOG_SCHEMA).coalesce(1).write.mode("append").parquet(
         _log_path(path)
     )
 

@@ -79,8 +79,10 @@ class StreamPacker:
 
     def _left(self, spark: SparkSession, number: int) -> tuple[int, int, int]:
         path = f"{self.path}/_state/{number}"
-        if number < 0 or not path_exists(spark, path):
+        if number < 0:
             return 0, 0, 0
+        if not path_exists(spark, path):
+            raise FileNotFoundError(f"the state of micro-batch {number} is missing: {path}")
         return tuple(spark.read.schema(STATE_SCHEMA).parquet(path).head())
 
     def _pending(self, spark: SparkSession, number: int) -> DataFrame:
@@ -221,8 +223,11 @@ class StreamInterleave:
 class StreamShards:
     """Each micro-batch of blocks becomes one commit of a shard directory."""
 
-    def __init__(self, path: str, order: str, max_samples: int = MAX_SAMPLES_PER_SHARD):
-        self.path, self.order, self.max_samples = path, order, max_samples
+    def __init__(
+        self, path: str, order: str, max_samples: int = MAX_SAMPLES_PER_SHARD, writer: str = "stream"
+    ):
+        self.path, self.order, self.max_samples, self.writer = path, order, max_samples, writer
 
     def __call__(self, df: DataFrame, number: int) -> None:
-        commit_once(dense_ordinal(df, self.order, out="ord"), self.path, number, self.max_samples)
+        rows = dense_ordinal(df, self.order, out="ord")
+        commit_once(rows, self.path, number, self.max_samples, writer=self.writer)

@@ -40,4 +40,4 @@ def test_query(spark, sf_dir, views, name):
 def test_flagship(spark):
     blocks = contract.entry(spark)
     assert blocks.columns == ["batch_id", "block_ord", "n_tokens", "ids_md5"]
-    assert blocks.count() == 195
+    assert blocks.count() == 3790

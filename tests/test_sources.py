@@ -275,3 +275,39 @@ def test_language_run_resumes_with_the_missing_language(spark, tmp_path):
     view = lambda p: sorted((r["shard"], r["input_ids"]) for r in shards.read_committed(spark, p).collect())
     assert view(whole) == view(parts)
     assert shards.finished_languages(spark, parts) == ["a", "b", "c"]
+
+
+def numbered(spark, n, start=0):
+    rows = [(i, [i] * 4, [1] * 4) for i in range(start, start + n)]
+    return spark.createDataFrame(rows, "ord bigint, input_ids array<int>, attention_mask array<int>")
+
+
+def test_stream_into_a_directory_with_a_batch_commit(spark, tmp_path):
+    path = str(tmp_path / "s")
+    shards.write_shards(numbered(spark, 8), path, 5)
+    for _ in range(2):  # the second call of a micro-batch does nothing
+        shards.commit_once(numbered(spark, 6), path, 0, 5)
+    shards.commit_once(numbered(spark, 2), path, 0, 5, writer="other")
+    assert shards.read_committed(spark, path).count() == 16
+    assert [r["commit"] for r in shards.progress(spark, path).orderBy("commit").collect()] == [0, 1, 2]
+
+
+def test_load_shards_leaves_out_an_unfinished_commit(spark, tmp_path):
+    path = str(tmp_path / "s")
+    shards.write_shards(numbered(spark, 8), path, 5)
+    numbered(spark, 3).drop("ord").write.parquet(f"{path}/commit=1/shard=1")
+    train, _ = load_shards(spark, path, 2)
+    assert train.count() == 8
+
+
+def test_map_batches_have_their_size_without_an_ordinal(spark):
+    df = spark.range(60000).coalesce(1)
+    sizes = map_batches(df, lambda p: p.head(1).assign(n=len(p))[["n"]], "n bigint", 25000).collect()
+    assert sorted(r["n"] for r in sizes) == [10000, 25000, 25000]
+
+
+def test_null_and_negative_keys_are_an_error(spark):
+    for bad in (None, -1):
+        docs = spark.createDataFrame([(0, 0, "a"), (0, bad, "b")], "src_ord int, doc_ord bigint, text string")
+        with pytest.raises(ValueError):
+            pretokenize(docs, PretokenizeOptions(block_size=1, batch_size=1))
