@@ -28,8 +28,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from corpusloom.llm import vector
 
 MAX_RANK_FILE_BYTES = 64 << 20
-WORD_MEMORY = 600_000
-GROUP_BYTES = 24 << 20
+WORD_MEMORY = 300_000
+GROUP_BYTES = 6 << 20
 
 _WORD = 63
 
@@ -134,7 +134,7 @@ class Coder:
         """Rank of the token that two neighbours would form, or -1."""
         if not len(self.pair_keys):
             return np.full(len(left), -1)
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
@@ -149,10 +149,10 @@ class Coder:
         lengths = np.array([len(w) for w in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
         n = len(data)
-        word = np.repeat(np.arange(len(words)), lengths)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         ends = np.cumsum(lengths)
-        token = self.byte_ids[data]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        token = self.byte_ids[data].astype(np.int32)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends[lengths > 0] - 1] = -1
         before[(ends - lengths)[lengths > 0]] = -1
         whole = [self.ranks.get(w) for w in words]
@@ -162,7 +162,7 @@ class Coder:
         token[np.repeat(done, lengths)] = -1
         token[first] = [w for w in whole if w is not None]
         after[first] = -1
-        rank_at = np.full(n, -1)  # rank of the live pair that starts at a position
+        rank_at = np.full(n, -1, np.int32)  # rank of the live pair that starts at a position
         live = np.flatnonzero((token >= 0) & (after >= 0))
         rank_at[live] = self.pair_rank(token[live], token[after[live]])
         live = live[rank_at[live] >= 0]
@@ -327,8 +327,13 @@ def _with(batch: pa.RecordBatch, name: str, column: pa.Array, kept: list[str]) -
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], [*kept, name])
 
 
-def encode(docs: DataFrame, ranks, pattern: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``ids array<int>``; ``ranks`` comes from ``load_ranks``."""
+def encode(
+    docs: DataFrame, ranks, pattern: str, text_col: str = "text", keep_text: bool = True, decoded: bool = False
+) -> DataFrame:
+    """``docs`` with ``ids array<int>``; ``ranks`` comes from ``load_ranks``.
+
+    With ``decoded`` the ids are decoded again in the same task, to ``decoded binary``.
+    """
     kept = [c for c in docs.columns if c not in ("ids", "decoded") and (keep_text or c != text_col)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,12 +343,25 @@ def encode(docs: DataFrame, ranks, pattern: str, text_col: str = "text", keep_te
                 batch = whole.slice(lo, hi - lo)
                 flat, ends = coder.encode([t or "" for t in batch.column(text_col).to_pylist()])
                 ids = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(flat))
-                yield _with(batch, "ids", ids, kept)
+                out = _with(batch, "ids", ids, kept)
+                if decoded:
+                    out = _with(out, "decoded", _bytes(coder, flat, ends), [*kept, "ids"])
+                yield out
 
     fields = [docs.schema[c] for c in kept] + [StructField("ids", ArrayType(IntegerType()))]
+    fields += [StructField("decoded", BinaryType())] * decoded
     return docs.mapInArrow(work, StructType(fields))
 
 
+def _bytes(coder: Coder, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of each run of ids; ``ends`` tells where the runs end."""
+    data, at = coder.decode(ids)
+    bounds = np.concatenate([[0], at])[np.concatenate([[0], ends])].astype(np.int32)
+    return pa.Array.from_buffers(
+        pa.binary(), len(ends), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())]
+    )
+
+
 def decode(tokens: DataFrame, ranks, pattern: str) -> DataFrame:
     """``tokens`` with ``decoded binary``, the bytes of ``ids``; null ids give no bytes."""
     kept = [c for c in tokens.columns if c != "decoded"]
@@ -355,11 +373,8 @@ def decode(tokens: DataFrame, ranks, pattern: str) -> DataFrame:
                 batch = whole.slice(lo, 256)
                 ids = batch.column("ids").fill_null([])
                 ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))])
-                data, at = coder.decode(ids.flatten().to_numpy(zero_copy_only=False))
-                bounds = np.concatenate([[0], at])[ends].tolist()
-                raw = data.tobytes()
-                out = [raw[a:b] for a, b in zip(bounds, bounds[1:])]
-                yield _with(batch, "decoded", pa.array(out, pa.binary()), kept)
+                column = _bytes(coder, ids.flatten().to_numpy(zero_copy_only=False), ends[1:])
+                yield _with(batch, "decoded", column, kept)
 
     fields = [tokens.schema[c] for c in kept] + [StructField("decoded", BinaryType())]
     return tokens.mapInArrow(work, StructType(fields))
@@ -370,8 +385,7 @@ def digests(docs: DataFrame, rank_path: str, pattern: str, carry: list[str] | No
     ranks = load_ranks(docs.sparkSession, rank_path)
     carry = carry or []
     given = [c for c in carry if c != "ids"]
-    ids = encode(docs.select("doc_id", *given, "text"), ranks, pattern, keep_text=False)
-    both = decode(ids, ranks, pattern)
+    both = encode(docs.select("doc_id", *given, "text"), ranks, pattern, keep_text=False, decoded=True)
     return both.select(
         "doc_id",
         *carry,
