@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import vector
+from corpusloom.llm.membership import matching
 from corpusloom.session import stage
 
 WINDOW = 8
@@ -210,8 +211,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    leaks = find_leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return matching(docs, find_leaks(docs, benchmark), "left_anti")
 
 
 def op2_template_leaks(spark, sf_dir: str) -> DataFrame:

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import vector
 from corpusloom.llm.components import components
+from corpusloom.llm.membership import matching
 from corpusloom.session import stage
 
 REGISTERS, ROWS = 128, 4
@@ -149,8 +150,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 packed = pa.array([s.tobytes() for s in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), packed], ["id", "items"])
 
-    texts = docs.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(sets, "id long, items binary")
-    return texts
+    return matching(docs, ids, "left_semi").mapInArrow(sets, "id long, items binary")
 
 
 def linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
@@ -351,7 +351,7 @@ def near_duplicates(
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group; rows whose id is null stay."""
     found = stage(near_duplicates(docs, width, percent).select("doc_id", "kept"), "kept")
-    left = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    left = matching(docs, found.where("NOT kept"), "left_anti")
     ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
     if ids.where("c > 1").limit(1).count() == 0:
         return left
