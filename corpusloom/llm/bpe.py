@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from corpusloom.llm import vector
 MAX_RANK_FILE_BYTES = 64 << 20
 WORD_MEMORY = 300_000
 GROUP_BYTES = 6 << 20
+RUNS_AT_ONCE = 1 << 16
+LONG_TEXT = 1 << 18
 
 _WORD = 63
 
@@ -97,8 +99,14 @@ class Runs:
         """The runs numbered ``at``, joined, and where each ends."""
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.arange(total) + np.repeat(self.offsets[at] - ends + lengths, lengths)], ends
+        out = np.empty(int(ends[-1]) if len(ends) else 0, self.flat.dtype)
+        for lo in range(0, len(at), RUNS_AT_ONCE):
+            part = slice(lo, lo + RUNS_AT_ONCE)
+            n, start = lengths[part], int(ends[lo] - lengths[lo])
+            stop = int(ends[part][-1])
+            shift = self.offsets[at[part]] - (ends[part] - n - start)
+            out[start:stop] = self.flat[np.arange(stop - start) + np.repeat(shift, n)]
+        return out, ends
 
 
 class Coder:
@@ -110,7 +118,7 @@ class Coder:
         self.find_latin = _latin_pattern(pattern)
         self.size = max(ranks.values(), default=-1) + 1
         self.queue = RankQueue(max(1, self.size))  # empty between uses
-        self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         pairs = {}
         for piece, rank in ranks.items():
             for cut in range(1, len(piece)):
@@ -151,7 +159,7 @@ class Coder:
         n = len(data)
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         ends = np.cumsum(lengths)
-        token = self.byte_ids[data].astype(np.int32)
+        token = self.byte_ids[data]
         after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends[lengths > 0] - 1] = -1
         before[(ends - lengths)[lengths > 0]] = -1
@@ -163,11 +171,13 @@ class Coder:
         token[first] = [w for w in whole if w is not None]
         after[first] = -1
         rank_at = np.full(n, -1, np.int32)  # rank of the live pair that starts at a position
-        live = np.flatnonzero((token >= 0) & (after >= 0))
-        rank_at[live] = self.pair_rank(token[live], token[after[live]])
-        live = live[rank_at[live] >= 0]
         queue = self.queue
-        queue.push_all(rank_at[live], live)
+        for lo in range(0, n, RUNS_AT_ONCE):
+            part = slice(lo, lo + RUNS_AT_ONCE)
+            live = (np.flatnonzero((token[part] >= 0) & (after[part] >= 0)) + lo).astype(np.int32)
+            rank_at[live] = self.pair_rank(token[live], token[after[live]])
+            live = live[rank_at[live] >= 0]
+            queue.push_all(rank_at[live], live)
         while (entry := queue.pop()) is not None:
             rank, at = entry
             at = at[rank_at[at] == rank]
@@ -224,15 +234,19 @@ class Coder:
         if len(changed):
             self.queue.push_all(rank_at[changed], changed)
 
-    def pieces(self, text: str) -> list[str]:
-        """Matches of the pattern; Latin text takes an equal pattern with its classes spelled out."""
+    def pieces(self, text: str) -> Iterable[str]:
+        """Matches of the pattern; Latin text takes an equal pattern with its classes spelled out.
+
+        Those of a long text come one by one, as all of them take many times its size.
+        """
+        find = self.find
         if self.find_latin is not None:
             try:
                 text.encode("latin-1")
-                return self.find_latin.findall(text)
+                find = self.find_latin
             except UnicodeEncodeError:
                 pass
-        return self.find.findall(text)
+        return find.findall(text) if len(text) < LONG_TEXT else (m[0] for m in find.finditer(text))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, joined, and where each text ends; what no match covers is left out."""
