@@ -29,7 +29,6 @@ from corpusloom.llm import vector
 
 MAX_RANK_FILE_BYTES = 64 << 20
 WORD_MEMORY = 300_000
-GROUP_BYTES = 6 << 20
 RUNS_AT_ONCE = 1 << 16
 LONG_TEXT = 1 << 18
 
@@ -348,12 +347,13 @@ def encode(
 
     With ``decoded`` the ids are decoded again in the same task, to ``decoded binary``.
     """
+    vector.bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("ids", "decoded") and (keep_text or c != text_col)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks, pattern)
         for whole in batches:
-            for lo, hi in vector.groups(vector.texts(whole.column(text_col))[1], GROUP_BYTES):
+            for lo, hi in vector.groups(vector.texts(whole.column(text_col))[1], vector.BATCH_BYTES):
                 batch = whole.slice(lo, hi - lo)
                 flat, ends = coder.encode([t or "" for t in batch.column(text_col).to_pylist()])
                 ids = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(flat))
@@ -378,6 +378,7 @@ def _bytes(coder: Coder, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def decode(tokens: DataFrame, ranks, pattern: str) -> DataFrame:
     """``tokens`` with ``decoded binary``, the bytes of ``ids``; null ids give no bytes."""
+    vector.bound_batches(tokens.sparkSession)
     kept = [c for c in tokens.columns if c != "decoded"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,6 +36,7 @@ LITERAL_SHARE = (5, 8)
 LEAST_WINDOWS = 2
 BITS = 1 << 24
 PAGE = 32768
+GROUP_BYTES = 1 << 20
 
 # Unit words that count as units after a number.
 UNITS = (
@@ -115,6 +116,12 @@ def _texts_of(lower_text: bytes, starts, ends, kind) -> list[str]:
     ]
 
 
+def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bitmap holds each hash."""
+    place = hashes % np.uint64(BITS)
+    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 OUT = "id long, width int, place int, hash long, words array<string>"
 
 
@@ -125,11 +132,11 @@ def windows(rows: DataFrame, widths: list[int] | None, bitmap=None) -> DataFrame
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").view(bool) if bitmap else None
+        bits = np.frombuffer(bitmap.value, np.uint8) if bitmap else None
         for batch in batches:
             ids = batch.column("id").to_pylist()
             data, bounds = vector.texts(batch.column("text"))
-            for lo, hi in vector.groups(bounds):
+            for lo, hi in vector.groups(bounds, GROUP_BYTES):
                 part = data[bounds[lo] : bounds[hi]]
                 starts, ends, kind, shape, first = template(part, bounds[lo : hi + 1] - bounds[lo])
                 own = np.diff(first)
@@ -138,7 +145,7 @@ def windows(rows: DataFrame, widths: list[int] | None, bitmap=None) -> DataFrame
                 for width in widths or sorted({min(WINDOW, int(n)) for n in own} - {0}):
                     at, hashes = _windows(kind, shape, first, width)
                     row = np.searchsorted(first, at, "right") - 1
-                    keep = np.ones(len(at), bool) if bits is None else bits[(hashes % np.uint64(BITS)).astype(np.int64)]
+                    keep = np.ones(len(at), bool) if bits is None else _held(bits, hashes)
                     if widths is None:
                         keep &= np.minimum(WINDOW, own[row]) == width
                     for i, h, r in zip(at[keep].tolist(), hashes[keep].view(np.int64).tolist(), row[keep].tolist(), strict=True):
@@ -151,6 +158,7 @@ def windows(rows: DataFrame, widths: list[int] | None, bitmap=None) -> DataFrame
                     columns += [pa.array(d, pa.int64()), pa.array(e, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(columns, ["id", "width", "place", "hash", "words"])
 
+    vector.bound_batches(rows.sparkSession)
     return rows.mapInArrow(work, OUT)
 
 

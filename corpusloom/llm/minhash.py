@@ -261,6 +261,7 @@ def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row for each row of ``docs``."""
+    vector.bound_batches(docs.sparkSession)
     threshold = percent / 100
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stage(signatures(rows, width), "signatures")

@@ -155,6 +155,7 @@ def _second_person() -> np.ndarray:
 def with_features(docs: DataFrame, lexicon, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all) and the features; ``lexicon`` holds sorted hashes and weights."""
     kept = docs.columns if keep is None else keep
+    vector.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most LEXICON entries
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
+BATCH_BYTES = 6 << 20
 GROUP_BYTES = 1 << 21
 SEGMENT_BYTES = 1 << 19
 
@@ -22,6 +24,15 @@ _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=n
 _powers: dict[str, np.ndarray] = {}
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session send rows to Python in Arrow batches of about ``BATCH_BYTES``, or of one longer row.
+
+    The default is ten times that, which executor and worker each hold twice for every task. Only
+    the cut into batches changes, and no result depends on it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over the 64 output bits."""
     x = x ^ (x >> np.uint64(33))

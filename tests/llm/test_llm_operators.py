@@ -308,6 +308,14 @@ def test_digests_of_odd_texts(spark, ranks):
     assert all(bytes(r["decoded"]).decode() == (r["text"] or "") for r in back)
 
 
+def test_texts_longer_than_a_batch(spark, ranks):
+    _, public = ranks
+    texts = ["short", "ab cd " * 1_500_000, None, "end"]
+    out = bpe.digests(docs(spark, texts), public.path("byte_bpe_50k.tiktoken"), public.PATTERN).collect()
+    assert [r["decoded_sha256"] for r in sorted(out)] == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
+    assert sorted(out)[1]["n_tokens"] == 3_000_001  # the last blank stands alone
+
+
 def test_tiny_vocabulary_merges_in_rank_order():
     lines = [b"a", b"b", b"ab", b"aa", b"aab"]
     table = bpe.read_ranks(b"\n".join(base64.b64encode(p) + b" %d" % k for k, p in enumerate(lines)))
