@@ -379,15 +379,22 @@ def _(spark, sf):
     return _prepared(spark, sf)[0].info()
 
 
-@query("fingerprint")
-def _(spark, sf):
-    """One entry per table file, and the hash of the list so far."""
-    names = ("benchmark", "conversations", "documents", "pages")
-    listed = [f"{sf}/{n}.parquet" for n in names] + [f"{sf}/none.parquet"]
-    whole = materialize.fingerprint(spark, listed, {"block_size": BLOCK})
-    return materialize.file_entries(spark, listed).select(
-        "file_ord", F.sha2("entry", 256).alias("entry"), F.lit(whole).alias("fingerprint")
-    )
+@query(
+    "fingerprint",
+    f"""WITH e AS (SELECT page_id AS place, concat_ws(':', url, strlen(html)) AS part FROM pages),
+    a AS (SELECT CAST(floor(place / {materialize.CHUNK}) AS BIGINT) AS chunk, count(*) AS n,
+      sha256(string_agg(part, chr(10) ORDER BY place, part)) AS part FROM e GROUP BY 1),
+    b AS (SELECT CAST(floor(a.chunk / {materialize.CHUNK}) AS BIGINT) AS upper, sum(n) AS n,
+      sha256(string_agg(part, chr(10) ORDER BY a.chunk)) AS part FROM a GROUP BY 1)
+    SELECT CAST(sum(n) AS BIGINT) AS entries,
+      sha256(string_agg(part, chr(10) ORDER BY upper) || chr(10) || '{materialize.config_text({"block_size": BLOCK})}')
+      AS fingerprint FROM b""",
+)
+def _(spark, sf):
+    """Pages as the list of files: address and size, in the order of their ids."""
+    entry = F.concat_ws(":", "url", F.octet_length("html").cast("string"))
+    listed = table(spark, sf, "pages").select(F.col("page_id").alias("file_ord"), entry.alias("entry"))
+    return materialize.fingerprint_of(listed, {"block_size": BLOCK})
 
 
 # Projections and filters

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.sources.files import delete_path, path_exists, scan_name
 
+CHUNK = 1000
 INDEX_SCHEMA = (
     "seq bigint, key string, fingerprint string, path string, files array<string>, "
     "config string, num_samples bigint"
@@ -47,13 +48,27 @@ def file_entries(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     )
 
 
+def fingerprint_of(entries: DataFrame, config: Mapping) -> DataFrame:
+    """One row: the number of ``entries(file_ord, entry)`` and the SHA-256 over them and ``config``.
+
+    Entries are hashed in order in chunks of ``CHUNK``, chunk hashes in chunks again, and the
+    rest with the configuration, so no task holds the list.
+    """
+    level = entries.select(F.col("file_ord").alias("place"), F.col("entry").alias("part"), F.lit(1).alias("n"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "part"))), lambda s: s["part"]), "\n")
+    for _ in range(2):
+        level = level.groupBy(F.floor(F.col("place") / CHUNK).alias("chunk")).agg(
+            F.sha2(joined, 256).alias("part"), F.sum("n").alias("n")
+        ).withColumnRenamed("chunk", "place")
+    return level.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("entries"),
+        F.sha2(F.concat(joined, F.lit("\n" + config_text(config))), 256).alias("fingerprint"),
+    )
+
+
 def fingerprint(spark: SparkSession, files: Sequence[str], config: Mapping) -> str:
     """SHA-256 over the listed files, in list order, and the configuration."""
-    lines = F.transform(
-        F.sort_array(F.collect_list(F.struct("file_ord", "entry"))), lambda s: s["entry"]
-    )
-    body = F.concat(F.array_join(lines, "\n"), F.lit("\n" + config_text(config)))
-    return file_entries(spark, files).agg(F.sha2(body, 256)).head()[0]
+    return fingerprint_of(file_entries(spark, files), config).head()["fingerprint"]
 
 
 class DatasetCache:
