@@ -334,39 +334,6 @@ def encode_bpe(df: DataFrame, model: BpeModel, text: str = "text", out: str = "i
     return spread(df).withColumn(out, bpe_ids(df.sparkSession, model, text))
 
 
-def ids_decoder(model: BpeModel, skip_special: bool = False, spaces_between: bool = False):
-    """A function from ids to text."""
-    byte_of = {i: int(p[3:5], 16) for p, i in model.with_kind("byte").items()}
-    special = set(model.with_kind("control", "user").values())
-
-    def run_text(ids: list[int]) -> str:
-        raw = bytearray()
-        for i in ids:
-            if i in byte_of:
-                raw.append(byte_of[i])
-            else:
-                raw += model.pieces[i].encode("utf-8")
-        return raw.decode("utf-8", errors="replace")
-
-    def decode(ids) -> str:
-        parts: list[str] = []
-        run: list[int] = []
-        for i in ids if ids is not None else ():
-            i = int(i)
-            if i not in special:
-                run.append(i)
-            elif not skip_special:
-                if run:
-                    parts.append(run_text(run))
-                parts.append(model.pieces[i])
-                run = []
-        if run:
-            parts.append(run_text(run))
-        return (" " if spaces_between else "").join(parts).replace(WORD_MARK, " ")
-
-    return decode
-
-
 def decode_bpe(
     df: DataFrame,
     model: BpeModel,
@@ -375,16 +342,31 @@ def decode_bpe(
     skip_special: bool = False,
     spaces_between: bool = False,
 ) -> DataFrame:
-    """Add the text of token ids; a map over Arrow batches."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    """Add the text of token ids, from built-in expressions alone.
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = ids_decoder(shared.value, skip_special, spaces_between)
-        for lists in batches:
-            yield lists.map(one)
-
-    return spread(df).withColumn(out, decode(ids))
+    Pieces are looked up as hexadecimal bytes in one constant array. Bytes that are not UTF-8
+    become the replacement character, runs of them as Python's ``errors="replace"`` has it.
+    ``spaces_between`` parts special tokens from their neighbours by a blank.
+    """
+    byte_of = {i: p[3:5] for p, i in model.with_kind("byte").items()}
+    special = sorted(model.with_kind("control", "user").values())
+    hexed = [byte_of.get(i, p.encode("utf-8").hex()) for i, p in enumerate(model.pieces)]
+    if skip_special:
+        for i in special:
+            hexed[i] = ""
+    pieces = F.split(F.lit(",".join(hexed)), ",")
+    listed = F.coalesce(F.col(ids), F.array().cast("array<int>"))
+
+    def piece(x, i):
+        found = F.element_at(pieces, (x + 1).cast("int"))
+        if skip_special or not spaces_between:
+            return found
+        edge = (i > 0) & (x.isin(special) | F.get(listed, i - 1).isin(special))
+        return F.concat(F.when(edge, "20").otherwise(""), found)
+
+    raw = F.unhex(F.array_join(F.transform(listed, piece), ""))
+    valid = F.make_valid_utf8(raw.cast("string"))
+    return df.withColumn(out, F.replace(valid, F.lit(WORD_MARK), F.lit(" ")))
 
 
 def compare_tokenizations(

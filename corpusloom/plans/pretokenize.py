@@ -14,11 +14,14 @@ from corpusloom.operators.mix import concat_ordinal, interleave_documents, sourc
 from corpusloom.operators.order import LIGHT_BITS, dense_ordinal, key_bits_for
 from corpusloom.operators.pack import WINDOW_BATCH, batch_of, pack_blocks
 from corpusloom.operators.rows import cap_documents, filter_nonempty, filter_valid_text, has_text
-from corpusloom.session import spread, stage
+from corpusloom.session import scratch_path, spread, stage
 from corpusloom.sources.shards import (
     MAX_SAMPLES_PER_SHARD,
     block_ordinal,
+    commit_once,
+    commits_by_writer,
     finished_languages,
+    has_progress,
     progress,
     read_committed,
     write_dataset_info,
@@ -100,15 +103,51 @@ def pretokenize_to_shards(
     opts: PretokenizeOptions = PretokenizeOptions(),
     max_samples: int = MAX_SAMPLES_PER_SHARD,
     resume: bool = False,
+    batches_per_commit: int | None = None,
+    max_commits: int | None = None,
 ) -> DataFrame:
     """The whole run, from documents to shards with their sidecar; gives the progress table.
 
-    The blocks are staged: numbering and writing them reads them twice.
+    With ``batches_per_commit`` the run saves as it goes, one commit for so many batches, and
+    ``resume`` tokenizes only the batches that no commit holds yet; ``max_commits`` stops it
+    early. A commit is a job over all cores, so it should hold many batches. Without it the
+    whole corpus is one commit. A finished run is not done again.
     """
-    blocks = block_ordinal(stage(pretokenize(docs, opts), "blocks"))
-    table = write_shards(blocks, path, max_samples, resume=resume)
-    write_dataset_info(read_committed(docs.sparkSession, path), path)
-    return table
+    spark = docs.sparkSession
+    if not resume and has_progress(spark, path):
+        raise FileExistsError(f"{path} holds shards already; pass resume=True to go on")
+    if "all" in finished_languages(spark, path):
+        return progress(spark, path)
+    if batches_per_commit is None:
+        # The blocks are staged: numbering and writing them reads them twice.
+        write_shards(block_ordinal(stage(pretokenize(docs, opts), "blocks")), path, max_samples, resume=resume)
+    else:
+        _commit_batches(docs, path, opts, max_samples, batches_per_commit, max_commits)
+    write_dataset_info(read_committed(spark, path), path)
+    return progress(spark, path)
+
+
+def _commit_batches(docs, path, opts, max_samples, batches_per_commit, max_commits) -> None:
+    """Commit after commit, each from its own folder of documents in order."""
+    if not opts.batch_size or opts.batch_size <= 0:
+        raise ValueError("a run that commits batches needs a batch_size")
+    spark = docs.sparkSession
+    span = batches_per_commit * opts.batch_size
+    writer = f"batches-{span}"
+    made = commits_by_writer(spark, path)
+    if made.keys() - {writer}:
+        raise ValueError(f"{path} was begun with other batches: {sorted(made)}")
+    number = made.get(writer, 0)
+    placed = order_documents(docs, opts).select("ord", "text").withColumn("part", F.expr(f"ord div {int(span)}"))
+    folder = scratch_path(spark, "ordered")
+    placed.where(F.col("part") >= number).repartitionByRange("ord").write.partitionBy("part").parquet(folder)
+    ordered = spark.read.schema("ord bigint, text string, part bigint").parquet(folder)
+    last = ordered.agg(F.max("part")).head()[0]
+    last = number if last is None else last
+    stop = last + 1 if max_commits is None else min(last + 1, number + max_commits)
+    for part in range(number, stop):
+        blocks = stage(_pack(ordered.where(F.col("part") == part).drop("part"), opts), "blocks")
+        commit_once(block_ordinal(blocks), path, part, max_samples, writer=writer, done=part == last)
 
 
 def pretokenize_languages_to_shards(

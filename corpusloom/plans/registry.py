@@ -19,6 +19,7 @@ from corpusloom.plans.pretokenize import (
     order_documents,
     pretokenize,
     pretokenize_by_language,
+    pretokenize_to_shards,
     tokenize_documents,
 )
 from corpusloom.session import scratch_path, spread, stage
@@ -270,6 +271,16 @@ def _(spark, sf):
     return block_out(shards.read_committed(spark, path), "shard")
 
 
+@query("pretokenize_resume", _IN_SHARDS)
+def _(spark, sf):
+    """The run that saves as it goes: stopped after one commit, then resumed to the end."""
+    path, docs = scratch_path(spark, "shards"), documents(spark, sf)
+    every = max(1, docs.count() // BATCH // 3)
+    pretokenize_to_shards(docs, path, WHOLE, SHARD, batches_per_commit=every, max_commits=1)
+    pretokenize_to_shards(docs, path, WHOLE, SHARD, resume=True, batches_per_commit=every)
+    return block_out(shards.read_committed(spark, path), "shard")
+
+
 @query(
     "shard_append",
     f"""WITH {_D}, m AS (SELECT src_ord, text,

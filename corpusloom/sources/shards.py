@@ -56,10 +56,11 @@ def _stored(df: DataFrame) -> DataFrame:
 
 
 def _write(df: DataFrame, path: str, max_samples: int, ord: str, start: int) -> None:
+    # By ranges of the ordinal: a shard may take several tasks, whose files follow one another.
     moved = (
         assign_shard(require_columns(df), max_samples, ord, start)
         .select("shard", ord, "input_ids", "attention_mask")
-        .repartition("shard")
+        .repartitionByRange(ord)
         .sortWithinPartitions("shard", ord)
         .drop(ord)
     )
@@ -117,6 +118,7 @@ def commit_once(
     max_samples: int = MAX_SAMPLES_PER_SHARD,
     ord: str = "ord",
     writer: str = "stream",
+    done: bool = False,
 ) -> DataFrame:
     """Append the blocks of a stream's micro-batch once; a repeated call does nothing.
 
@@ -128,7 +130,7 @@ def commit_once(
     if _log_rows(spark, path).where(mine).limit(1).count():
         return progress(spark, path)
     _, total = _rows_done(spark, path, "all")
-    return _commit(blocks, path, max_samples, ord, "all", total, total, False, (writer, micro_batch))
+    return _commit(blocks, path, max_samples, ord, "all", total, total, done, (writer, micro_batch))
 
 
 def _commit(df, path, max_samples, ord, lang, start, total, done, origin=(None, None)) -> DataFrame:
@@ -251,6 +253,12 @@ def finished_languages(spark: SparkSession, path: str) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
+def commits_by_writer(spark: SparkSession, path: str) -> dict[str, int]:
+    """How many numbered commits each writer has made; one entry per writer."""
+    rows = _log_rows(spark, path).where("writer IS NOT NULL").groupBy("writer").agg(F.countDistinct("micro_batch"))
+    return {r[0]: r[1] for r in rows.collect()}
+
+
 def _count_rows(spark: SparkSession, path: str) -> int:
     """Row count from the file footers."""
     return spark.read.schema("input_ids array<bigint>").parquet(path).count()

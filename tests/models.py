@@ -86,3 +86,16 @@ def encode_word(symbols, ranks):
             return symbols
         _, i = min(known)
         symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+
+
+def decode_pieces(ids, pieces, kinds, skip_special=False, spaces_between=False):
+    """Runs of ordinary pieces become text on their own; special tokens stand between them."""
+    parts, run = [], b""
+    for i in ids:
+        if kinds[i] not in ("control", "user"):
+            run += bytes([int(pieces[i][3:5], 16)]) if kinds[i] == "byte" else pieces[i].encode()
+        elif not skip_special:
+            parts += [run.decode("utf-8", "replace")] * bool(run) + [pieces[i]]
+            run = b""
+    parts += [run.decode("utf-8", "replace")] * bool(run)
+    return (" " if spaces_between else "").join(parts).replace("\u2581", " ")

@@ -77,10 +77,10 @@ def test_training_stops_when_no_pair_is_left(spark):
 
 
 TEXTS = [
-    "Hello world!",
-    "This is a test.",
-    "Testing 你好世界 with mixed scripts.",
-    "Byte fallback test: \x00\x01\x02",
+    "Seven herons, one pond!",
+    "Nothing new here.",
+    "A river (河川) runs past the Hügel.",
+    "control bytes \x00 \x01\x7f end",
     "  two  blanks\n\tand lines ",
     "",
     "user <|user|> said<|eot_id|>",
@@ -107,6 +107,22 @@ def test_round_trip(spark, model):
     assert spaced["back"] == "user  <|user|>  said <|eot_id|>"
 
 
+def test_decoding_equals_a_plain_decoder(spark, model):
+    rng = random.Random(5)
+    first = model.kinds.index("byte")
+    near_bytes = [first + b for b in "é😀a".encode()] + [first + 0xFF, first + 0xC3]
+    lists = [None, []] + [
+        [rng.choice(near_bytes) if rng.random() < 0.6 else rng.randrange(len(model.pieces)) for _ in range(rng.randrange(40))]
+        for _ in range(150)
+    ]
+    df = spark.createDataFrame(list(enumerate(lists)), "k int, input_ids array<int>")
+    for skip, spaces in ((False, False), (True, False), (False, True), (True, True)):
+        got = bpe.decode_bpe(df, model, out="back", skip_special=skip, spaces_between=spaces)
+        assert "Python" not in got._jdf.queryExecution().toString()
+        want = [models.decode_pieces(x or [], model.pieces, model.kinds, skip, spaces) for x in lists]
+        assert [r["back"] for r in got.orderBy("k").collect()] == want
+
+
 def test_flow_with_a_vocabulary(spark, model):
     texts = [t for t in TEXTS if t.strip()] * 3
     docs = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "src_ord int, doc_ord bigint, text string")

@@ -136,7 +136,7 @@ def test_bad_settings(spark):
 
 
 def test_sentences_pack_to_blocks_without_labels(spark):
-    texts = [f"This is a sample sentence for testing purposes, number {i}." for i in range(300)]
+    texts = [f"Row {i} of the ledger lists grain, salt and two bolts of linen." for i in range(300)]
     opts = PretokenizeOptions(128, 1000, truncate=128)
     blocks = pretokenize(corpus(spark, [texts]), opts)
     assert blocks.columns == ["batch_id", "block_ord", "input_ids", "attention_mask"]

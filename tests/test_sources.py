@@ -266,6 +266,29 @@ def test_run_to_shards(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "s/_dataset_info")).head()["num_examples"] == stored.count()
 
 
+def test_run_saves_as_it_goes_and_resumes(spark, tmp_path):
+    opts = PretokenizeOptions(block_size=8, batch_size=5)
+    whole, parts = str(tmp_path / "w"), str(tmp_path / "p")
+    view = lambda p: sorted((r["shard"], r["input_ids"]) for r in shards.read_committed(spark, p).collect())
+    pretokenize_to_shards(run_docs(spark), whole, opts, 10)
+    pretokenize_to_shards(run_docs(spark), parts, opts, 10, batches_per_commit=1, max_commits=2)
+    assert shards.finished_languages(spark, parts) == []
+    with pytest.raises(FileExistsError):
+        pretokenize_to_shards(run_docs(spark), parts, opts, 10, batches_per_commit=1)
+    with pytest.raises(ValueError, match="other batches"):
+        pretokenize_to_shards(run_docs(spark), parts, opts, 10, resume=True, batches_per_commit=2)
+    # What is committed is not tokenized again: another text there changes nothing.
+    changed = run_docs(spark).withColumn("text", F.when(F.col("doc_ord") < 3, "?").otherwise(F.col("text")))
+    for _ in range(2):
+        table = pretokenize_to_shards(changed, parts, opts, 10, resume=True, batches_per_commit=1)
+    assert view(whole) == view(parts)
+    assert shards.finished_languages(spark, parts) == ["all"]
+    assert table.count() == 5
+    none = run_docs(spark).limit(0)
+    empty = pretokenize_to_shards(none, str(tmp_path / "e"), opts, 10, batches_per_commit=1)
+    assert [r["rows"] for r in empty.collect()] == [0]
+
+
 def test_language_run_resumes_with_the_missing_language(spark, tmp_path):
     opts = PretokenizeOptions(block_size=8, batch_size=5, truncate=None, max_documents=17)
     whole, parts = str(tmp_path / "w"), str(tmp_path / "p")
