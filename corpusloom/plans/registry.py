@@ -169,6 +169,31 @@ def _(spark, sf):
     return df.select("doc_ord", "lang", text_md5().alias("text_md5"))
 
 
+def _web_catalog(sf: str) -> dict[str, catalog.Source]:
+    """English documents, and pages, which are read without a key."""
+    return {
+        "en": catalog.Source(f"{sf}/documents.parquet", "lang = 'en'"),
+        "web": catalog.Source(f"{sf}/pages.parquet", text="html", key=None),
+    }
+
+
+@query("read_corpus_by_row", "SELECT row_number() OVER (ORDER BY page_id) - 1 AS doc_ord, md5(html) AS text_md5 FROM pages")
+def _(spark, sf):
+    df = catalog.read_corpus(spark, _web_catalog(sf), "web")
+    return df.select("doc_ord", text_md5().alias("text_md5"))
+
+
+@query(
+    "pretokenize_files",
+    f"""WITH d AS (SELECT 0 AS src_ord, doc_id AS doc_ord, text FROM documents WHERE lang = 'en'
+    UNION ALL SELECT 1, page_id, html FROM pages), {_MIX}, {_pack_sql(_IDS, f"ord // {BATCH}")}
+    SELECT batch_id, block_ord, n_tokens, ids_md5 FROM b""",
+)
+def _(spark, sf):
+    docs = catalog.read_corpora(spark, _web_catalog(sf), ["en", "web"])
+    return block_out(pretokenize(docs, WHOLE), "batch_id", "block_ord")
+
+
 @query(
     "read_corpora_skip",
     """SELECT CASE lang WHEN 'fr' THEN 0 ELSE 1 END AS src_ord, doc_id AS doc_ord, lang,

@@ -266,6 +266,33 @@ def test_run_to_shards(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "s/_dataset_info")).head()["num_examples"] == stored.count()
 
 
+def test_sources_without_a_key_in_other_formats_and_as_streams(spark, tmp_path):
+    rows, lines, odd = (str(tmp_path / n) for n in ("rows", "lines", "odd"))
+    for i in range(3):
+        part = spark.createDataFrame([(f"u{i}", f"{i}-{k}") for k in range(4)], "url string, text string")
+        part.coalesce(1).write.mode("append").parquet(rows)
+    spark.createDataFrame([(7, "x"), (8, "y")], "id int, body string").write.json(lines)
+    spark.createDataFrame([("a", 5)], "text string, ord int").write.parquet(odd)
+    known = {
+        "rows": catalog.Source(rows, key=None),
+        "some": catalog.Source(rows, "url <> 'u1'", key=None),
+        "lines": catalog.Source(lines, text="body", key="id", format="json", schema="id int, body string"),
+        "odd": catalog.Source(odd, key=None),
+        "bad": catalog.Source(lines, text="body", key=None, format="json"),
+    }
+    got = catalog.read_corpus(spark, known, "rows").orderBy("doc_ord").collect()
+    assert [r["doc_ord"] for r in got] == list(range(12))
+    assert [r["text"][1:] for r in got] == ["-0", "-1", "-2", "-3"] * 3
+    kept = {(r["doc_ord"], r["text"]) for r in got if not r["text"].startswith("1")}
+    assert {(r["doc_ord"], r["text"]) for r in catalog.read_corpus(spark, known, "some").collect()} == kept
+    assert catalog.read_corpus(spark, known, "odd").head()["doc_ord"] == 0
+    assert {tuple(r) for r in catalog.read_corpus(spark, known, "lines").collect()} == {(7, "lines", "x"), (8, "lines", "y")}
+    with pytest.raises(ValueError, match="without a key"):
+        catalog.read_corpus(spark, known, "bad")
+    stream = catalog.read_corpora(spark, known, ["lines"], streaming=True)
+    assert stream.isStreaming and stream.columns == ["src_ord", "doc_ord", "lang", "text"]
+
+
 def test_run_saves_as_it_goes_and_resumes(spark, tmp_path):
     opts = PretokenizeOptions(block_size=8, batch_size=5)
     whole, parts = str(tmp_path / "w"), str(tmp_path / "p")
