@@ -35,6 +35,7 @@ SAMPLE = 12_000
 LEXICON = 20_000
 LEAST_RATIO = 25.0
 LEAST_ODDS = 1.5
+GROUP_BYTES = 1 << 20
 BEGINNING = 5
 NEAR = 5
 CUT = 0.7
@@ -91,13 +92,20 @@ def _held(lexicon, hashes: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == hashes, weights[at], 0.0)
 
 
+def _sums(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each place."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
 def _features(data: np.ndarray, bounds: np.ndarray, lexicon) -> np.ndarray:
     rows = len(bounds) - 1
     lower = _lower(data)
     starts, ends, hashes = vector.words(lower, bounds, _WORD[lower])
     doc = np.searchsorted(bounds, starts, "right") - 1
     per = lambda d, w=None: np.bincount(d, w, rows)
-    byte_doc = np.repeat(np.arange(rows), np.diff(bounds))
+    byte_doc = np.repeat(np.arange(rows, dtype=np.int32), np.diff(bounds))
     share = lambda table, of=data: per(byte_doc[table[of]])
     words = np.maximum(per(doc), 1.0)
     size = np.maximum(np.diff(bounds), 1.0)
@@ -115,16 +123,16 @@ def _features(data: np.ndarray, bounds: np.ndarray, lexicon) -> np.ndarray:
             ok = (side >= 0) & (side < len(at))
             other = at[np.clip(side, 0, len(at) - 1)]
             near |= ok & (np.abs(other - place) <= NEAR) & (doc[other] == doc[place])
-    letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-    capitals = np.concatenate([[0], np.cumsum(_CAPITAL[data])])
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
+    letters = _sums(_LETTER[data])
+    capitals = _sums(_CAPITAL[data])
+    digits = _sums(_DIGIT[data])
     length = ends - starts
     in_word = lambda sums: sums[ends] - sums[starts]
     shouted = (length >= 3) & (in_word(capitals) == length)
     mixed = (in_word(letters) > 0) & (in_word(digits) > 0)
     plain = _PLAIN[lower]
     d_start, d_end, d_hash = vector.words(plain, bounds, _LETTER[plain] | _WORD[lower])
-    looks = np.concatenate([[0], np.cumsum(_LOOK[data])])
+    looks = _sums(_LOOK[data])
     disguised = (looks[d_end] > looks[d_start]) & (letters[d_end] > letters[d_start]) & (_held(lexicon, d_hash) > 0)
     lone = (length == 1) & (in_word(letters) == 1)
     spaced = np.zeros(len(lone), bool)
@@ -161,7 +169,7 @@ def with_features(docs: DataFrame, lexicon, text_col: str = "text", keep: list[s
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = vector.texts(batch.column(text_col))
-            for lo, hi in vector.groups(bounds):
+            for lo, hi in vector.groups(bounds, GROUP_BYTES):
                 found = _features(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], shared.value)
                 part = batch.slice(lo, hi - lo)
                 columns = [part.column(c) for c in kept] + [pa.array(x.astype(float)) for x in found]
@@ -194,7 +202,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             data, bounds = vector.texts(batch.column("text"))
             labels = batch.column("label").to_numpy()
-            for lo, hi in vector.groups(bounds):
+            for lo, hi in vector.groups(bounds, GROUP_BYTES):
                 inner = bounds[lo : hi + 1] - bounds[lo]
                 lower = _lower(data[bounds[lo] : bounds[hi]])
                 starts, ends, hashes = vector.words(lower, inner, _WORD[lower])
