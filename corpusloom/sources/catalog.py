@@ -63,7 +63,10 @@ def read_corpus(
     elif streaming:
         if schema is None:
             schema = spark.read.format(source.format).load(source.path).schema
-        df = spark.readStream.format(source.format).schema(schema).load(source.path)
+        reader = spark.readStream.format(source.format).schema(schema)
+        if source.format == "parquet":
+            reader = reader.option("pathGlobFilter", "*.parquet")
+        df = reader.load(source.path)
     else:
         reader = spark.read.format(source.format)
         df = (reader.schema(schema) if schema is not None else reader).load(source.path)
