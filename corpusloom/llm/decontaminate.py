@@ -4,8 +4,10 @@ Words lose their case and punctuation; numbers, names (words with a capital firs
 units (a unit word right after a number) become typed placeholders. Windows of ``WINDOW``
 template words, at least five eighths of them literal, are hash-joined between benchmark and
 documents. A joined window counts if its literals are equal and its slots have equal types.
-All windows of a document and an item on one alignment must agree on the slots: each
-benchmark value stands for one document value and the other way round. So a question
+In the windows of a document and an item on one alignment, four fifths of the names and units
+must follow the benchmark's: equal ones stand for equal ones. Numbers are free, since equal
+numbers may merely coincide, and so are names that open a sentence; two benchmark values may become one. An
+alignment with ``VERBATIM_WINDOWS`` windows equal word for word counts as it is. So a question
 asked again with other numbers or names is found, a chance likeness with mixed-up slots is not.
 
 Document windows are checked against a bitmap of the benchmark's window hashes before they
@@ -34,6 +36,8 @@ from corpusloom.session import stage
 WINDOW = 8
 LITERAL_SHARE = (5, 8)
 LEAST_WINDOWS = 2
+SLOT_SHARE = (4, 5)
+VERBATIM_WINDOWS = 12
 BITS = 1 << 24
 PAGE = 32768
 GROUP_BYTES = 1 << 20
@@ -49,10 +53,11 @@ UNITS = (
 _DIGIT = vector.byte_class(b"0123456789")
 _LETTER = vector.byte_class(bytes([*range(65, 91), *range(97, 123), *range(128, 256)]))
 _JOINT = vector.byte_class(b".,")
+_STOP = vector.byte_class(b".!?:\n")
 _CAPITAL = vector.byte_class(bytes(range(65, 91)))
 _SLOTS = vector.mix(np.arange(1, 4, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _STEP = np.uint64(0xE7037ED1A0B428DB)
-TYPES = "wnNu"  # literal word, number, name, unit
+TYPES = "wnNuO"  # literal word, number, name, unit, name that opens a sentence
 
 
 def template(data: np.ndarray, bounds: np.ndarray):
@@ -80,6 +85,10 @@ def template(data: np.ndarray, bounds: np.ndarray):
         unit[1:] = number[:-1] & (row[1:] == row[:-1]) & np.isin(hashes[1:], _unit_hashes())
     kind[unit] = 3
     shape = np.where(kind > 0, _SLOTS[np.maximum(kind, 1) - 1], hashes)
+    stops = np.concatenate([[0], np.cumsum(_STOP[data])])
+    opens = np.ones(len(starts), bool)
+    opens[1:] = (stops[starts[1:]] > stops[ends[:-1]]) | (row[1:] != row[:-1])
+    kind[opens & (kind == 2)] = 4
     return starts, ends, kind, shape, np.searchsorted(starts, bounds)
 
 
@@ -177,6 +186,31 @@ def _bitmap(windows_of_items: DataFrame):
     return windows_of_items.sparkSession.sparkContext.broadcast(bytes(out))
 
 
+def _type(word):
+    return F.translate(F.substring(word, 1, 1), "O", "N")
+
+
+def _value(word):
+    return F.substring(word, 2, 1 << 30)
+
+
+def _following(slots: str):
+    """How many slots have the document value that their benchmark value has most often."""
+    state = "struct<words:string,said:string,run:int,best:int,sum:int>"
+
+    def step(s, x):
+        known = s["words"].eqNullSafe(x["words"])
+        run = F.when(known & s["said"].eqNullSafe(x["said"]), s["run"] + 1).otherwise(1)
+        best = F.when(known, F.greatest(s["best"], run)).otherwise(1)
+        total = F.when(known, s["sum"]).otherwise(s["sum"] + s["best"])
+        return F.struct(
+            x["words"].alias("words"), x["said"].alias("said"), run.alias("run"), best.alias("best"), total.alias("sum")
+        ).cast(state)
+
+    none = F.struct(*[F.lit(None).cast("string").alias(c) for c in ("words", "said")], *[F.lit(0).alias(c) for c in ("run", "best", "sum")])
+    return F.aggregate(F.array_sort(slots), none.cast(state), step, lambda s: s["sum"] + s["best"])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
     """``doc_id, item_id, windows, exact``: matched windows, and whether all slots have the benchmark's values."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -187,33 +221,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
         F.col("id").alias("doc_id"), F.col("place").alias("at"), "width", "hash", F.col("words").alias("said")
     )
     wanted = asked.select(F.col("id").alias("item_id"), "place", "width", "hash", "words")
-    literal = lambda x: x["words"].startswith("w")
     pairs = F.arrays_zip("words", "said")
-    joined = held.join(wanted, ["hash", "width"]).where(
-        F.forall(
-            pairs,
-            lambda x: (F.substring(x["words"], 1, 1) == F.substring(x["said"], 1, 1))
-            & (~literal(x) | (x["words"] == x["said"])),
-        )
+    equal = F.forall(pairs, lambda x: _value(x["words"]) == _value(x["said"]))
+    alike = F.forall(
+        pairs,
+        lambda x: (_type(x["words"]) == _type(x["said"])) & (~x["words"].startswith("w") | (x["words"] == x["said"])),
+    )
+    joined = held.join(wanted, ["hash", "width"]).where(alike)
+    bound = F.filter(
+        F.transform(pairs, lambda x, i: F.struct(x["words"].alias("words"), x["said"].alias("said"), (F.col("place") + i).alias("at"))),
+        lambda x: x["words"].rlike("^[Nu]") & x["said"].rlike("^[Nu]"),
     )
-    slots = F.filter(pairs, lambda x: ~literal(x))
     short = F.col("width") < WINDOW
     aligned = (
-        joined.select("doc_id", "item_id", "place", short.alias("short"), (F.col("at") - F.col("place")).alias("shift"), slots.alias("slots"))
+        joined.select(
+            "doc_id", "item_id", "place", short.alias("short"), (F.col("at") - F.col("place")).alias("shift"), bound.alias("slots"), equal.alias("equal")
+        )
         .groupBy("doc_id", "item_id", "shift")
         .agg(
             F.countDistinct("place").alias("windows"),
             F.bool_or("short").alias("short"),
+            F.size(F.collect_set(F.when(F.col("equal"), F.col("place")))).alias("verbatim"),
+            F.bool_and("equal").alias("exact"),
             F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
         )
     )
-    one_way = lambda f: F.size(F.array_distinct(F.transform("slots", lambda x: x[f]))) == F.size("slots")
-    consistent = aligned.where(one_way("words") & one_way("said")).where(
+    follow = _following("slots") * SLOT_SHARE[1] >= F.size("slots") * SLOT_SHARE[0]
+    consistent = aligned.where(follow | (F.col("verbatim") >= VERBATIM_WINDOWS)).where(
         (F.col("windows") >= LEAST_WINDOWS) | F.col("short")
     )
-    same = F.forall("slots", lambda x: x["words"] == x["said"])
     return consistent.groupBy("doc_id", "item_id").agg(
-        F.sum("windows").cast("long").alias("windows"), F.bool_or(same).alias("exact")
+        F.sum("windows").cast("long").alias("windows"), F.bool_or("exact").alias("exact")
     )
 
 

@@ -96,6 +96,21 @@ def test_slots_must_be_consistent(spark):
     assert leaks(spark, [], [item]) == {} and leaks(spark, [item], []) == {}
 
 
+def test_values_may_meet_or_part(spark):
+    item = "a farmer sold 12 apples and 3 pears and then gave away 3 plums before going back home"
+    meet = item.replace("12", "5").replace("3 pears", "5 pears").replace("3 plums", "4 plums")
+    part = item.replace("3 pears", "4 pears").replace("3 plums", "5 plums")
+    assert leaks(spark, [meet, part], [item]) == {(0, 0): False, (1, 0): False}
+
+
+def test_long_copies_with_one_altered_name(spark):
+    body = "walked slowly along the old river bank and looked for small white stones under every bridge until evening"
+    item = f"so Tom {body} when at last Tom turned and went home"
+    assert leaks(spark, [item.replace("Tom", "Kim", 1)], [item]) == {(0, 0): False}
+    opened = "The men came in one by one and sat down. The women came later with bread and cheese for all"
+    assert leaks(spark, [opened.replace("The", "Some", 1)], [opened]) == {(0, 0): False}
+
+
 # op3 and op9
 
 
