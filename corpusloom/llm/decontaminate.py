@@ -13,9 +13,14 @@ asked again with other numbers or names is found, a chance likeness with mixed-u
 Document windows are checked against a bitmap of the benchmark's window hashes before they
 are emitted; the bitmap has a fixed size, so it can be sent to every task however large the
 benchmark is. Benchmark items shorter than the window are matched by windows of their length.
+Windows that are not literal enough, in the item or in the document (all capitals, say), are
+joined on their words in lower case, so exact copies of them are found.
 
-Defined cases: null text is empty and matches nothing, neither does an item without enough
-literal words. Null ids of documents or items are kept apart from all others by null-safe
+An item is found by two windows, or by one if it has no more. ``drop_contaminated`` asks for more:
+a third of the item's words or ``DROP_WORDS`` words, and of an item shorter than the window at least
+``SHORT_LITERALS`` literal words.
+
+Defined cases: null text is empty and matches nothing. Null ids of documents or items are kept apart from all others by null-safe
 grouping and reported as null. Repeated rows and ids are merged into one result row. Empty
 tables give empty results. Other columns are not read; ``drop_contaminated`` passes them on.
 """
@@ -38,6 +43,9 @@ LITERAL_SHARE = (5, 8)
 LEAST_WINDOWS = 2
 SLOT_SHARE = (4, 5)
 VERBATIM_WINDOWS = 12
+DROP_SHARE = (1, 3)
+DROP_WORDS = 50
+SHORT_LITERALS = 5
 BITS = 1 << 24
 PAGE = 32768
 GROUP_BYTES = 1 << 20
@@ -61,7 +69,7 @@ TYPES = "wnNuO"  # literal word, number, name, unit, name that opens a sentence
 
 
 def template(data: np.ndarray, bounds: np.ndarray):
-    """Start, end, type and template hash of each word, and the first word of each row."""
+    """Start, end, type, template hash and own hash of each word, and the first word of each row."""
     lower = vector.ascii_lower(data)
     second = np.zeros(len(data), bool)
     second[1:] = data[:-1] == 0xC3
@@ -89,7 +97,7 @@ def template(data: np.ndarray, bounds: np.ndarray):
     opens = np.ones(len(starts), bool)
     opens[1:] = (stops[starts[1:]] > stops[ends[:-1]]) | (row[1:] != row[:-1])
     kind[opens & (kind == 2)] = 4
-    return starts, ends, kind, shape, np.searchsorted(starts, bounds)
+    return starts, ends, kind, shape, hashes, np.searchsorted(starts, bounds)
 
 
 _units: list[np.ndarray] = []
@@ -101,21 +109,24 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-def _windows(kind, shape, first, width):
-    """Places where a window of ``width`` words lies in one row and is literal enough, and its hash."""
+def _windows(kind, shape, plain, first, width):
+    """Places where a window of ``width`` words lies in one row, whether it is literal enough, its template and its words hashed."""
     n = len(shape) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = shape[:n].copy()
-    for k in range(1, width):
-        hashes = hashes * _STEP + shape[k : n + k]
-    literal = np.concatenate([[0], np.cumsum(kind == 0)])
+        none = np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, bool), none, none
     row = np.searchsorted(first, np.arange(len(shape)), "right")
-    whole = (row[:n] == row[width - 1 :]) & (
-        (literal[width:] - literal[:-width]) * LITERAL_SHARE[1] >= LITERAL_SHARE[0] * width
-    )
-    at = np.flatnonzero(whole)
-    return at, vector.mix(hashes[at] + np.uint64(width))
+    at = np.flatnonzero(row[:n] == row[width - 1 :])
+    literal = np.concatenate([[0], np.cumsum(kind == 0)])
+    rich = (literal[width:] - literal[:-width]) * LITERAL_SHARE[1] >= LITERAL_SHARE[0] * width
+
+    def rolled(words):
+        hashes = words[:n].copy()
+        for k in range(1, width):
+            hashes = hashes * _STEP + words[k : n + k]
+        return hashes[at] + np.uint64(width)
+
+    return at, rich[at], vector.mix(rolled(shape)), rolled(plain)
 
 
 def _texts_of(lower_text: bytes, starts, ends, kind) -> list[str]:
@@ -131,13 +142,30 @@ def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-OUT = "id long, width int, place int, hash long, words array<string>"
+def _keys(rich, template_hash, plain, asked: bool):
+    """Index and key of each window to join on.
+
+    Literal windows meet on the template. Where either side is not literal enough, the words
+    themselves decide: an item's window is asked for by documents' poor windows, and if it is
+    poor by their literal ones too.
+    """
+    for_poor, for_rich = vector.mix(plain + np.uint64(1 << 32)), vector.mix(plain + np.uint64(2 << 32))
+    every = np.arange(len(rich))
+    if not asked:
+        return np.concatenate([every, every[rich]]), np.concatenate([np.where(rich, template_hash, for_poor), for_rich[rich]])
+    return (
+        np.concatenate([every[rich], every, every[~rich]]),
+        np.concatenate([template_hash[rich], for_poor, for_rich[~rich]]),
+    )
+
+
+OUT = "id long, width int, place int, hash long, words array<string>, total int, rich int"
 
 
 def windows(rows: DataFrame, widths: list[int] | None, bitmap=None) -> DataFrame:
     """Windows of ``rows(id, text)``; without ``widths`` each row's ``min(WINDOW, its words)``.
 
-    With ``bitmap`` only those whose hash it holds.
+    With ``bitmap`` only those whose hash it holds. ``total`` words and ``rich`` windows belong to the row.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,25 +175,30 @@ def windows(rows: DataFrame, widths: list[int] | None, bitmap=None) -> DataFrame
             data, bounds = vector.texts(batch.column("text"))
             for lo, hi in vector.groups(bounds, GROUP_BYTES):
                 part = data[bounds[lo] : bounds[hi]]
-                starts, ends, kind, shape, first = template(part, bounds[lo : hi + 1] - bounds[lo])
+                starts, ends, kind, shape, plain, first = template(part, bounds[lo : hi + 1] - bounds[lo])
                 own = np.diff(first)
                 raw = part.tobytes()
                 out = []
                 for width in widths or sorted({min(WINDOW, int(n)) for n in own} - {0}):
-                    at, hashes = _windows(kind, shape, first, width)
-                    row = np.searchsorted(first, at, "right") - 1
-                    keep = np.ones(len(at), bool) if bits is None else _held(bits, hashes)
+                    at, rich, *hashed = _windows(kind, shape, plain, first, width)
+                    of_row = np.bincount(np.searchsorted(first, at[rich], "right") - 1, minlength=len(own))
+                    which, hashes = _keys(rich, *hashed, widths is None)
+                    keep = np.ones(len(which), bool) if bits is None else _held(bits, hashes)
+                    which, hashes = which[keep], hashes[keep]
+                    row = np.searchsorted(first, at[which], "right") - 1
                     if widths is None:
-                        keep &= np.minimum(WINDOW, own[row]) == width
-                    for i, h, r in zip(at[keep].tolist(), hashes[keep].view(np.int64).tolist(), row[keep].tolist(), strict=True):
+                        fits = np.minimum(WINDOW, own[row]) == width
+                        which, hashes, row = which[fits], hashes[fits], row[fits]
+                    for i, h, r in zip(at[which].tolist(), hashes.view(np.int64).tolist(), row.tolist(), strict=True):
                         span = slice(i, i + width)
                         words = _texts_of(raw, starts[span], ends[span], kind[span])
-                        out.append((ids[lo + r], width, i - int(first[r]), h, words))
+                        out.append((ids[lo + r], width, i - int(first[r]), h, words, int(own[r]), int(of_row[r])))
                 if out:
-                    a, b, c, d, e = zip(*out, strict=True)
+                    a, b, c, d, e, f, g = zip(*out, strict=True)
                     columns = [pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int32())]
                     columns += [pa.array(d, pa.int64()), pa.array(e, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "width", "place", "hash", "words"])
+                    columns += [pa.array(f, pa.int32()), pa.array(g, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "width", "place", "hash", "words", "total", "rich"])
 
     vector.bound_batches(rows.sparkSession)
     return rows.mapInArrow(work, OUT)
@@ -213,6 +246,11 @@ def _following(slots: str):
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
     """``doc_id, item_id, windows, exact``: matched windows, and whether all slots have the benchmark's values."""
+    return measured_leaks(docs, benchmark, id_col, text_col, item_col, item_text_col).select("doc_id", "item_id", "windows", "exact")
+
+
+def measured_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
+    """``find_leaks`` with ``covered`` of the item's ``total`` words, and the ``literals`` of its windows at most."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
     asked = stage(windows(items, None), "items")
@@ -220,44 +258,62 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
     held = windows(rows, widths or [WINDOW], _bitmap(asked)).select(
         F.col("id").alias("doc_id"), F.col("place").alias("at"), "width", "hash", F.col("words").alias("said")
     )
-    wanted = asked.select(F.col("id").alias("item_id"), "place", "width", "hash", "words")
+    wanted = asked.select(F.col("id").alias("item_id"), "place", "width", "hash", "words", "total", "rich")
     pairs = F.arrays_zip("words", "said")
     equal = F.forall(pairs, lambda x: _value(x["words"]) == _value(x["said"]))
     alike = F.forall(
         pairs,
         lambda x: (_type(x["words"]) == _type(x["said"])) & (~x["words"].startswith("w") | (x["words"] == x["said"])),
     )
-    joined = held.join(wanted, ["hash", "width"]).where(alike)
+    joined = held.join(wanted, ["hash", "width"]).where(alike | equal)
     bound = F.filter(
         F.transform(pairs, lambda x, i: F.struct(x["words"].alias("words"), x["said"].alias("said"), (F.col("place") + i).alias("at"))),
         lambda x: x["words"].rlike("^[Nu]") & x["said"].rlike("^[Nu]"),
     )
-    short = F.col("width") < WINDOW
+    literals = F.size(F.filter("words", lambda w: w.startswith("w")))
+    full = literals * LITERAL_SHARE[1] >= F.col("width") * LITERAL_SHARE[0]
     aligned = (
         joined.select(
-            "doc_id", "item_id", "place", short.alias("short"), (F.col("at") - F.col("place")).alias("shift"), bound.alias("slots"), equal.alias("equal")
+            "doc_id", "item_id", "place", "width", "total", "rich", (F.col("at") - F.col("place")).alias("shift"),
+            bound.alias("slots"), equal.alias("equal"), literals.alias("literals"), full.alias("full"),
         )
         .groupBy("doc_id", "item_id", "shift")
         .agg(
-            F.countDistinct("place").alias("windows"),
-            F.bool_or("short").alias("short"),
+            F.collect_set("place").alias("places"),
             F.size(F.collect_set(F.when(F.col("equal"), F.col("place")))).alias("verbatim"),
+            F.size(F.collect_set(F.when(F.col("full"), F.col("place")))).alias("literal"),
             F.bool_and("equal").alias("exact"),
             F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+            *[F.min(c).alias(c) for c in ("width", "total", "rich")],
+            F.max("literals").alias("literals"),
         )
+        .withColumn("windows", F.size("places"))
     )
     follow = _following("slots") * SLOT_SHARE[1] >= F.size("slots") * SLOT_SHARE[0]
     consistent = aligned.where(follow | (F.col("verbatim") >= VERBATIM_WINDOWS)).where(
-        (F.col("windows") >= LEAST_WINDOWS) | F.col("short")
+        (F.col("windows") >= F.least(F.lit(LEAST_WINDOWS), F.col("total") - F.col("width") + 1))
+        | (F.col("rich") > 0) & (F.col("literal") >= F.least(F.lit(LEAST_WINDOWS), F.col("rich")))
     )
-    return consistent.groupBy("doc_id", "item_id").agg(
-        F.sum("windows").cast("long").alias("windows"), F.bool_or("exact").alias("exact")
+    gaps = F.transform("places", lambda p, i: F.least(F.coalesce(F.get("places", i + 1) - p, F.col("width")), F.col("width")))
+    return (
+        consistent.groupBy("doc_id", "item_id")
+        .agg(
+            F.sum("windows").cast("long").alias("windows"),
+            F.bool_or("exact").alias("exact"),
+            F.collect_set("places").alias("places"),
+            *[F.min(c).alias(c) for c in ("width", "total")],
+            F.max("literals").alias("literals"),
+        )
+        .withColumn("places", F.array_sort(F.array_distinct(F.flatten("places"))))
+        .withColumn("covered", F.aggregate(gaps, F.lit(0), lambda a, x: a + x))
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    return matching(docs, find_leaks(docs, benchmark), "left_anti")
+    """``docs`` without the documents that hold a benchmark item, or enough of its words."""
+    enough = (F.col("covered") * DROP_SHARE[1] >= F.col("total") * DROP_SHARE[0]) | (F.col("covered") >= DROP_WORDS)
+    long_or_literal = (F.col("total") >= WINDOW) | (F.col("literals") >= SHORT_LITERALS)
+    return matching(docs, measured_leaks(docs, benchmark).where(enough & long_or_literal), "left_anti")
 
 
 def op2_template_leaks(spark, sf_dir: str) -> DataFrame:

@@ -111,6 +111,23 @@ def test_long_copies_with_one_altered_name(spark):
     assert leaks(spark, [opened.replace("The", "Some", 1)], [opened]) == {(0, 0): False}
 
 
+def test_items_of_one_window_and_without_literals(spark):
+    eight = "which of these rivers flows past the town"
+    names = "Anna Bert Carl Dora Emil Fritz Gustav Hanna Ida Jakob"
+    one = "Anna and Bert went by the old road Carl Dora Emil Fritz Gustav Hanna"
+    found = leaks(spark, [f"so {eight} today", f"list: {names}.", ITEM.upper(), one.replace("Anna", "Kim", 1)], [eight, names, ITEM, one])
+    assert found == {(0, 0): True, (1, 1): True, (2, 2): True, (3, 3): False}
+    assert leaks(spark, [names.lower()], [names]) == {(0, 0): True}
+
+
+def test_documents_are_dropped_by_the_share_of_an_item(spark):
+    long = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59))
+    words = long.split()
+    texts = ["yes that is so", "before " + " ".join(words[20:29]) + " after", "before " + " ".join(words[20:50]) + " after"]
+    kept = decontaminate.drop_contaminated(docs(spark, texts), spark.createDataFrame([(0, "yes"), (1, long)], ASKED))
+    assert {r["doc_id"] for r in kept.collect()} == {0, 1}
+
+
 # op3 and op9
 
 
