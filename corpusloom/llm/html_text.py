@@ -2,8 +2,9 @@
 
 The standard library's parser hands over tags and text as it reads. Text is gathered into
 lines, one for each block of the page, with the number of tags it took. Blocks inside elements that
-never hold an article (scripts, menus, forms, elements whose class or id names an advert, a
-notice, comments and the like) are left out as they come. Over the lines that remain, the ratio of
+never hold an article (scripts, menus, forms) are left out as they come. Elements whose class or id
+names an advert, a notice, comments and the like are left out too, but not one that holds most of
+the page's text or its article (see ``unmuted``). Over the lines that remain, the ratio of
 text to tags is smoothed with a Gaussian; one-dimensional two-means finds the level that parts
 text from the rest. The content region is the ``article`` or ``main`` elements that hold lines
 above that level, or, on a page without them, the element whose direct sections hold most of the
@@ -11,7 +12,7 @@ text above it. Every line of the region is kept, short ones too; on a page witho
 element, lines outside all regions of text are not.
 
 Defined cases: null html is empty; a page without text gives the empty string; markup that
-never ends is read to its end; unknown and unclosed tags are fine. Rows are independent of
+never ends is read to its end; unknown and unclosed tags are fine, an open ``head`` ends where the body begins. Rows are independent of
 each other, so repeated rows and null ids need no care. Columns other than those named are passed
 on; one named like a result is replaced.
 """
@@ -50,54 +51,72 @@ MARKS = set(
     "widget widgets pagination pager skip tags".split()
 )
 PAGE_HEADER = set("header topbar masthead".split())
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
+HARD, NAMED, PART = 3, 2, 1  # never an article; a listed class or id; one that only contains a listed word
 
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Lines(HTMLParser):
-    """Collects ``text, tags, path`` for each block; ``path`` numbers the open sections."""
+    """Collects ``text, tags, path, marks`` for each block.
+
+    ``path`` numbers the open sections, ``marks`` the open elements muted by their name.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
         self.kinds: dict[int, str] = {}
-        self.open: list[tuple[str, int, bool]] = []  # name, section number or -1, whether it silences
+        self.open: list[tuple[str, int, int]] = []  # name, section number or -1, how it silences or 0
         self.path: list[int] = []
         self.muted = 0
-        self.parts: list[str] = []
+        self.marks: tuple[int, ...] = ()
+        self.strength: list[int] = []
+        self.parts: list[tuple[str, tuple[int, ...]]] = []
         self.tags = 0
         self.sections = 0
 
     def flush(self) -> None:
         if self.parts:
-            text = _SPACE.sub(" ", "".join(self.parts)).strip()
-            if text:
-                self.lines.append((text, self.tags, tuple(self.path)))
+            found = []
+            for marks in sorted({m for _, m in self.parts}, key=len, reverse=True):
+                text = _SPACE.sub(" ", "".join(t for t, m in self.parts if m == marks)).strip()
+                if text:
+                    found.append((text, marks))
+            for k, (text, marks) in enumerate(found):
+                # the line with the fewest marks takes the tags
+                self.lines.append((text, self.tags if k == len(found) - 1 else 0, tuple(self.path), marks))
+            if found:
                 self.tags = 0
             self.parts = []
 
-    def _mutes(self, tag: str, attrs) -> bool:
+    def _mutes(self, tag: str, attrs) -> int:
         if tag in SILENT or tag in ASIDE:
-            return True
+            return HARD
         inside = any(self.kinds[s] in REGION for s in self.path)
         if tag == "header" and not inside:
-            return True
+            return HARD
         if tag in ("html", "body", *REGION):
-            return False
+            return 0
+        found = 0
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+                return HARD
             if name == "role" and (value or "").lower() in ROLES:
-                return True
+                return HARD
             if name in ("class", "id") and value:
-                words = {w.lower() for w in _TOKEN.split(value)}
-                if words & MARKS or (not inside and words & PAGE_HEADER):
-                    return True
-        return False
+                listed = MARKS if inside else MARKS | PAGE_HEADER
+                if {w.lower() for w in value.split()} & listed:
+                    found = NAMED
+                elif {w.lower() for w in _TOKEN.split(value)} & listed:
+                    found = max(found, PART)
+        return found
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if tag == "body" or tag not in IN_HEAD and self._in_head():
+            self._close("head")
         if tag == "p" or tag in CLOSES_P:
             self._close("p", only_if_near=True)
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
@@ -105,13 +124,16 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.flush()
         elif tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", self.marks))
         if tag in VOID:
             return
-        mutes = not self.muted and self._mutes(tag, attrs)
+        mutes = 0 if self.muted else self._mutes(tag, attrs)
         section = -1
-        if mutes:
+        if mutes == HARD:
             self.muted = len(self.open) + 1
+        elif mutes:
+            self.marks += (len(self.strength),)
+            self.strength.append(mutes)
         if tag in BLOCK and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd"):
             self.sections += 1
             section = self.sections
@@ -137,17 +159,25 @@ class Lines(HTMLParser):
         for _, section, mutes in reversed(self.open[back:]):
             if section >= 0:
                 self.path.pop()
-            if mutes:
-                self.muted = 0
+            self._unmute(mutes)
         del self.open[back:]
 
+    def _unmute(self, mutes: int) -> None:
+        if mutes == HARD:
+            self.muted = 0
+        elif mutes:
+            self.marks = self.marks[:-1]
+
+    def _in_head(self) -> bool:
+        return bool(self.open) and self.open[-1][0] == "head"
+
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
         if tag in VOID:
             if tag == "br":
-                self.parts.append(" ")
+                self.parts.append((" ", self.marks))
             return
         if tag not in BLOCK:
             # an inline end tag closes nothing beyond its block
@@ -160,7 +190,8 @@ class Lines(HTMLParser):
             name, _, mutes = self.open[back]
             if name == tag:
                 if mutes:
-                    self.muted = 0
+                    for _, _, inner in reversed(self.open[back:]):
+                        self._unmute(inner)
                     del self.open[back:]
                 else:
                     del self.open[back]
@@ -169,8 +200,10 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.muted and self._in_head() and data.strip():
+            self._close("head")
         if not self.muted:
-            self.parts.append(data)
+            self.parts.append((data, self.marks))
 
 
 def smooth(values: np.ndarray) -> np.ndarray:
@@ -198,6 +231,51 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _dense(lines) -> tuple[np.ndarray, np.ndarray]:
+    """Size of each line, and whether its ratio of text to tags is of the upper level."""
+    ratio = smooth(np.array([len(line[0]) / max(1, line[1]) for line in lines]))
+    return np.array([len(line[0]) for line in lines]), ratio >= threshold(ratio)
+
+
+def unmuted(parser: Lines) -> list[tuple[str, int, tuple[int, ...]]]:
+    """The lines without those of elements that stay muted by their class or id.
+
+    An element whose name only contains a listed word is heard if it holds most of the dense text,
+    or an article or main with at least the text of those outside such elements. One that is
+    named by a listed word is heard on the same terms if the page has no article or main outside.
+    """
+    lines = parser.lines
+    heard: set[int] = set()
+    if any(marks for *_, marks in lines):
+        size, dense = _dense(lines)
+        weight = (size * dense).tolist()
+        region = [any(parser.kinds[s] in REGION for s in path) for _, _, path, _ in lines]
+        bare = [w for w, r, line in zip(weight, region, lines, strict=True) if r and not line[3]]
+        held: dict[int, list[int]] = {}
+        above: dict[int, int] = {}
+        for (_, _, _, marks), w, r in zip(lines, weight, region, strict=True):
+            for outer, inner in zip((-1, *marks), marks, strict=False):
+                above[inner] = outer
+                held.setdefault(inner, [0, 0])
+            if marks:
+                held[marks[-1]][0] += w
+                held[marks[-1]][1] += w * r
+        for mark in sorted(held, reverse=True):
+            whole, article = held[mark]
+            if (parser.strength[mark] == PART or not bare) and (whole * 2 > sum(weight) or article and article >= sum(bare)):
+                heard.add(mark)
+                if above[mark] >= 0:
+                    held[above[mark]][0] += whole
+                    held[above[mark]][1] += article
+    out, tags = [], 0
+    for text, n, path, marks in lines:
+        tags += n
+        if heard.issuperset(marks):
+            out.append((text, tags, path))
+            tags = 0
+    return out
+
+
 def main_text(html: str) -> str:
     """The article's blocks, joined by line feeds."""
     parser = Lines()
@@ -205,12 +283,10 @@ def main_text(html: str) -> str:
         parser.feed(html[lo : lo + FEED])
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines = unmuted(parser)
     if not lines:
         return ""
-    ratio = smooth(np.array([len(t) / max(1, n) for t, n, _ in lines]))
-    dense = ratio >= threshold(ratio)
-    size = np.array([len(t) for t, _, _ in lines])
+    size, dense = _dense(lines)
     wanted = [[s for s in p if parser.kinds[s] in REGION] for _, _, p in lines]
     if any(wanted):
         # outermost article or main elements with dense lines

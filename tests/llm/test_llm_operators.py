@@ -228,6 +228,21 @@ def test_pages_without_an_article_element():
     assert lines[0] == "T" and lines[-1] == "end." and len(lines) == 8
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "with-comments", "layout-ads", "post related-enabled", "comments"])
+def test_names_do_not_mute_the_article(name):
+    story = "long text of the story " * 8
+    for inner in (f"<article><p>{story}</p></article>", f"<main><p>{story}</p></main>", f"<p>{story}</p>"):
+        page = f"<body><div class='{name}'>{inner}<div class='sidebar'><p>buy</p></div></div></body>"
+        assert html_text.main_text(page) == story.strip(), inner
+    beside = f"<article><p>{story * 3}</p></article><div class='{name}'><article><p>{story}</p></article></div>"
+    assert html_text.main_text(beside) == (story * 3).strip()
+
+
+def test_an_open_head_ends_at_the_body():
+    for start in ("<body><p>", "<p>", "<body>", ""):
+        assert html_text.main_text(f"<html><head><meta charset=utf-8><title>no</title>{start}the story") == "the story"
+
+
 def test_extract_passes_columns_on(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<p>a")], "page_id long, url string, html string")
     assert sorted(r["text"] for r in html_text.extract(pages).collect()) == ["", "a"]
