@@ -7,8 +7,8 @@ names an advert, a notice, comments and the like are left out too, but not one t
 the page's text or its article (see ``unmuted``). Over the lines that remain, the ratio of
 text to tags is smoothed with a Gaussian; one-dimensional two-means finds the level that parts
 text from the rest. The content region is the ``article`` or ``main`` elements that hold lines
-above that level, or, on a page without them, the element whose direct sections hold most of the
-text above it. Every line of the region is kept, short ones too; on a page without such an
+above that level, or, on a page without them, the innermost element around all lines above
+it. Every line of the region is kept, short ones too; on a page without such an
 element, lines outside all regions of text are not.
 
 Defined cases: null html is empty; a page without text gives the empty string; markup that
@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -286,7 +287,7 @@ def main_text(html: str) -> str:
     lines = unmuted(parser)
     if not lines:
         return ""
-    size, dense = _dense(lines)
+    dense = _dense(lines)[1]
     wanted = [[s for s in p if parser.kinds[s] in REGION] for _, _, p in lines]
     if any(wanted):
         # outermost article or main elements with dense lines
@@ -294,15 +295,9 @@ def main_text(html: str) -> str:
         regions = {o for o, d in zip(outer, dense, strict=True) if o and d} or {o for o in outer if o}
         keep = [o in regions for o in outer]
     else:
-        text_of: dict[int, int] = {}
-        for n, d, (_, _, path) in zip(size.tolist(), dense.tolist(), lines, strict=True):
-            for s in path:
-                text_of[s] = text_of.get(s, 0) + n * d
-        total = int((size * dense).sum())
-        # the innermost section that still holds most of the dense text
-        holders = [s for s, n in text_of.items() if n * 10 >= total * 6]
-        best = max(holders, default=0)
-        keep = [not best or best in path for _, _, path in lines]
+        # the innermost section around all dense lines
+        around = commonprefix([path for d, (_, _, path) in zip(dense, lines, strict=True) if d])
+        keep = [path[: len(around)] == around for _, _, path in lines]
     return "\n".join(t for (t, _, _), k in zip(lines, keep, strict=True) if k)
 
 

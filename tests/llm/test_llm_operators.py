@@ -228,6 +228,16 @@ def test_pages_without_an_article_element():
     assert lines[0] == "T" and lines[-1] == "end." and len(lines) == 8
 
 
+@pytest.mark.parametrize("last", ["<div>{}</div>", "<table><tr><td>{}</td></tr></table>", "<blockquote>{}</blockquote>"])
+def test_sibling_sections_all_belong_to_the_text(last):
+    story = [f"<p>{'long text of the story ' * 8}{k}</p>" for k in range(10)]
+    page = f"<body><div><a>1</a><a>2</a></div><div class='page'>{''.join(story[:4])}{last.format(''.join(story[4:]))}<p>end</p></div></body>"
+    lines = html_text.main_text(page).split("\n")
+    assert len(lines) == 11 and lines[-1] == "end" and "12" not in lines
+    pair = f"<body><div>{''.join(story[:6])}</div><div>{''.join(story[6:])}</div></body>"
+    assert len(html_text.main_text(pair).split("\n")) == 10
+
+
 @pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "with-comments", "layout-ads", "post related-enabled", "comments"])
 def test_names_do_not_mute_the_article(name):
     story = "long text of the story " * 8
