@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.operators.order import ROW_BITS, dense_ordinal, key_bits_for, measure_key_bits
+from corpusloom.operators.order import ROW_BITS, dense_ordinal, key_bits_for
 
 # Sources whose sizes may come to the driver.
 MAX_LISTED_SOURCES = 1_000
@@ -109,11 +109,22 @@ def source_sizes(
         F.count(order).alias("known"),
     )
     listed = per_source.orderBy(src).limit(MAX_LISTED_SOURCES + 1).collect()
+    error = f"{src} and {order} must not be null or negative"
     if len(listed) > MAX_LISTED_SOURCES:
-        return None, measure_key_bits(df, order)
+        whole = per_source.agg(
+            F.count_if(F.col(src).isNull()).alias("no_source"),
+            F.count_if(F.col("known") < F.col("n")).alias("no_key"),
+            F.count_if(F.col("first") < 0).alias("negative"),
+            F.max("last").alias("last"),
+        ).first()
+        if whole["no_source"] or whole["no_key"] or whole["negative"]:
+            raise ValueError(
+                f"{error}: {whole['no_source']} without {src}, {whole['no_key']} with null and {whole['negative']} with negative {order}"
+            )
+        return None, key_bits_for(whole["last"])
     for r in listed:
         if r[src] is None or r["known"] < r["n"] or r["first"] < 0:
-            raise ValueError(f"source {r[src]}: {src} and {order} must not be null or negative")
+            raise ValueError(f"source {r[src]}: {error}")
     bits = key_bits_for(max((r["last"] for r in listed), default=0))
     numbered = [r[src] for r in listed] == list(range(len(listed)))
     return [r["n"] for r in listed] if numbered and listed else None, bits

@@ -65,6 +65,14 @@ def test_many_or_unnumbered_sources_keep_their_sizes_in_a_table(spark, monkeypat
     assert [r["text"] for r in interleave_documents(df).orderBy("pos").collect()] == expect
 
 
+@pytest.mark.parametrize("odd", [(None, 1), (3, None), (3, -1)])
+def test_null_and_negative_keys_are_an_error_at_every_number_of_sources(spark, odd):
+    for n in (5, 1_001):
+        rows = [(i, 7) for i in range(n)] + [odd]
+        with pytest.raises(ValueError, match="must not be null or negative"):
+            interleave_documents(spark.createDataFrame(rows, "src_ord int, doc_ord bigint"))
+
+
 def test_interleave_by_known_ranks_has_no_shuffle(spark):
     sizes = [5, 0, 9]
     df = dense_ordinal(make_docs(spark, sizes), "doc_ord", by=["src_ord"], out="r")
