@@ -2,12 +2,12 @@
 
 A line's quote level is the number of ``>`` before its text. Runs of lines of one level are
 passages; level 0 is the message's own text, without attribution lines ("... wrote:") right before a
-quote. Quoted passages, and each of their lines, are normalised (lower case, single spaces)
+quote. Quoted passages, their paragraphs and each of their lines are normalised (lower case, single spaces)
 and hashed; the same units of every message's own text are hashed too. A quote links to the
 first message of its own conversation that says it earlier, else to the earliest message
-anywhere (lowest conversation, then turn), both looked up in one row per hash, so a passage that
-everybody quotes joins one original only. A message answers the message its lowest quote
-level links to, whole passages before single lines and longer units before shorter ones.
+of any other (lowest conversation, then turn). The two lowest conversations of each hash are looked up in
+one row, so a passage that everybody quotes joins one original only. A message answers the message its lowest quote
+level links to, whole passages before paragraphs and lines, and longer units before shorter ones.
 
 Threads follow these links inside a conversation. Messages are ordered by their thread's
 first turn, then by turn: reply order. Messages without quotes keep their turn's place.
@@ -20,7 +20,7 @@ tables give empty results. Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.interleave import running_number
@@ -109,8 +109,10 @@ def link(messages: DataFrame) -> DataFrame:
         .select(*key, F.posexplode(_passages(F.col("_lines"))).alias("passage", "run"))
         .select(*key, "passage", "run.level", "run.lines")
     )
+    paragraphs = F.split(F.array_join("lines", "\n"), r"\n\s*\n")
     units = F.concat(
         F.array(_unit(F.array_join("lines", " "), F.lit(True))),
+        F.transform(F.when(F.size(paragraphs) > 1, paragraphs).otherwise(F.array().cast("array<string>")), lambda x: _unit(x, F.lit(False))),
         F.transform("lines", lambda x: _unit(x, F.lit(False))),
     )
     asked = passages.select(*key, "passage", "level", F.explode(units).alias("u")).where("u.says")
@@ -122,18 +124,23 @@ def link(messages: DataFrame) -> DataFrame:
     hashes = F.array_distinct(F.transform(own_units, lambda x: F.md5(_normal(x))))
     # Only hashes that some quote asks for go on.
     said = (
-        parsed.select("_conv", "_turn", "conv_id", "turn", F.explode(hashes).alias("hash"))
+        parsed.select("_conv", "_turn", "conv_id", F.explode(hashes).alias("hash"))
         .join(asked.select("hash").distinct(), "hash", "left_semi")
     )
-    here = said.groupBy("_conv", "hash").agg(F.min("_turn").alias("near"))
-    anywhere = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn", "_conv", "_turn")).alias("far"))
-    found = asked.join(here, ["_conv", "hash"], "left").join(anywhere, "hash", "left")
+    first = said.groupBy("_conv", "hash").agg(F.min("_turn").alias("near"), F.first("conv_id").alias("conv_id"))
+    # Each task passes on two rows of a hash at most.
+    lowest = first.withColumn("at", F.row_number().over(W.partitionBy("hash").orderBy("conv_id", "_conv"))).where("at <= 2")
+    message = F.struct("conv_id", "_conv", "near")
+    anywhere = lowest.groupBy("hash").agg(F.min(message).alias("far"), F.max(message).alias("farther"))
+    found = asked.join(first.select("_conv", "hash", "near"), ["_conv", "hash"], "left").join(anywhere, "hash", "left")
     in_conv = F.col("near") < F.col("_turn")
-    elsewhere = F.col("far").isNotNull() & (F.col("far._conv") != F.col("_conv"))
+    other = F.when(F.col("far._conv") != F.col("_conv"), F.col("far")).when(F.col("farther._conv") != F.col("_conv"), F.col("farther"))
+    found = found.withColumn("other", other)
+    elsewhere = F.col("other").isNotNull()
     found = found.select(
         *key, "passage", "level", "whole", "size",
-        F.when(in_conv, F.col("_conv")).when(elsewhere, F.col("far._conv")).alias("to_conv"),
-        F.when(in_conv, F.col("near")).when(elsewhere, F.col("far._turn")).alias("to_turn"),
+        F.when(in_conv, F.col("_conv")).when(elsewhere, F.col("other._conv")).alias("to_conv"),
+        F.when(in_conv, F.col("near")).when(elsewhere, F.col("other.near")).alias("to_turn"),
     )
     linked = F.col("to_conv").isNotNull()
     # The best unit decides: lowest level, whole passages first, then the longest, then the first.

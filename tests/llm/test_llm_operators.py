@@ -283,6 +283,30 @@ def test_quotes_link_to_their_message(spark):
     assert order == [0, 1, 2, 4, 3, 3]
 
 
+def answered(spark, rows):
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    return {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_turn"]) for r in got if r["n_linked"]}
+
+
+def test_quotes_pass_over_their_own_conversation(spark):
+    rows = [
+        (1, 0, "user", "> the hot passage\nwhy"),
+        (1, 1, "bot", "the hot passage"),
+        (5, 3, "user", "the hot passage"),
+        (5, 2, "user", "the hot passage"),
+        (7, 0, "user", "the hot passage"),
+        (8, 0, "user", "> the hot passage\nthe hot passage"),
+    ]
+    assert answered(spark, rows) == {(1, 0): (5, 2), (8, 0): (1, 1)}
+    assert answered(spark, rows[:2]) == {}
+
+
+def test_quoted_paragraphs_wrapped_anew(spark):
+    said = "first one\n\nsecond part that\nis long\n\nthird part that\nis longer\n\nlast"
+    quoted = "> second part\n> that is long\n>\n> third\n> part that is longer\nyes"
+    assert answered(spark, [(1, 0, "user", said), (1, 1, "bot", quoted)]) == {(1, 1): (1, 0)}
+
+
 # op6
 
 
