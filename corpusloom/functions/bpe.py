@@ -148,16 +148,18 @@ def train_bpe(
     vocab_size: int = 32_000,
     special_tokens: Sequence[str] = DEFAULT_SPECIAL_TOKENS,
     coverage: float = 0.98,
-    max_length: int = 16_384,
+    max_length: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Learn merges; gives ``vocab (id, piece, kind)`` and ``merges (rank, left, right, id)``.
 
     Each round is one aggregation of pair counts over the distinct words and one pass
     that applies the accepted merges. Only the leading pairs come to the driver. Ties go
     to older symbols. Training stops at ``vocab_size`` pieces or when no pair is left.
+    With ``max_length`` lines of more bytes are left out.
     """
     spark = lines.sparkSession
-    words = stage(word_counts(max_sentence_length(lines, max_length), special_tokens), "words")
+    kept = lines if max_length is None else max_sentence_length(lines, max_length)
+    words = stage(word_counts(kept, special_tokens), "words")
     chars = char_coverage(word_char_counts(words), coverage)
     covered = [r["ch"] for r in chars.orderBy("rank").limit(vocab_size + 1).collect()]
     base = len(RESERVED) + len(user_symbols(special_tokens)) + BYTES

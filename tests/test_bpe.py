@@ -212,3 +212,11 @@ def test_sizing(spark):
     assert (est([7]), est([10, 10, 4]), est([10, 10]), est([5, 9])) == (7, 24, 20, 10)
     req = spark.createDataFrame([(10, 3), (10, 10)], "v int, p int")
     assert [r[0] for r in req.select(sizing.required_vocab_size(F.col("v"), F.col("p"))).collect()] == [10, 11]
+
+
+def test_long_lines_are_trained_on(spark):
+    lines = spark.createDataFrame([("abab " * 5_000,), ("cd",)], "text string")
+    _, merges = bpe.train_bpe(lines, 280, coverage=1.0)
+    assert ("a", "b") in {(r["left"], r["right"]) for r in merges.collect()}
+    _, merges = bpe.train_bpe(lines, 280, coverage=1.0, max_length=16_384)
+    assert {(r["left"], r["right"]) for r in merges.collect()} == {("c", "d")}
