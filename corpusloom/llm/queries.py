@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, decontaminate, fingerprint, html_text, interleave, minhash, pii, quotes, secret_scan, toxicity
+from corpusloom.llm import (
+    bpe,
+    collocations,
+    decontaminate,
+    fingerprint,
+    html_text,
+    interleave,
+    merkle,
+    minhash,
+    pii,
+    quotes,
+    secret_scan,
+    toxicity,
+    url_filter,
+)
 
 QUERIES = {
     "op1_prefix_hash": fingerprint.op1_prefix_hash,
@@ -15,9 +29,15 @@ QUERIES = {
     "op8_rank_queue_bpe": bpe.op8_rank_queue_bpe,
     "op9_trigram_secrets": secret_scan.op9_trigram_secrets,
     "op10_hyperminhash": minhash.op10_hyperminhash,
+    "op11_hat_trie": collocations.op11_hat_trie,
+    "op12_sibling_shift": merkle.op12_sibling_shift,
+    "op13_hash_prefix_rules": url_filter.op13_hash_prefix_rules,
 }
 
 ORACLES = {
     "op7_stratified_interleave": interleave.SQL,
     "op10_hyperminhash": minhash.SQL,
+    "op11_hat_trie": collocations.SQL,
+    "op12_sibling_shift": merkle.SQL,
+    "op13_hash_prefix_rules": url_filter.SQL,
 }
