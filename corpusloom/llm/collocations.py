@@ -1,8 +1,8 @@
 """Phrase collocations counted in HAT-tries that spill sorted runs.
 
-Every task counts the phrases of its texts in one trie for each language: the first word id leads to a
-hash container of the words that follow; a container of more than ``BURST`` phrases bursts into one
-container for each second word. A task holds at most ``ENTRIES`` phrases: beyond that its largest
+Every task counts the phrases of its texts in one trie for each language: hash containers under word ids,
+one shared by the rarer first words, one for each first word of many phrases, then for its second words
+(see ``Trie``). A task holds at most ``ENTRIES`` phrases: beyond that its largest
 subtrees leave as sorted runs until half are left, and the rest follow at the end. Runs are written, dealt
 by ranges of (language, phrase), so that a prefix is a range of neighbours and a frequent
 prefix takes several, and merged there by adding up.
@@ -24,11 +24,13 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
-from itertools import count as counter
+from collections.abc import Iterable, Iterator
+from itertools import chain, count as counter, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -43,6 +45,7 @@ NO_LANG = "und"
 KEEP_SHARE = 50
 
 BURST = 4_096
+DEEPER = 1 << 16
 ENTRIES = 1 << 20
 WORDS = 1 << 20
 WORD_BYTES = 32 << 20
@@ -50,11 +53,12 @@ TOKENS = 1 << 20
 CHUNK = 1 << 20
 OUT_ROWS = 1 << 16
 ID_BITS = 21
+_TAIL_BITS = ID_BITS * (LONGEST - 1)
 
 GATE_BITS = 1 << 27
 GATE_PAGE = 1 << 15
 BITS_PER_PHRASE = 16
-BUCKET_ROWS = 1 << 16
+BUCKET_ROWS = 1 << 14
 
 # What ends a piece; blanks and tabs part words.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -64,65 +68,109 @@ RUN = "lang string, phrase string, words int, n long"
 
 
 class Trie:
-    """Counts of phrases that begin with each word id; the ids of the other words are packed."""
+    """Counts of phrases of numbered words, packed into one integer each.
+
+    Single words are an array. Phrases of rarer first words share one hash container; a first word with
+    more than ``BURST`` phrases bursts out of it into a container of its own, and that one, beyond ``DEEPER``
+    phrases, into one for each second word.
+    """
 
     def __init__(self):
-        self.root: dict[int, dict] = {}
-        self.burst: set[int] = set()
+        self.ones = np.zeros(1 << 10, np.int64)
+        self.shared: dict[int, int] = {}
+        self.checked = 0
+        self.own: dict[int, dict] = {}
+        self.split: set[int] = set()
         self.held: dict[int, int] = {}
 
-    def add(self, first: int, tails: list[int], counts: list[int]) -> int:
-        """Count phrases ``first`` + tail; gives how many are new."""
-        node = self.root.get(first)
-        if node is None:
-            node = self.root[first] = {}
-            self.held[first] = 0
-        new = 0
-        if first in self.burst:
-            for tail, n in zip(tails, counts):
-                second = node.setdefault(tail >> ID_BITS, {})
-                seen = second.get(tail)
+    def count_words(self, ids: np.ndarray) -> None:
+        found = np.bincount(ids)
+        if len(found) > len(self.ones):
+            self.ones = np.concatenate([self.ones, np.zeros(max(len(found), len(self.ones)), np.int64)])
+        self.ones[: len(found)] += found
+
+    def add(self, packed: np.ndarray, counts: np.ndarray) -> int:
+        """Count sorted, distinct phrases; gives how many are new."""
+        firsts = packed >> _TAIL_BITS
+        out = np.isin(firsts, np.fromiter(self.own, np.int64, len(self.own)))
+        before, get, shared = len(self.shared), self.shared.get, self.shared
+        for phrase, n in zip(packed[~out].tolist(), counts[~out].tolist()):
+            shared[phrase] = get(phrase, 0) + n
+        new = len(shared) - before
+        firsts, packed, counts = firsts[out], packed[out], counts[out]
+        cuts = [0, *(np.flatnonzero(np.diff(firsts)) + 1).tolist(), len(firsts)]
+        packed, counts = packed.tolist(), counts.tolist()
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo < hi:
+                new += self._add_below(int(firsts[lo]), packed[lo:hi], counts[lo:hi])
+        if len(shared) > max(BURST, 1.5 * self.checked):
+            self._burst()
+        return new
+
+    def _add_below(self, first: int, packed: list[int], counts: list[int]) -> int:
+        node, new = self.own[first], 0
+        if first in self.split:
+            for phrase, n in zip(packed, counts):
+                second = node.setdefault(phrase >> ID_BITS, {})
+                seen = second.get(phrase)
                 new += seen is None
-                second[tail] = (seen or 0) + n
+                second[phrase] = (seen or 0) + n
         else:
-            before = len(node)
-            get = node.get
-            for tail, n in zip(tails, counts):
-                node[tail] = get(tail, 0) + n
+            before, get = len(node), node.get
+            for phrase, n in zip(packed, counts):
+                node[phrase] = get(phrase, 0) + n
             new = len(node) - before
-            if len(node) > BURST:
+            if len(node) > DEEPER:
                 below: dict[int, dict[int, int]] = {}
-                for tail, n in node.items():
-                    below.setdefault(tail >> ID_BITS, {})[tail] = n
-                self.root[first] = below
-                self.burst.add(first)
+                for phrase, n in node.items():
+                    below.setdefault(phrase >> ID_BITS, {})[phrase] = n
+                self.own[first] = below
+                self.split.add(first)
         self.held[first] += new
         return new
 
-    def take(self, first: int) -> dict[int, int]:
-        """The subtree of ``first`` as one container, which leaves the trie."""
-        node = self.root.pop(first)
+    def _burst(self) -> None:
+        held = np.fromiter(self.shared, np.int64, len(self.shared))
+        firsts, sizes = np.unique(held >> _TAIL_BITS, return_counts=True)
+        many = firsts[sizes > BURST]
+        for phrase in held[np.isin(held >> _TAIL_BITS, many)].tolist():
+            self.own.setdefault(phrase >> _TAIL_BITS, {})[phrase] = self.shared.pop(phrase)
+        for first in many.tolist():
+            self.held[first] = len(self.own[first])
+        self.checked = len(self.shared)
+
+    def sizes(self) -> list[tuple[int, int]]:
+        """Phrases held and first word of each subtree; 0 is the shared container."""
+        return [(len(self.shared), 0), *((n, first) for first, n in self.held.items())]
+
+    def take(self, first: int) -> list[dict[int, int]]:
+        """The containers of a subtree, which leave the trie."""
+        if not first:
+            found, self.shared, self.checked = self.shared, {}, 0
+            return [found]
+        found = self.own.pop(first)
         del self.held[first]
-        if first not in self.burst:
-            return node
-        self.burst.discard(first)
-        return {tail: n for below in node.values() for tail, n in below.items()}
+        if first not in self.split:
+            return [found]
+        self.split.discard(first)
+        return list(found.values())
 
-
-def word_hash(word: bytes) -> int:
-    raw = np.frombuffer(word, np.uint8)
-    lanes = np.zeros(-(-len(raw) // 8) * 8, np.uint8)
-    lanes[: len(raw)] = raw
-    parts = vector.mix(lanes.view(np.uint64) + np.arange(1, len(lanes) // 8 + 1, dtype=np.uint64) * _ODD)
-    return int(vector.mix(np.array([parts.sum(dtype=np.uint64) + np.uint64(len(raw))], np.uint64))[0])
+    def take_words(self) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.flatnonzero(self.ones)
+        counts, self.ones = self.ones[ids], np.zeros(1 << 10, np.int64)
+        return ids, counts
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def chain_hash(lang: int, hashes: list[np.ndarray]) -> np.ndarray:
-    """Hash of a phrase from those of its words."""
-    out = np.full(len(hashes[0]), lang, np.uint64)
+def word_hashes(words: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+
+
+def chain_hash(lang: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
+    """Hash of a phrase from those of its language and its words."""
+    out = lang
     for h in hashes:
         out = vector.mix(out * _ODD + h)
     return out
@@ -191,25 +239,21 @@ class Counter:
             ok = words[length - 1].copy()
             ok[: max(0, carried - length + 1)] = False
             at = np.flatnonzero(ok)
+            if length == 1:
+                trie.count_words(arr[at])
+                continue
             if length > 2 and self.gate is not None and len(at):
                 at = at[self._passes(lang, arr, at, length)]
             packed = np.zeros(len(at), np.int64)
             for k in range(LONGEST):
                 packed = (packed << ID_BITS) | (arr[at + k] if k < length else 0)
-            found, counts = np.unique(packed, return_counts=True)
-            firsts = found >> (ID_BITS * (LONGEST - 1))
-            tails = (found & ((1 << (ID_BITS * (LONGEST - 1))) - 1)).tolist()
-            counts = counts.tolist()
-            cuts = [0, *(np.flatnonzero(np.diff(firsts)) + 1).tolist(), len(found)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo < hi:
-                    self.entries += trie.add(int(firsts[lo]), tails[lo:hi], counts[lo:hi])
+            self.entries += trie.add(*np.unique(packed, return_counts=True))
 
     def _passes(self, lang: str, arr: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
         if len(self.hashes) < len(self.ids):
-            names = list(self.ids)[len(self.hashes) :]
-            self.hashes = np.concatenate([self.hashes, np.array([word_hash(w) for w in names], np.uint64)])
-        seed = word_hash(lang.encode())
+            new = len(self.ids) - len(self.hashes)
+            self.hashes = np.concatenate([self.hashes, word_hashes(islice(self.ids, len(self.hashes), None), new)])
+        seed = word_hashes([lang.encode()], 1)
         good = np.ones(len(at), bool)
         for shift in (0, 1):
             h = chain_hash(seed, [self.hashes[arr[at + shift + k]] for k in range(length - 1)])
@@ -218,32 +262,44 @@ class Counter:
         return good
 
     def spill(self, until: int) -> Iterator[pa.RecordBatch]:
-        """The largest subtrees as sorted runs, until at most ``until`` phrases are held."""
-        sizes = sorted(((n, lang, first) for lang, t in self.tries.items() for first, n in t.held.items()), reverse=True)
-        names = list(self.ids)
-        chosen: dict[str, list[int]] = {}
-        left = self.entries
+        """The largest subtrees as sorted runs, until at most ``until`` phrases are held; words too if that is 0."""
+        sizes = sorted(((n, lang, first) for lang, t in self.tries.items() for n, first in t.sizes()), reverse=True)
+        chosen: dict[str, list[int]] = {lang: [] for lang in self.tries} if not until else {}
         for n, lang, first in sizes:
-            if left <= until:
+            if self.entries <= until:
                 break
             chosen.setdefault(lang, []).append(first)
-            left -= n
-        self.entries = left
-        mask = (1 << ID_BITS) - 1
+            self.entries -= n
+        if not chosen:
+            return
+        names = pa.array(list(self.ids), pa.binary()).cast(pa.string())
+        rank = np.empty(len(names), np.int64)
+        rank[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))
+        rank[0] = -1  # no word
         for lang in sorted(chosen):
-            rows: list[tuple[bytes, int, int]] = []
-            for first in sorted(chosen[lang], key=names.__getitem__):
-                run = []
-                for tail, n in self.tries[lang].take(first).items():
-                    ids = [i for i in ((tail >> ID_BITS), tail & mask) if i]
-                    run.append((b" ".join([names[first], *(names[i] for i in ids)]), 1 + len(ids), n))
-                run.sort()
-                rows += run
-                if len(rows) >= OUT_ROWS:
-                    yield _batch(lang, rows)
-                    rows = []
-            if rows:
-                yield _batch(lang, rows)
+            trie = self.tries[lang]
+            if not until:
+                ids, counts = trie.take_words()
+                yield from _sorted_run(lang, ids << _TAIL_BITS, counts, names, rank)
+            taken = [t for first in chosen[lang] for t in trie.take(first)]
+            held = sum(map(len, taken))
+            packed = np.fromiter(chain.from_iterable(taken), np.int64, held)
+            counts = np.fromiter(chain.from_iterable(t.values() for t in taken), np.int64, held)
+            yield from _sorted_run(lang, packed, counts, names, rank)
+
+
+def _sorted_run(lang: str, packed: np.ndarray, counts: np.ndarray, names: pa.Array, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Phrases and counts in the byte order of their words."""
+    mask = (1 << ID_BITS) - 1
+    ids = [packed >> _TAIL_BITS, (packed >> ID_BITS) & mask, packed & mask]
+    order = np.lexsort([rank[i] for i in reversed(ids)])
+    for lo in range(0, len(order), OUT_ROWS):
+        at = order[lo : lo + OUT_ROWS]
+        words = [names.take(pa.array(i[at], mask=i[at] == 0)) for i in ids]
+        phrase = pc.binary_join_element_wise(*words, " ", null_handling="skip")
+        length = sum((i[at] > 0).astype(np.int32) for i in ids)
+        columns = [pa.array([lang]).take(pa.array(np.zeros(len(at), np.int32))), phrase, pa.array(length, pa.int32()), pa.array(counts[at])]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n"])
 
 
 class _Numbered(dict):
@@ -256,12 +312,6 @@ class _Numbered(dict):
         return found
 
 
-def _batch(lang: str, rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
-    phrase, words, n = zip(*rows)
-    columns = [pa.array([lang] * len(rows), pa.string()), pa.array(phrase, pa.binary()).cast(pa.string())]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int32()), pa.array(n, pa.int64())], ["lang", "phrase", "words", "n"])
-
-
 def _chunks(text: bytes) -> Iterator[tuple[int, int]]:
     """Ranges of about ``CHUNK`` bytes that end before a separator or at the end."""
     lo = 0
@@ -295,7 +345,7 @@ def merged(found: DataFrame) -> DataFrame:
 
 
 def gate_of(frequent: DataFrame):
-    """A broadcast bitmap over the hashes of frequent phrases, at most ``GATE_BITS`` wide."""
+    """A broadcast bitmap over the hashes of frequent phrases of one length, at most ``GATE_BITS`` wide."""
     spark = frequent.sparkSession
     size = GATE_PAGE
     wanted = frequent.count() * BITS_PER_PHRASE
@@ -304,11 +354,11 @@ def gate_of(frequent: DataFrame):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = []
-            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
-                hashes = [np.array([word_hash(w)], np.uint64) for w in phrase.encode().split(b" ")]
-                places.append(int(chain_hash(word_hash(lang.encode()), hashes)[0] % np.uint64(size)))
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64())], ["place"])
+            langs = [x.encode() for x in batch.column("lang").to_pylist()]
+            parts = zip(*(x.encode().split(b" ") for x in batch.column("phrase").to_pylist()))
+            hashes = [word_hashes(words, len(langs)) for words in parts]
+            places = chain_hash(word_hashes(langs, len(langs)), hashes) % np.uint64(size)
+            yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64))], ["place"])
 
     pages = (
         frequent.select("lang", "phrase").mapInArrow(work, "place long")

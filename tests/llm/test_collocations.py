@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def test_equals_plain_counting(spark, least, top):
 def test_spills_restarts_and_small_chunks_change_nothing(spark, monkeypatch):
     rows = texts()
     rows = [*rows, (1000, " ".join(t or "" for _, t, _ in rows), "en")]
-    for name, value in [("BURST", 4), ("ENTRIES", 50), ("WORDS", 6), ("TOKENS", 64), ("CHUNK", 16), ("GATE_BITS", 1 << 15)]:
+    for name, value in [("BURST", 4), ("DEEPER", 12), ("ENTRIES", 50), ("WORDS", 6), ("TOKENS", 64), ("CHUNK", 16), ("GATE_BITS", 1 << 15)]:
         monkeypatch.setattr(co, name, value)
 
     def counted(lengths):
@@ -72,7 +73,7 @@ def test_spills_restarts_and_small_chunks_change_nothing(spark, monkeypatch):
         batches += own.spill(0)
         for b in batches:
             run = list(zip(*(b.column(c).to_pylist() for c in ("lang", "phrase"))))
-            assert run == sorted(run, key=lambda r: (r[0].encode(), r[1].split(" ")[0].encode(), r[1].encode()))
+            assert run == sorted(run, key=lambda r: (r[0].encode(), [w.encode() for w in r[1].split(" ")]))
             for lang, phrase, words, n in zip(*(b.column(c).to_pylist() for c in ("lang", "phrase", "words", "n"))):
                 assert words == len(phrase.split(" "))
                 total[lang, phrase] += n
@@ -84,12 +85,21 @@ def test_spills_restarts_and_small_chunks_change_nothing(spark, monkeypatch):
     assert small == large and spills > 50
 
 
-def test_a_burst_container_counts_on():
-    trie = co.Trie()
-    tails = [(i << co.ID_BITS) | 1 for i in range(co.BURST + 2)]
-    assert trie.add(5, tails, [1] * len(tails)) == len(tails) and 5 in trie.burst
-    assert trie.add(5, tails[:3], [2, 2, 2]) == 0
-    assert Counter(trie.take(5).values()) == {1: len(tails) - 3, 3: 3} and not trie.root
+def test_burst_containers_count_on(monkeypatch):
+    monkeypatch.setattr(co, "BURST", 8)
+    monkeypatch.setattr(co, "DEEPER", 30)
+    trie, want = co.Trie(), Counter()
+    for k in range(1, 8):
+        phrases = np.unique([(1 + i % 3 % 2 << 2 * co.ID_BITS) | (1 + i % 9 << co.ID_BITS) | i % (20 * k) for i in range(40 * k)])
+        new = len(set(phrases.tolist()) - set(want))
+        want.update({p: k for p in phrases.tolist()})
+        assert trie.add(phrases, np.full(len(phrases), k)) == new
+    assert trie.split and set(trie.own) == {1, 2} and sum(n for n, _ in trie.sizes()) == len(want)
+    got = Counter()
+    for _, first in trie.sizes():
+        for container in trie.take(first):
+            got.update(container)
+    assert got == want and trie.sizes() == [(0, 0)]
 
 
 def test_a_full_gate_changes_nothing(spark, monkeypatch):
