@@ -4,7 +4,8 @@ The standard library's parser hands over tags and text as it reads. Text is gath
 lines, one for each block of the page, with the number of tags it took. Blocks inside elements that
 never hold an article (scripts, menus, forms) are left out as they come. Elements whose class or id
 names an advert, a notice, comments and the like are left out too, but not one that holds most of
-the page's text or its article (see ``unmuted``). Over the lines that remain, the ratio of
+the page's text or its article, nor headings, paragraphs and dense sections of an article for the sake of their id
+(see ``unmuted``). Over the lines that remain, the ratio of
 text to tags is smoothed with a Gaussian; one-dimensional two-means finds the level that parts
 text from the rest. The content region is the ``article`` or ``main`` elements that hold lines
 above that level, or, on a page without them, the innermost element around all lines above
@@ -53,7 +54,11 @@ MARKS = set(
 )
 PAGE_HEADER = set("header topbar masthead".split())
 IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
-HARD, NAMED, PART = 3, 2, 1  # never an article; a listed class or id; one that only contains a listed word
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+# Words that also name what an article speaks of.
+DOUBTFUL = set("alert discussion navigation notice notices related reply replies respond share sharing skip social subscription tags".split())
+# Never an article; a listed class or id; one that only contains a listed word; inside an article or main, an id or a doubtful name.
+HARD, NAMED, PART, WEAK = 4, 3, 2, 1
 
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
@@ -101,17 +106,22 @@ class Lines(HTMLParser):
         if tag in ("html", "body", *REGION):
             return 0
         found = 0
+        running = tag == "p" or tag in HEADINGS
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return HARD
             if name == "role" and (value or "").lower() in ROLES:
                 return HARD
-            if name in ("class", "id") and value:
+            if name in ("class", "id") and value and not (running and (inside or name == "id")):
                 listed = MARKS if inside else MARKS | PAGE_HEADER
-                if {w.lower() for w in value.split()} & listed:
-                    found = NAMED
-                elif {w.lower() for w in _TOKEN.split(value)} & listed:
-                    found = max(found, PART)
+                whole = {w.lower() for w in value.split()} & listed
+                part = {w.lower() for w in _TOKEN.split(value)} & listed
+                if not part and not whole:
+                    continue
+                if inside and (name == "id" or not whole - DOUBTFUL):
+                    found = max(found, WEAK)
+                else:
+                    found = max(found, NAMED if whole else PART)
         return found
 
     def handle_starttag(self, tag, attrs):
@@ -232,10 +242,11 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _dense(lines) -> tuple[np.ndarray, np.ndarray]:
-    """Size of each line, and whether its ratio of text to tags is of the upper level."""
+def _dense(lines) -> tuple[np.ndarray, np.ndarray, float]:
+    """Size of each line, whether its ratio of text to tags is of the upper level, and where that begins."""
     ratio = smooth(np.array([len(line[0]) / max(1, line[1]) for line in lines]))
-    return np.array([len(line[0]) for line in lines]), ratio >= threshold(ratio)
+    cut = threshold(ratio)
+    return np.array([len(line[0]) for line in lines]), ratio >= cut, cut
 
 
 def unmuted(parser: Lines) -> list[tuple[str, int, tuple[int, ...]]]:
@@ -244,30 +255,34 @@ def unmuted(parser: Lines) -> list[tuple[str, int, tuple[int, ...]]]:
     An element whose name only contains a listed word is heard if it holds most of the dense text,
     or an article or main with at least the text of those outside such elements. One that is
     named by a listed word is heard on the same terms if the page has no article or main outside.
+    Inside an article or main, an id or a doubtful name silences only elements whose own ratio of text to
+    tags is of the lower level.
     """
     lines = parser.lines
     heard: set[int] = set()
     if any(marks for *_, marks in lines):
-        size, dense = _dense(lines)
+        size, dense, cut = _dense(lines)
         weight = (size * dense).tolist()
         region = [any(parser.kinds[s] in REGION for s in path) for _, _, path, _ in lines]
         bare = [w for w, r, line in zip(weight, region, lines, strict=True) if r and not line[3]]
         held: dict[int, list[int]] = {}
         above: dict[int, int] = {}
-        for (_, _, _, marks), w, r in zip(lines, weight, region, strict=True):
+        for (text, tags, _, marks), w, r in zip(lines, weight, region, strict=True):
             for outer, inner in zip((-1, *marks), marks, strict=False):
                 above[inner] = outer
-                held.setdefault(inner, [0, 0])
+                held.setdefault(inner, [0, 0, 0, 0])
             if marks:
-                held[marks[-1]][0] += w
-                held[marks[-1]][1] += w * r
+                for k, amount in enumerate((w, w * r, len(text), tags)):
+                    held[marks[-1]][k] += amount
         for mark in sorted(held, reverse=True):
-            whole, article = held[mark]
-            if (parser.strength[mark] == PART or not bare) and (whole * 2 > sum(weight) or article and article >= sum(bare)):
+            whole, article, text_size, tag_count = held[mark]
+            strength = parser.strength[mark]
+            most = whole * 2 > sum(weight) or article and article >= sum(bare)
+            if strength == WEAK and text_size >= cut * max(1, tag_count) or (strength <= PART or not bare) and most:
                 heard.add(mark)
                 if above[mark] >= 0:
-                    held[above[mark]][0] += whole
-                    held[above[mark]][1] += article
+                    for k in range(4):
+                        held[above[mark]][k] += held[mark][k]
     out, tags = [], 0
     for text, n, path, marks in lines:
         tags += n

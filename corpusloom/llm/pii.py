@@ -10,7 +10,7 @@ what reaches the driver is bounded; counts cover all documents.
 
 Defined cases: null text is empty, an empty text has no spans. Rows with equal ids are treated
 each by itself, as is a null id. A span found only by the classifier is dropped where it
-overlaps one of the format rule. Other columns are passed on by ``redact`` and not read by
+overlaps one of the format rule. Other columns, whatever their names, are passed on by ``redact`` and not read by
 ``find``. A table without candidates trains nothing and gives no spans.
 """
 
@@ -211,28 +211,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of ``text_col`` replaced by its kind in brackets."""
-    found = candidates(docs, text_col)
+    """``docs`` with every span of ``text_col`` replaced by its kind in brackets.
+
+    Rows and their candidates are written once; the votes are counted from the narrow column and the texts
+    rewritten from the same table.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    found = candidates(rows.withColumn("text", F.col(f"row.{text_col}"))).select("row", "_found")
+    found = stage(found, "candidates")
     base, more = decided(accepted_codes(found))
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        pieces = F.array(
-            F.substring(F.col("_text"), state["at"] + 1, s["start"] - state["at"]), F.element_at(marks, s["kind"] + 1)
-        )
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= state["at"], F.concat(state["out"], pieces)).otherwise(state["out"]).alias("out"),
-        )
-
-    def close(state: Column) -> Column:
-        rest = F.substring(F.col("_text"), state["at"] + 1, F.length("_text"))
-        return F.array_join(F.concat(state["out"], F.array(rest)), "")
-
-    spans_of = F.array_sort(F.concat(base, more))
-    text = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, close)).otherwise(F.col(text_col))
-    return found.withColumn("_spans", spans_of).withColumn(text_col, text).select(*docs.columns)
+    own = F.col(f"row.{text_col}")
+    text = F.when(F.size("_spans") > 0, spans.replace(own, F.col("_spans"), marks)).otherwise(own)
+    done = found.withColumn("_spans", F.array_sort(F.concat(base, more))).withColumn("_new", text)
+    return done.select(*(F.col("_new").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op3_weak_supervision(spark, sf_dir: str) -> DataFrame:

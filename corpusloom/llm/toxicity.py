@@ -5,13 +5,14 @@ capitals and punctuation, and rates of obfuscated spelling. The lexicon is a sho
 plus words and word beginnings that stand out in toxic training documents (signed
 log-likelihood ratio at least ``LEAST_RATIO``); entries are hashes with log-odds weights, at most
 ``LEXICON``. Trees and calibration are fitted on at most ``SAMPLE`` labelled documents, those
-with the smallest hashed ids; a third of them, chosen by another hash, is for calibration only.
+with the smallest hashed ids; a third of them, chosen by another hash, is for calibration only and
+adds nothing to the lexicon either.
 Labels of held-out rows (crc32 of the id as text modulo 3 is 1) are never read.
 
 Defined cases: null text is empty and scored like any other; labels that are null or neither 0
 nor 1 are left out, of several labels of one id the largest counts. Without labels of
-both classes every score is 0. A null id is scored and not held out. Other columns are
-passed on by ``with_features`` and ``score``; those named like a feature must not be present.
+both classes every score is 0. A null id is scored and not held out. Other columns, whatever their
+names, are passed on by ``score``; one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -21,12 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusloom.llm import vector
 from corpusloom.session import stage
@@ -160,23 +159,26 @@ def _second_person() -> np.ndarray:
     return _second[0]
 
 
-def with_features(docs: DataFrame, lexicon, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all) and the features; ``lexicon`` holds sorted hashes and weights."""
-    kept = docs.columns if keep is None else keep
-    vector.bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most LEXICON entries
+def features(spark, lexicon, text: Column) -> Column:
+    """The features of a text as an array; ``lexicon`` holds sorted hashes and weights.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = vector.texts(batch.column(text_col))
+    Only texts go to Python, and only numbers come back.
+    """
+    vector.bound_batches(spark)
+    shared = spark.sparkContext.broadcast(lexicon)  # at most LEXICON entries
+
+    @F.arrow_udf("array<double>")
+    def work(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            data, bounds = vector.texts(column)
+            found = [np.zeros((len(FEATURES), 0))]
             for lo, hi in vector.groups(bounds, GROUP_BYTES):
-                found = _features(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], shared.value)
-                part = batch.slice(lo, hi - lo)
-                columns = [part.column(c) for c in kept] + [pa.array(x.astype(float)) for x in found]
-                yield pa.RecordBatch.from_arrays(columns, [*kept, *FEATURES])
+                found.append(_features(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], shared.value))
+            values = np.concatenate(found, axis=1).T.astype(float)
+            at = np.arange(len(values) + 1, dtype=np.int32) * len(FEATURES)
+            yield pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(values).ravel()))
 
-    fields = [docs.schema[c] for c in kept] + [StructField(f, DoubleType()) for f in FEATURES]
-    return docs.mapInArrow(work, StructType(fields))
+    return work(text)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -185,7 +187,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, label, part`` of at most ``SAMPLE`` training rows."""
+    """``doc_id, text, label, part`` of at most ``SAMPLE`` training rows; part 0 is for calibration."""
     usable = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out())
     chosen = (
         usable.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
@@ -247,10 +249,11 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = stage(labelled_sample(docs, labels), "labelled")
-    lexicon = learn_lexicon(sample)
+    lexicon = learn_lexicon(sample.where("part <> 0"))
     if not len(lexicon[0]):
         return Model(lexicon)
-    rows = stage(_assembled(with_features(sample, lexicon, keep=["label", "part"])).select("label", "part", "features"), "training")
+    vectors = array_to_vector(features(docs.sparkSession, lexicon, F.col("text"))).alias("features")
+    rows = stage(sample.select("label", "part", vectors), "training")
     counts = {r["part"]: (r["n"], r["p"]) for r in rows.groupBy((F.col("part") == 0).alias("part")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).collect()}
     if any(not 0 < counts.get(side, (0, 0))[1] < counts[side][0] for side in (True, False)):
@@ -263,27 +266,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(lexicon, trees, calibration)
 
 
-def _assembled(df: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
-
-
 def _margin(trees, df: DataFrame) -> DataFrame:
     return trees.transform(df).withColumn("margin", vector_to_array("probability")[1])
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """The columns ``keep`` (all) of ``docs`` and the score as ``name``.
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score", text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` (all but ``name``) of ``docs`` and the score as ``name``.
 
     Calibration is a step function; a hundredth of the trees' own probability keeps the order
     within a step.
     """
-    kept = docs.columns if keep is None else keep
+    kept = [c for c in (docs.columns if keep is None else keep) if c != name]
     if model.trees is None:
-        return docs.select(*kept).withColumn(name, F.lit(0.0))
-    rows = _margin(model.trees, _assembled(with_features(docs, model.lexicon, keep=kept)))
+        return docs.select(*kept, F.lit(0.0).alias(name))
+    # Spark ML adds columns of its own; those of the input wait in one.
+    found = features(docs.sparkSession, model.lexicon, F.col(text_col))
+    rows = docs.select(F.struct(*kept).alias("row"), found.alias("found"))
+    rows = _margin(model.trees, rows.select("row", array_to_vector("found").alias("features")))
     rows = model.calibration.transform(rows.drop("prediction"))
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.99 * F.col("prediction") + 0.01 * F.col("margin")))
-    return rows.select(*kept, value.alias(name))
+    return rows.select(*(F.col("row")[c].alias(c) for c in kept), value.alias(name))
 
 
 def op6_boosted_toxicity(spark, sf_dir: str) -> DataFrame:

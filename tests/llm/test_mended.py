@@ -1,0 +1,111 @@
+"""Names that clash, long texts and names inside articles."""
+
+import random
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.llm import html_text, pii, spans, toxicity
+
+CLASHING = ["_text", "_found", "_spans", "_new", "row", "margin", "prediction", "features", "probability", "rawPrediction", "found", "score2", "f_words"]
+
+
+def clashing(spark, texts):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, name in enumerate(CLASHING):
+        df = df.withColumn(name, F.lit(f"mine {k}"))
+    return df
+
+
+def untouched(rows):
+    return all(r[name] == f"mine {k}" for r in rows for k, name in enumerate(CLASHING))
+
+
+def test_redact_passes_every_other_name_on(spark):
+    got = pii.redact(clashing(spark, ["a bob@example.com", None])).collect()
+    assert {r["text"] for r in got} == {"a [EMAIL]", None} and untouched(got)
+
+
+def test_score_passes_every_other_name_on(spark):
+    texts = ["you idiot moron scum" if i % 3 == 0 else f"a fine day {i % 7}" for i in range(300)]
+    df = clashing(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), labels)
+    assert model.trees is not None
+    got = toxicity.score(df, model).collect()
+    assert len(got) == 300 and untouched(got)
+    assert all((r["score"] >= 0.7) == (r["doc_id"] % 3 == 0) for r in got)
+    again = toxicity.score(df.withColumn("score", F.lit("old")), model).collect()
+    assert {r["score"] for r in again} == {r["score"] for r in got}
+
+
+def test_empty_tables_score_and_redact(spark):
+    none = clashing(spark, []).select("doc_id", "text", *CLASHING)
+    model = toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(none, model).collect() == [] and pii.redact(none).collect() == []
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
+def test_spans_of_any_number_of_matches(spark, n):
+    text = "ä " + "ab1 ü" * n + "z"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "text string")
+    got = df.select("text", spans.find(F.coalesce("text", F.lit("")), "[a-b]+1?").alias("s")).collect()
+    for r in got:
+        want = [(m.start(), m.end(), m[0]) for m in re.finditer("[a-b]+1?", r["text"] or "")]
+        assert [(s["start"], s["end"], s["text"]) for s in r["s"]] == want
+
+
+def test_replacing_equals_a_plain_walk(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 300, 1200):
+        text = "".join(rng.choice("aä漢🙂 ") for _ in range(5 * n + 7))
+        found = sorted({(s := rng.randrange(len(text)), rng.randrange(2), min(len(text), s + rng.randrange(1, 9))) for _ in range(n)})
+        want, at = "", 0
+        for start, kind, end in found:
+            if start >= at:
+                want += text[at:start] + "[XY"[1 + kind]
+            at = max(at, end)
+        want += text[at:]
+        df = spark.createDataFrame([(text, found)], "text string, s array<struct<start:int,kind:int,end:int>>")
+        marks = F.array(F.lit("X"), F.lit("Y"))
+        assert df.select(spans.replace(F.col("text"), F.col("s"), marks)).head()[0] == want
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    text = "x bob@example.com ü " * 100_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    df.select(spans.find(F.col("text"), pii.EMAIL)).limit(0).collect()
+    began = time.perf_counter()
+    got = df.select(spans.find(F.col("text"), pii.EMAIL).alias("s")).select(F.size("s"), F.col("s")[99_999]["end"]).head()
+    assert tuple(got) == (100_000, 20 * 99_999 + 17)
+    assert pii.redact(df).head()["text"] == "x [EMAIL] ü " * 100_000
+    assert time.perf_counter() - began < 60
+
+
+LONG = "long text of the story told at length " * 6
+
+
+@pytest.mark.parametrize("name", sorted(html_text.MARKS))
+def test_no_id_silences_an_article(name):
+    parts = [f"<h2 id='{name}'>Head</h2>", f"<p id='{name}-1'>{LONG}one</p>", f"<section id='{name}'><p>{LONG}two</p><p>{LONG}three</p></section>"]
+    page = f"<body><nav>m</nav><article><h1>T</h1><p>{LONG}</p>{''.join(parts)}<p>{LONG}end</p></article></body>"
+    want = ["T", LONG.strip(), "Head", f"{LONG}one", f"{LONG}two", f"{LONG}three", f"{LONG}end"]
+    assert html_text.main_text(page).split("\n") == want
+    assert html_text.main_text(page.replace("article", "main")).split("\n") == want
+
+
+@pytest.mark.parametrize("aside", [
+    "<div class='comments'><p>{}</p></div>", "<div id='comments'><a>reply</a><a>x</a></div>", "<div class='ad'>{}</div>", "<div class='share-bar'><a>a</a><a>b</a></div>",
+    "<div class='newsletter signup'><p>{}</p></div>", "<ul class='tags'><li>a<li>b</ul>", "<section class='related'><a>one</a><a>two</a></section>",
+])
+def test_asides_inside_an_article_go(aside):
+    page = f"<body><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p>{aside.format('great ' * 30)}<p>{LONG}end</p></article></body>"
+    assert html_text.main_text(page).split("\n") == ["T", LONG.strip(), LONG.strip(), f"{LONG}end"]
+
+
+def test_very_long_page():
+    page = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
+    assert html_text.main_text(page).count("\n") == 19_999
