@@ -15,8 +15,9 @@ from corpusloom.session import stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score at least ``toxicity.CUT``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = toxicity.score(docs, toxicity.fit(docs, labels), name="_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.CUT).select(*docs.columns)
+    name = "toxicity" + "_" * max(map(len, docs.columns))  # longer than any name present
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), name=name)
+    return scored.where(F.col(name) < toxicity.CUT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
