@@ -7,7 +7,9 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +30,13 @@ from corpusloom.session import spread, stage
 WORD_PATTERN = f"{WORD_MARK}*[^{WORD_MARK}]+|{WORD_MARK}+"
 
 # Pairs looked at, and merges taken, in one training round.
-ROUND_PAIRS = 256
-ROUND_MERGES = 64
-# Rounds between two written copies of the word table.
-STAGE_EVERY = 10
+ROUND_PAIRS = 512
+ROUND_MERGES = 256
+# Pairs that the driver ranks, and distinct words of one partition.
+MAX_PAIRS = 200_000
+PART_WORDS = 500_000
+# Rounds between two written copies of the words.
+STAGE_EVERY = 20
 # Distinct words a worker remembers before it starts over.
 WORD_CACHE = 1_000_000
 
@@ -91,27 +96,179 @@ def pair_counts(words: DataFrame, symbols: str = "symbols") -> DataFrame:
 
 # Training
 
-# While training, a word is a string of symbols ``<12><45>``. A character is its code
-# point and a merged symbol a number above all code points, so that two merges never
-# touch the same delimiter and one ``replace`` applies a merge from left to right.
-# ``<>`` stands for a character outside the coverage; nothing merges with it.
-
-
-def _initial_symbols(words: DataFrame, covered: Sequence[str]) -> DataFrame:
-    points = [ord(c) for c in covered]
-
-    def symbol(c):
-        point = F.ascii(c)
-        return F.when(point.isin(points), F.concat(F.lit("<"), point.cast("string"), F.lit(">"))).otherwise("<>")
-
-    return words.select("n", F.array_join(F.transform(F.split("word", ""), symbol), "").alias("s"))
+# While training, a partition of the distinct words is one row: an array of symbols, words parted by
+# ``GAP``, and the count of the word at each place. A character is its code point, a merged symbol a number
+# above all code points. ``GAP`` also stands for a character outside the coverage; nothing merges with it.
+GAP = -1
+STATE = "left int, right int, n long, symbols binary, weights binary"
+
+
+def _state_row(symbols: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    none = [pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.int64())]
+    return pa.RecordBatch.from_arrays([*none, pa.array([symbols.tobytes()]), pa.array([weights.tobytes()])], STATE_NAMES)
+
+
+STATE_NAMES = ["left", "right", "n", "symbols", "weights"]
+
+
+def _pair_rows(keys: np.ndarray, amounts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Amounts added up for each packed pair, without those that come to nothing."""
+    keys, at = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, at, amounts)
+    keys, total = keys[total != 0], total[total != 0]
+    if len(keys):
+        none = pa.nulls(len(keys), pa.binary())
+        left, right = (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(total), none, none], STATE_NAMES)
+
+
+def _packed(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pair that begins at each place, and whether there is one."""
+    wide = symbols.astype(np.int64)
+    return wide[:-1] << 32 | wide[1:] & 0xFFFFFFFF, (wide[:-1] >= 0) & (wide[1:] >= 0)
+
+
+def _initial_state(words: DataFrame, covered: Sequence[str]) -> DataFrame:
+    """One row a partition; the words are spread so that each has at most some ``PART_WORDS``."""
+    points = np.array(sorted(map(ord, covered)), np.int32)
+    parts = max(words.sparkSession.sparkContext.defaultParallelism, -(-words.count() // PART_WORDS))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, weights = [np.array([GAP], np.int32)], [np.zeros(1, np.int64)]
+        for batch in batches:
+            texts = batch.column("word").to_pylist()
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+            flat = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), np.int32).copy()
+            ends = np.cumsum(sizes) - 1
+            flat[~np.isin(flat, points)] = GAP
+            flat[ends] = GAP
+            symbols.append(flat)
+            weights.append(np.repeat(batch.column("n").to_numpy(), sizes))
+        yield _state_row(np.concatenate(symbols), np.concatenate(weights))
+
+    return words.select("word", "n").repartition(parts, "word").mapInArrow(work, STATE)
+
+
+def _read_state(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for symbols, weights in zip(batch.column("symbols"), batch.column("weights")):
+        if symbols.is_valid:
+            yield np.frombuffer(symbols.as_buffer(), np.int32), np.frombuffer(weights.as_buffer(), np.int64)
+
+
+def _all_pairs(state: DataFrame) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for symbols, weights in _read_state(batch):
+                keys, real = _packed(symbols)
+                yield from _pair_rows(keys[real], weights[:-1][real])
+
+    return state.mapInArrow(work, STATE).groupBy("left", "right").agg(F.sum("n").alias("n"))
+
+
+def merge_places(symbols: np.ndarray, taken: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where one of the pairs ``taken`` is merged, left to right, and into what."""
+    keys, real = _packed(symbols)
+    wanted = np.array(sorted(taken), np.int64)
+    made = np.array([taken[int(k)] for k in wanted], np.int32)
+    near = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+    at = np.flatnonzero(real & (wanted[near] == keys))
+    # A run of one symbol merges in twos from its first.
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = np.diff(at) > 1
+    start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+    at = at[(np.arange(len(at)) - start) % 2 == 0]
+    return at, made[near[at]]
+
+
+def merged_state(symbols: np.ndarray, weights: np.ndarray, taken: dict[int, int]):
+    """The state after a round's merges, and what they take from and add to the pairs around them."""
+    at, into = merge_places(symbols, taken)
+    keys, real = _packed(symbols)
+    old = np.unique(np.concatenate([at - 1, at, at + 1]))
+    old = old[(old >= 0) & (old < len(keys))]
+    old = old[real[old]]
+    lost_keys, lost = keys[old], -weights[old]
+    after = symbols.copy()
+    after[at] = into
+    keep = np.ones(len(after), bool)
+    keep[at + 1] = False
+    new_at = at - np.arange(len(at))
+    after, weights = after[keep], weights[keep]
+    keys, real = _packed(after)
+    new = np.unique(np.concatenate([new_at - 1, new_at]))
+    new = new[(new >= 0) & (new < len(keys))]
+    new = new[real[new]]
+    return after, weights, np.concatenate([lost_keys, keys[new]]), np.concatenate([lost, weights[new]])
+
+
+def _without_finished(symbols: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of one symbol take part in nothing more."""
+    lone = np.zeros(len(symbols), bool)
+    lone[1:-1] = (symbols[:-2] == GAP) & (symbols[2:] == GAP)
+    return symbols[~lone], weights[~lone]
+
+
+def _round(state: DataFrame, taken: dict[int, int]) -> DataFrame:
+    """The merged words, and a row for each pair whose count changes in a partition."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for symbols, weights in _read_state(batch):
+                symbols, weights, keys, amounts = merged_state(symbols, weights, taken)
+                yield _state_row(*_without_finished(symbols, weights))
+                yield from _pair_rows(keys, amounts)
+
+    return state.where("symbols IS NOT NULL").mapInArrow(work, STATE)
+
+
+class Ranking:
+    """The pairs that count at least ``floor``, on the driver, in the order of merging.
+
+    At most ``MAX_PAIRS`` are held. Changes reported by a round keep them exact; pairs below the floor
+    are left to the next reading of all pairs.
+    """
 
+    def __init__(self):
+        self.counts: dict[tuple[int, int], int] = {}
+        self.heap: list[tuple[int, int, int, int]] = []
+        self.floor = 1
+        self.spent = False  # holds a list that is good for one round only
+
+    def read(self, pairs: DataFrame) -> None:
+        rows = pairs.orderBy(F.desc("n"), F.greatest("left", "right"), "left", "right").limit(MAX_PAIRS).collect()
+        self.floor = rows[-1]["n"] + 1 if len(rows) == MAX_PAIRS else 1
+        self.spent = bool(rows) and rows[0]["n"] < self.floor
+        self.counts = {(r["left"], r["right"]): r["n"] for r in rows if self.spent or r["n"] >= self.floor}
+        self.heap = [(-n, max(pair), *pair) for pair, n in self.counts.items()]
+        heapq.heapify(self.heap)
+
+    def leading(self, most: int) -> list[tuple[int, int]]:
+        out, seen, put_back = [], set(), []
+        while self.heap and len(out) < most:
+            entry = heapq.heappop(self.heap)
+            pair = entry[2:]
+            if self.counts.get(pair) == -entry[0] and pair not in seen:
+                out.append(pair)
+                seen.add(pair)
+                put_back.append(entry)
+        for entry in put_back:
+            heapq.heappush(self.heap, entry)
+        return out
 
-def _symbol_pairs(words: DataFrame) -> DataFrame:
-    # One blank between symbols: a pattern of one character needs no regular expression.
-    spaced = F.replace(F.expr("substring(s, 2, length(s) - 2)"), F.lit("><"), F.lit(" "))
-    counts = pair_counts(words.select(F.split(spaced, " ").alias("symbols"), "n"))
-    return counts.select(F.col("left").cast("int"), F.col("right").cast("int"), "n")
+    def change(self, lefts: list[int], rights: list[int], amounts: list[int], first_new: int) -> None:
+        """Add what a round reports; ``first_new`` is the lowest symbol that it made."""
+        for left, right, amount in zip(lefts, rights, amounts):
+            pair = (left, right)
+            known = self.counts.get(pair)
+            if known is None and max(pair) < first_new:
+                continue
+            n = (known or 0) + amount
+            if n >= self.floor:
+                self.counts[pair] = n
+                heapq.heappush(self.heap, (-n, max(pair), left, right))
+            elif known is not None:
+                del self.counts[pair]
 
 
 def accept_prefix(
@@ -152,10 +309,13 @@ def train_bpe(
 ) -> tuple[DataFrame, DataFrame]:
     """Learn merges; gives ``vocab (id, piece, kind)`` and ``merges (rank, left, right, id)``.
 
-    Each round is one aggregation of pair counts over the distinct words and one pass
-    that applies the accepted merges. Only the leading pairs come to the driver. Ties go
-    to older symbols. Training stops at ``vocab_size`` pieces or when no pair is left.
-    With ``max_length`` lines of more bytes are left out.
+    A round merges all leading pairs that cannot influence each other. Each partition of the distinct words
+    applies them where they occur and reports by how much the pairs around those places change; the changes,
+    added up, bring the ranking on the driver up to date. Its size is bounded, and so are the changes: a
+    merge touches pairs with its two parts and its result only. All pairs are counted at the start, when the ranking
+    is used up, and after a merge that makes a known piece again. Ties go to older
+    symbols. Training stops at ``vocab_size`` pieces or when no pair is left. With ``max_length`` lines of more
+    bytes are left out.
     """
     spark = lines.sparkSession
     kept = lines if max_length is None else max_sentence_length(lines, max_length)
@@ -171,42 +331,44 @@ def train_bpe(
     vocab_id = {ord(c): base + i for i, c in enumerate(covered)}
     known: dict[str, int] = {}
     learned: list[tuple[int, str, str, int]] = []
-    # Every round passes over all words, so they are spread over all cores.
-    cores = spark.sparkContext.defaultParallelism
-    state = _initial_symbols(words.repartition(cores, "word"), covered)
-    state = state.where(F.col("s").contains("><")).persist()
-    rounds, stale = 0, []
+    state = stage(_initial_state(words, covered), "symbols")
+    ranking = Ranking()
+    recount, rounds, held = True, 0, []
     while room > 0:
-        top = (
-            _symbol_pairs(state)
-            .orderBy(F.desc("n"), F.greatest("left", "right"), "left", "right")
-            .limit(ROUND_PAIRS)
-            .collect()
-        )
-        while stale:
-            stale.pop().unpersist()
-        if not top:
-            break
-        taken = accept_prefix([(r["left"], r["right"]) for r in top], piece, known, room)
-        merged = F.col("s")
-        for left, right in taken:
+        if recount:
+            ranking.read(_all_pairs(state))
+        ranked = ranking.leading(ROUND_PAIRS)
+        if not ranked:
+            if recount:
+                break
+            recount = True
+            continue
+        first_new = CODEPOINTS + len(known)
+        taken: dict[int, int] = {}
+        recount = ranking.spent
+        for left, right in accept_prefix(ranked, piece, known, room):
             text = piece[left] + piece[right]
+            recount = recount or text in known
             if text not in known:
                 known[text] = CODEPOINTS + len(known)
                 piece[known[text]] = text
                 vocab_id[known[text]] = base + len(covered) + len(known) - 1
                 room -= 1
-            symbol = known[text]
-            merged = F.replace(merged, F.lit(f"<{left}><{right}>"), F.lit(f"<{symbol}>"))
-            learned.append((len(learned), piece[left], piece[right], vocab_id[symbol]))
+            taken[left << 32 | right] = known[text]
+            learned.append((len(learned), piece[left], piece[right], vocab_id[known[text]]))
         rounds += 1
-        following = state.select("n", merged.alias("s")).where(F.col("s").contains("><"))
+        state = _round(state, taken)
         if rounds % STAGE_EVERY == 0:
-            following = stage(following, "symbols")
-        # The next count fills the new copy from the old one, which can go after that.
-        stale.append(state)
-        state = following.persist()
-    for df in [*stale, state]:
+            state = stage(state, "symbols")
+        else:
+            state = state.persist()
+            held.append(state)
+        changed = state.where("symbols IS NULL").groupBy("left", "right").agg(F.sum("n").alias("n")).toArrow()
+        ranking.change(*(changed.column(c).to_pylist() for c in ("left", "right", "n")), first_new)
+        # The round before is only needed until this one is written or held.
+        while held and held[0] is not state:
+            held.pop(0).unpersist()
+    for df in held:
         df.unpersist()
 
     merges = spark.createDataFrame(learned, "rank int, left string, right string, id int")
