@@ -894,8 +894,54 @@ def _(spark, sf):
     return bpe.pair_counts(words.select(F.split("word", "").alias("symbols"), "n"))
 
 
-BPE_SIZE = 420
+# The size that SQL can follow merge by merge; the README has the figure of a whole vocabulary.
+BPE_SIZE = 480
 _trained: dict[tuple[str, str], tuple[DataFrame, DataFrame, bpe.BpeModel]] = {}
+_FIRST_BYTE = len(vocab.RESERVED) + len(vocab.user_symbols())
+_FIRST_CHAR = _FIRST_BYTE + vocab.BYTES
+
+# Training by recursion: a word is its pieces between the marks 1 and 2, a character outside the coverage
+# has the mark 3. The row without a word lists the pieces made so far and the last merge.
+_BPE_SQL = f"""{_WORDS}, ch AS (SELECT c, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest(string_split(word, '')) AS c, n FROM w) GROUP BY c),
+rk AS (SELECT c, row_number() OVER o AS rank, coalesce(sum(n) OVER (ORDER BY n DESC, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen,
+    sum(n) OVER () AS total FROM ch WINDOW o AS (ORDER BY n DESC, c)),
+cv AS (SELECT c, rank FROM rk WHERE seen < CAST(total AS DOUBLE) * CAST(0.98 AS DOUBLE)),
+cl AS (SELECT list(c ORDER BY rank) AS cs FROM cv),
+tr AS (
+  SELECT 0 AS step, word, n, array_to_string(list_transform(string_split(word, ''), lambda x:
+      chr(1) || CASE WHEN list_contains(cs, x) THEN x ELSE chr(3) || x END || chr(2)), '') AS s,
+    CAST([] AS VARCHAR[]) AS known, CAST(NULL AS VARCHAR) AS l, CAST(NULL AS VARCHAR) AS r FROM w, cl
+  UNION ALL SELECT 0, NULL, 0, '', CAST([] AS VARCHAR[]), NULL, NULL
+  UNION ALL
+  SELECT step + 1, word, n, replace(s, chr(1) || top.l || chr(2) || chr(1) || top.r || chr(2), chr(1) || top.l || top.r || chr(2)),
+    CASE WHEN word IS NULL AND NOT list_contains(known, top.l || top.r) THEN list_append(known, top.l || top.r) ELSE known END, top.l, top.r
+  FROM tr, (
+    SELECT l, r FROM (
+      SELECT ps[i] AS l, ps[i + 1] AS r, n FROM (
+        SELECT ps, n, unnest(range(1, len(ps))) AS i FROM (SELECT string_split(s[2 : length(s) - 1], chr(2) || chr(1)) AS ps, n FROM tr WHERE word IS NOT NULL)))
+    WHERE l[1] <> chr(3) AND r[1] <> chr(3) GROUP BY l, r
+    ORDER BY sum(n) DESC,
+      greatest(CASE WHEN length(l) = 1 THEN unicode(l) ELSE 2000000 + list_position((SELECT known FROM tr WHERE word IS NULL), l) END,
+        CASE WHEN length(r) = 1 THEN unicode(r) ELSE 2000000 + list_position((SELECT known FROM tr WHERE word IS NULL), r) END),
+      CASE WHEN length(l) = 1 THEN unicode(l) ELSE 2000000 + list_position((SELECT known FROM tr WHERE word IS NULL), l) END,
+      CASE WHEN length(r) = 1 THEN unicode(r) ELSE 2000000 + list_position((SELECT known FROM tr WHERE word IS NULL), r) END LIMIT 1) AS top
+  WHERE (SELECT len(known) FROM tr WHERE word IS NULL) + {_FIRST_CHAR} + (SELECT len(cs) FROM cl) < {BPE_SIZE}
+), pc AS (
+  SELECT cs[i] AS piece, {_FIRST_CHAR - 1} + i AS id FROM (SELECT cs, unnest(range(1, len(cs) + 1)) AS i FROM cl)
+  UNION ALL SELECT known[i], {_FIRST_CHAR - 1} + (SELECT len(cs) FROM cl) + i
+  FROM (SELECT known, unnest(range(1, len(known) + 1)) AS i FROM tr WHERE word IS NULL AND step = (SELECT max(step) FROM tr))
+)"""
+
+# Ids of each document: lines of words of pieces, with the byte of a line feed between lines.
+_BPE_IDS = f"""pm AS (SELECT map(list(piece), list(id)) AS m FROM pc),
+sg AS (SELECT word, flatten(list_transform(string_split(s[2 : length(s) - 1], chr(2) || chr(1)), lambda p: CASE WHEN p[1] = chr(3)
+    THEN list_transform(range(octet_length(encode(p[2:]))), lambda k: {_FIRST_BYTE} + CAST('0x' || substr(hex(encode(p[2:])), 2 * k + 1, 2) AS INT))
+    ELSE [m[p]] END)) AS ids FROM tr, pm WHERE word IS NOT NULL AND step = (SELECT max(step) FROM tr)),
+ln AS (SELECT doc_id, i, regexp_extract_all(replace(string_split(text, chr(10))[i], ' ', '{tokens.WORD_MARK}'), '{bpe.WORD_PATTERN}') AS ws
+    FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+ow AS (SELECT doc_id, i, k, ids FROM (SELECT doc_id, i, ws[k] AS word, k FROM (SELECT doc_id, i, ws, unnest(range(1, len(ws) + 1)) AS k FROM ln)) JOIN sg USING (word)
+    UNION ALL SELECT doc_id, i, 0, [{_FIRST_BYTE + 10}] FROM ln WHERE i > 1),
+bd AS (SELECT doc_id, flatten(list(ids ORDER BY i, k)) AS ids FROM ow GROUP BY doc_id)"""
 
 
 def _bpe(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, bpe.BpeModel]:
@@ -907,7 +953,12 @@ def _bpe(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, bpe.BpeMod
     return _trained[key]
 
 
-@query("train_bpe")
+@query(
+    "train_bpe",
+    f"""WITH RECURSIVE {_BPE_SQL}
+    SELECT CAST(step - 1 AS INT) AS rank, l AS "left", r AS "right", CAST(pc.id AS INT) AS id
+    FROM tr JOIN pc ON pc.piece = l || r WHERE word IS NULL AND step > 0""",
+)
 def _(spark, sf):
     return _bpe(spark, sf)[1]
 
@@ -919,19 +970,20 @@ def _encoded(spark: SparkSession, sf: str) -> tuple[DataFrame, bpe.BpeModel]:
 
 @query(
     "encode_bpe",
-    """SELECT doc_id AS doc_ord, true AS shorter, true AS in_range FROM documents""",
+    f"""WITH RECURSIVE {_BPE_SQL}, {_BPE_IDS}
+    SELECT doc_id AS doc_ord, CAST(len(coalesce(ids, [])) AS BIGINT) AS n_tokens, md5(array_to_string(coalesce(ids, []), ' ')) AS ids_md5
+    FROM documents LEFT JOIN bd USING (doc_id)""",
 )
 def _(spark, sf):
-    """No more ids than bytes, and all of them in the vocabulary."""
-    df, model = _encoded(spark, sf)
-    return df.select(
-        "doc_ord",
-        (F.size("input_ids") <= F.octet_length("text")).alias("shorter"),
-        F.forall("input_ids", lambda x: (x >= 0) & (x < len(model.pieces))).alias("in_range"),
-    )
+    return block_out(_encoded(spark, sf)[0], "doc_ord")
 
 
-@query("pretokenize_bpe")
+@query(
+    "pretokenize_bpe",
+    f"""WITH RECURSIVE {_BPE_SQL}, {_BPE_IDS}, {_D}, {_MIX}, mb AS (SELECT m.*, bd.ids AS own FROM m JOIN bd ON bd.doc_id = m.doc_ord),
+    {_pack_sql(f"list_append(own, {vocab.EOS_ID})", f"ord // {BATCH}", source="mb")}
+    SELECT batch_id, block_ord, n_tokens, ids_md5 FROM b""",
+)
 def _(spark, sf):
     """The flow with the trained vocabulary."""
     model = _bpe(spark, sf)[2]
