@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import spans
+from corpusloom.operators.skew import salted_join
 from corpusloom.session import stage
 
 CLASS_LIMIT = 8
@@ -179,7 +180,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", text_
     )
     queries = {r.name: q for r in rules if (q := trigram_query(_plain(r.pattern))) is not None}
     postings = build_index(rows, sorted({t for q in queries.values() for c in q for t in c}))
-    held = rows.join(candidates(postings, queries), "doc_id", "left")
+    held = salted_join(rows, candidates(postings, queries), ["doc_id"])  # null and repeated ids are dealt out
     columns = []
     for k, rule in enumerate(rules):
         may = F.col("doc_id").isNull() | F.coalesce(F.array_contains("rules", rule.name), F.lit(False))
