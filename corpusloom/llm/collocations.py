@@ -340,8 +340,8 @@ def runs(docs: DataFrame, lengths: tuple[int, ...], gate=None, text_col: str = "
 
 
 def merged(found: DataFrame) -> DataFrame:
-    """Runs added up, in ranges of neighbouring phrases."""
-    return found.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("n"))
+    """``lang, phrase, n``: runs added up, in ranges of neighbouring phrases."""
+    return found.select("lang", "phrase", "n").repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def gate_of(frequent: DataFrame):
@@ -375,10 +375,12 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", l
     """``lang, phrase, words, n`` of all phrases with ``n >= least``, and ``lang, n`` over all words."""
     short = stage(runs(docs, (1, 2), None, text_col, lang_col), "runs")
     sizes = short.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = stage(merged(short).where(F.col("n") >= least), "counts")
+    words = (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1).alias("words")
+    often = lambda found: stage(merged(found).where(F.col("n") >= least).select("lang", "phrase", words, "n"), "counts")
+    frequent = often(short)
     gate = gate_of(frequent.where("words = 2"))
     longer = stage(runs(docs, (LONGEST,), gate, text_col, lang_col), "runs")
-    frequent = frequent.unionByName(stage(merged(longer).where(F.col("n") >= least), "counts"))
+    frequent = frequent.unionByName(often(longer))
     gate.destroy()
     return frequent, sizes
 
