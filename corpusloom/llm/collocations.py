@@ -3,9 +3,9 @@
 Every task counts the phrases of its texts in one trie for each language: hash containers under word ids,
 one shared by the rarer first words, one for each first word of many phrases, then for its second words
 (see ``Trie``). A task holds at most ``ENTRIES`` phrases: beyond that its largest
-subtrees leave as sorted runs until half are left, and the rest follow at the end. Runs are written, dealt
-by ranges of (language, phrase), so that a prefix is a range of neighbours and a frequent
-prefix takes several, and merged there by adding up.
+subtrees leave as sorted runs until half are left, and the rest follow at the end. Runs are dealt by prefix
+partitions, all words but the last and a slice of the last, so that the subtree below a frequent prefix is spread
+over ``SLICES`` of them, and merged there by adding up.
 
 Phrases come in two steps: single words and pairs first, then longer ones behind a bitmap of
 the phrases one word shorter that are frequent enough, as a phrase is never more frequent than its parts. The
@@ -59,12 +59,14 @@ GATE_BITS = 1 << 27
 GATE_PAGE = 1 << 15
 BITS_PER_PHRASE = 16
 BUCKET_ROWS = 1 << 14
+# Prefix partitions of the phrases that share all words but the last.
+SLICES = 64
 
 # What ends a piece; blanks and tabs part words.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _TO_MARK = bytes.maketrans(ENDS, b"." * len(ENDS))
 _GAP = re.compile(rb"[ \t.]")
-RUN = "lang string, phrase string, words int, n long"
+RUN = "part long, lang string, phrase string, n long"
 
 
 class Trie:
@@ -250,9 +252,7 @@ class Counter:
             self.entries += trie.add(*np.unique(packed, return_counts=True))
 
     def _passes(self, lang: str, arr: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-        if len(self.hashes) < len(self.ids):
-            new = len(self.ids) - len(self.hashes)
-            self.hashes = np.concatenate([self.hashes, word_hashes(islice(self.ids, len(self.hashes), None), new)])
+        self._hash_words()
         seed = word_hashes([lang.encode()], 1)
         good = np.ones(len(at), bool)
         for shift in (0, 1):
@@ -261,6 +261,11 @@ class Counter:
             good &= (self.gate[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return good
 
+    def _hash_words(self) -> None:
+        new = len(self.ids) - len(self.hashes)
+        if new:
+            self.hashes = np.concatenate([self.hashes, word_hashes(islice(self.ids, len(self.hashes), None), new)])
+
     def spill(self, until: int) -> Iterator[pa.RecordBatch]:
         """The largest subtrees as sorted runs, until at most ``until`` phrases are held; words too if that is 0."""
         sizes = sorted(((n, lang, first) for lang, t in self.tries.items() for n, first in t.sizes()), reverse=True)
@@ -272,34 +277,52 @@ class Counter:
             self.entries -= n
         if not chosen:
             return
-        names = pa.array(list(self.ids), pa.binary()).cast(pa.string())
+        names = pa.array([b"", *islice(self.ids, 1, None)], pa.binary()).cast(pa.string())
         rank = np.empty(len(names), np.int64)
         rank[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))
         rank[0] = -1  # no word
+        self._hash_words()
         for lang in sorted(chosen):
             trie = self.tries[lang]
             if not until:
                 ids, counts = trie.take_words()
-                yield from _sorted_run(lang, ids << _TAIL_BITS, counts, names, rank)
+                # the empty phrase stands for all words
+                ids, counts = np.concatenate([[0], ids]), np.concatenate([[counts.sum()], counts])
+                yield from _sorted_run(lang, ids << _TAIL_BITS, counts, names, rank, self.hashes)
             taken = [t for first in chosen[lang] for t in trie.take(first)]
             held = sum(map(len, taken))
             packed = np.fromiter(chain.from_iterable(taken), np.int64, held)
             counts = np.fromiter(chain.from_iterable(t.values() for t in taken), np.int64, held)
-            yield from _sorted_run(lang, packed, counts, names, rank)
+            yield from _sorted_run(lang, packed, counts, names, rank, self.hashes)
+
 
+def _prefix_partition(lang: str, ids: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """A number for all words but the last and the slice of the last; a single word has its own."""
+    out = np.broadcast_to(word_hashes([lang.encode()], 1), len(ids[0]))
+    for k, i in enumerate(ids):
+        last = (ids[k + 1] == 0) if k + 1 < len(ids) else np.ones(len(i), bool)
+        h = hashes[i]
+        if k:
+            h = np.where(last, h % np.uint64(SLICES), h)
+        out = np.where(i > 0, chain_hash(out, [h]), out)
+    return out.view(np.int64)
 
-def _sorted_run(lang: str, packed: np.ndarray, counts: np.ndarray, names: pa.Array, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+def _sorted_run(
+    lang: str, packed: np.ndarray, counts: np.ndarray, names: pa.Array, rank: np.ndarray, hashes: np.ndarray
+) -> Iterator[pa.RecordBatch]:
     """Phrases and counts in the byte order of their words."""
     mask = (1 << ID_BITS) - 1
-    ids = [packed >> _TAIL_BITS, (packed >> ID_BITS) & mask, packed & mask]
-    order = np.lexsort([rank[i] for i in reversed(ids)])
+    order = np.lexsort([rank[i] for i in (packed & mask, (packed >> ID_BITS) & mask, packed >> _TAIL_BITS)])
     for lo in range(0, len(order), OUT_ROWS):
         at = order[lo : lo + OUT_ROWS]
-        words = [names.take(pa.array(i[at], mask=i[at] == 0)) for i in ids]
+        some = packed[at]
+        ids = [some >> _TAIL_BITS, (some >> ID_BITS) & mask, some & mask]
+        words = [names.take(pa.array(i, mask=(i == 0) & (k > 0))) for k, i in enumerate(ids)]
         phrase = pc.binary_join_element_wise(*words, " ", null_handling="skip")
-        length = sum((i[at] > 0).astype(np.int32) for i in ids)
-        columns = [pa.array([lang]).take(pa.array(np.zeros(len(at), np.int32))), phrase, pa.array(length, pa.int32()), pa.array(counts[at])]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n"])
+        langs = pa.array([lang]).take(pa.array(np.zeros(len(at), np.int32)))
+        columns = [pa.array(_prefix_partition(lang, ids, hashes)), langs, phrase, pa.array(counts[at])]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "lang", "phrase", "n"])
 
 
 class _Numbered(dict):
@@ -323,7 +346,7 @@ def _chunks(text: bytes) -> Iterator[tuple[int, int]]:
 
 
 def runs(docs: DataFrame, lengths: tuple[int, ...], gate=None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``lang, phrase, words, n``: counts of phrases, several for a phrase."""
+    """``part, lang, phrase, n``: sorted runs of counts, several rows for a phrase; the empty phrase counts all words."""
     vector.bound_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
 
@@ -340,8 +363,8 @@ def runs(docs: DataFrame, lengths: tuple[int, ...], gate=None, text_col: str = "
 
 
 def merged(found: DataFrame) -> DataFrame:
-    """``lang, phrase, n``: runs added up, in ranges of neighbouring phrases."""
-    return found.select("lang", "phrase", "n").repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    """``lang, phrase, n``: runs added up, one prefix partition in one task."""
+    return found.repartition("part").groupBy("part", "lang", "phrase").agg(F.sum("n").alias("n")).drop("part")
 
 
 def gate_of(frequent: DataFrame):
@@ -372,17 +395,18 @@ def gate_of(frequent: DataFrame):
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """``lang, phrase, words, n`` of all phrases with ``n >= least``, and ``lang, n`` over all words."""
-    short = stage(runs(docs, (1, 2), None, text_col, lang_col), "runs")
-    sizes = short.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    words = (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1).alias("words")
-    often = lambda found: stage(merged(found).where(F.col("n") >= least).select("lang", "phrase", words, "n"), "counts")
-    frequent = often(short)
-    gate = gate_of(frequent.where("words = 2"))
-    longer = stage(runs(docs, (LONGEST,), gate, text_col, lang_col), "runs")
-    frequent = frequent.unionByName(often(longer))
+    """``lang, phrase, words, n`` of all phrases with ``n >= least``, and ``lang, n`` over all words, where they are as many."""
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
+
+    def often(lengths: tuple[int, ...], gate) -> DataFrame:
+        found = merged(runs(docs, lengths, gate, text_col, lang_col)).where(F.col("n") >= least)
+        return stage(found.select("lang", "phrase", words.alias("words"), "n"), "counts")
+
+    short = often((1, 2), None)
+    gate = gate_of(short.where("words = 2"))
+    longer = often((LONGEST,), gate).where("words > 0")
     gate.destroy()
-    return frequent, sizes
+    return short.where("words > 0").unionByName(longer), short.where("words = 0").select("lang", "n")
 
 
 def _words(phrase: Column) -> Column:

@@ -65,7 +65,7 @@ def test_spills_restarts_and_small_chunks_change_nothing(spark, monkeypatch):
         monkeypatch.setattr(co, name, value)
 
     def counted(lengths):
-        own, total = co.Counter(lengths, None), Counter()
+        own, total, parts = co.Counter(lengths, None), Counter(), {}
         batches = []
         for _, text, lang in rows:
             batches += own.read(lang or "und", (text or "").encode())
@@ -73,9 +73,9 @@ def test_spills_restarts_and_small_chunks_change_nothing(spark, monkeypatch):
         batches += own.spill(0)
         for b in batches:
             run = list(zip(*(b.column(c).to_pylist() for c in ("lang", "phrase"))))
-            assert run == sorted(run, key=lambda r: (r[0].encode(), [w.encode() for w in r[1].split(" ")]))
-            for lang, phrase, words, n in zip(*(b.column(c).to_pylist() for c in ("lang", "phrase", "words", "n"))):
-                assert words == len(phrase.split(" "))
+            assert run == sorted(run, key=lambda r: (r[0].encode(), [w.encode() for w in r[1].split(" ") if w]))
+            for part, lang, phrase, n in zip(*(b.column(c).to_pylist() for c in ("part", "lang", "phrase", "n"))):
+                assert parts.setdefault((lang, phrase), part) == part
                 total[lang, phrase] += n
         return total, len(batches)
 
@@ -102,6 +102,12 @@ def test_burst_containers_count_on(monkeypatch):
     assert got == want and trie.sizes() == [(0, 0)]
 
 
+def test_a_frequent_prefix_is_spread(spark):
+    ids = [np.full(500, 1), np.full(500, 2), np.arange(3, 503)]
+    hashes = co.word_hashes([str(i).encode() for i in range(503)], 503)
+    assert len(set(co._prefix_partition("en", ids, hashes).tolist())) == co.SLICES
+
+
 def test_a_full_gate_changes_nothing(spark, monkeypatch):
     docs = spark.createDataFrame(texts(), DOCS)
     want = sorted(map(repr, co.collocations(docs, 3).collect()))
@@ -120,7 +126,7 @@ def test_leading_in_buckets(spark, monkeypatch):
 def test_large_counts_are_exact(spark):
     big = 3_000_000_000
     rows = [("en", "a", 1, big + 7), ("en", "b", 1, big + 1), ("en", "a b", 2, big)]
-    got = co.scored(spark.createDataFrame(rows, co.RUN)).head()
+    got = co.scored(spark.createDataFrame(rows, "lang string, phrase string, words int, n long")).head()
     assert got["score"] == 10**6 * big * big // ((big + 7) * (big + 1))
 
 
