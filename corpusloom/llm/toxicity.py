@@ -5,8 +5,8 @@ capitals and punctuation, and rates of obfuscated spelling. The lexicon is a sho
 plus words and word beginnings that stand out in toxic training documents (signed
 log-likelihood ratio at least ``LEAST_RATIO``); entries are hashes with log-odds weights, at most
 ``LEXICON``. Trees and calibration are fitted on at most ``SAMPLE`` labelled documents, those
-with the smallest hashed ids; a third of them, chosen by another hash, is for calibration only and
-adds nothing to the lexicon either.
+with the smallest hashed ids; one of ``PARTS`` parts of them, chosen by another hash, is for calibration only.
+For fitting, the features of each part come from a lexicon learned on the others; scores use the one of all.
 Labels of held-out rows (crc32 of the id as text modulo 3 is 1) are never read.
 
 Defined cases: null text is empty and scored like any other; labels that are null or neither 0
@@ -18,6 +18,7 @@ names, are passed on by ``score``; one named like the score is replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from corpusloom.session import stage
 
 SAMPLE = 12_000
 LEXICON = 20_000
+PARTS = 3
 LEAST_RATIO = 25.0
 LEAST_ODDS = 1.5
 GROUP_BYTES = 1 << 20
@@ -192,7 +194,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = (
         usable.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        .withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(PARTS)).cast("int"))
     )
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # SAMPLE rows at most
 
@@ -249,11 +251,16 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = stage(labelled_sample(docs, labels), "labelled")
-    lexicon = learn_lexicon(sample.where("part <> 0"))
+    lexicon = learn_lexicon(sample)
     if not len(lexicon[0]):
         return Model(lexicon)
-    vectors = array_to_vector(features(docs.sparkSession, lexicon, F.col("text"))).alias("features")
-    rows = stage(sample.select("label", "part", vectors), "training")
+    # No row's features come from a lexicon that has seen its label.
+    parts = []
+    for k in range(PARTS):
+        other = learn_lexicon(sample.where(F.col("part") != k))
+        vectors = array_to_vector(features(docs.sparkSession, other, F.col("text"))).alias("features")
+        parts.append(sample.where(F.col("part") == k).select("label", "part", vectors))
+    rows = stage(reduce(DataFrame.unionByName, parts), "training")
     counts = {r["part"]: (r["n"], r["p"]) for r in rows.groupBy((F.col("part") == 0).alias("part")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).collect()}
     if any(not 0 < counts.get(side, (0, 0))[1] < counts[side][0] for side in (True, False)):
