@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.bpe import BpeModel, bpe_ids
 from corpusloom.functions.tokens import EOS_ID, append_eos, tokenize, truncate
+from corpusloom.functions.words import WordModel, encode_words, word_model
 from corpusloom.operators.mix import concat_ordinal, interleave_documents, source_sizes
 from corpusloom.operators.order import LIGHT_BITS, dense_ordinal, key_bits_for
 from corpusloom.operators.pack import WINDOW_BATCH, batch_of, pack_blocks
@@ -35,8 +36,9 @@ class PretokenizeOptions:
     """Settings of a run.
 
     ``truncate=None`` keeps whole texts, a number cuts them before EOS. The
-    tokenizer is the name of an expression tokenizer or a byte-pair vocabulary; the latter
-    closes texts with its own ``eos_id``, 2.
+    tokenizer is the name of an expression tokenizer, ``whitespace``, a byte-pair vocabulary or a
+    dictionary of words; ``whitespace`` makes a dictionary of the documents of the run. The last
+    three close texts with an ``eos_id`` of their own, 2.
     """
 
     block_size: int = 1024
@@ -45,7 +47,18 @@ class PretokenizeOptions:
     max_documents: int | None = None
     truncate: int | None = None
     eos_id: int | None = EOS_ID
-    tokenizer: str | BpeModel = "codepoint"
+    tokenizer: str | BpeModel | WordModel = "codepoint"
+
+
+def with_dictionary(docs: DataFrame, opts: PretokenizeOptions) -> PretokenizeOptions:
+    """Options whose ``whitespace`` tokenizer has become the dictionary of ``docs``.
+
+    It closes texts with the dictionary's EOS where the options ask for the default one.
+    """
+    if opts.tokenizer != "whitespace":
+        return opts
+    model = word_model(docs)
+    return replace(opts, tokenizer=model, eos_id=model.eos_id if opts.eos_id == EOS_ID else opts.eos_id)
 
 
 def order_documents(docs: DataFrame, opts: PretokenizeOptions) -> DataFrame:
@@ -73,16 +86,21 @@ def order_documents(docs: DataFrame, opts: PretokenizeOptions) -> DataFrame:
 
 def tokenize_documents(docs: DataFrame, opts: PretokenizeOptions) -> DataFrame:
     """Replace ``text`` by ``input_ids``: truncated first, closed with EOS second."""
+    opts = with_dictionary(docs, opts)
     if isinstance(opts.tokenizer, str):
         ids = tokenize("text", opts.tokenizer, opts.truncate, opts.eos_id)
         return docs.withColumn("input_ids", ids).drop("text")
-    whole = docs.withColumn("input_ids", bpe_ids(docs.sparkSession, opts.tokenizer)).drop("text")
+    if isinstance(opts.tokenizer, WordModel):
+        whole = encode_words(docs, opts.tokenizer)
+    else:
+        whole = docs.withColumn("input_ids", bpe_ids(docs.sparkSession, opts.tokenizer)).drop("text")
     ids = F.col("input_ids") if opts.truncate is None else truncate("input_ids", opts.truncate)
     return whole.withColumn("input_ids", append_eos(ids, opts.eos_id))
 
 
 def pretokenize(docs: DataFrame, opts: PretokenizeOptions = PretokenizeOptions()) -> DataFrame:
     """Documents ``(src_ord, doc_ord, text)`` to ``(batch_id, block_ord, ids, mask)``."""
+    opts = with_dictionary(docs, opts)
     return _pack(order_documents(docs, opts).select("ord", "text"), opts)
 
 
@@ -132,6 +150,7 @@ def _commit_batches(docs, path, opts, max_samples, batches_per_commit, max_commi
     if not opts.batch_size or opts.batch_size <= 0:
         raise ValueError("a run that commits batches needs a batch_size")
     spark = docs.sparkSession
+    opts = with_dictionary(docs, opts)  # one for all commits
     span = batches_per_commit * opts.batch_size
     writer = f"batches-{span}"
     made = commits_by_writer(spark, path)
@@ -166,6 +185,7 @@ def pretokenize_languages_to_shards(
     skip = set(finished_languages(spark, path)) if resume else set()
     todo = [(i, lang) for i, lang in enumerate(langs) if lang not in skip]
     if todo:
+        opts = with_dictionary(docs, opts)  # of all languages, also when some are done
         if opts.max_documents is not None:
             docs = cap_documents(concat_ordinal(docs, out="__at"), opts.max_documents, "__at").drop("__at")
             opts = replace(opts, max_documents=None)
@@ -185,6 +205,7 @@ def pretokenize_by_language(
     ``max_documents`` is a budget over all languages in turn. Gives the block columns
     with ``src_ord`` in front; each language numbers its batches from 0.
     """
+    opts = with_dictionary(docs, opts)
     if opts.max_documents is not None:
         docs = cap_documents(concat_ordinal(docs, out="__at"), opts.max_documents, "__at").drop("__at")
     valid = dense_ordinal(filter_valid_text(docs), "doc_ord", by=["src_ord"], out="ord")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.functions import arrays, bpe, tokens, vocab
+from corpusloom.functions import arrays, bpe, tokens, vocab, words as word_ids
 from corpusloom.functions.batches import map_batches
 from corpusloom.operators import mix, pack, rows, sizing
 from corpusloom.operators.order import dense_ordinal
@@ -586,6 +586,28 @@ def _(spark, sf):
     )
 
 
+_DICTIONARY = r"""x AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS piece,
+        generate_subscripts(regexp_extract_all(text, '\S+'), 1) AS place FROM documents),
+    y AS (SELECT piece, count(*) AS n FROM x GROUP BY piece),
+    z AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, piece) + 2 AS INT) AS id, piece, n FROM y),
+    wd AS (SELECT doc_id, list(id ORDER BY place) AS ids FROM x JOIN z USING (piece) GROUP BY doc_id)"""
+
+
+@query("word_dictionary", f"WITH {_DICTIONARY} SELECT id, piece, n FROM z")
+def _(spark, sf):
+    return word_ids.word_model(documents(spark, sf)).vocab
+
+
+@query(
+    "tokenize_words",
+    f"""WITH {_DICTIONARY} SELECT doc_id AS doc_ord, CAST(len(coalesce(ids, [])) AS BIGINT) AS n_tokens,
+    md5(array_to_string(coalesce(ids, []), ' ')) AS ids_md5 FROM documents LEFT JOIN wd USING (doc_id)""",
+)
+def _(spark, sf):
+    docs = documents(spark, sf).select("doc_ord", "text")
+    return block_out(word_ids.encode_words(docs, word_ids.word_model(docs)), "doc_ord")
+
+
 @query(
     "truncate",
     f"""WITH {_D}, i AS (SELECT doc_ord, ({_CP.format('text')})[1:{BLOCK}] AS ids FROM d)
@@ -991,6 +1013,17 @@ def _(spark, sf):
     return block_out(pretokenize(documents(spark, sf), opts), "batch_id", "block_ord")
 
 
+@query(
+    "pretokenize_words",
+    f"""WITH {_DICTIONARY}, {_D}, {_MIX}, mw AS (SELECT m.*, wd.ids AS own FROM m JOIN wd ON wd.doc_id = m.doc_ord),
+    {_pack_sql(f"list_append(own, {vocab.EOS_ID})", f"ord // {BATCH}", source="mw")}
+    SELECT batch_id, block_ord, n_tokens, ids_md5 FROM b""",
+)
+def _(spark, sf):
+    opts = PretokenizeOptions(BLOCK, BATCH, truncate=None, tokenizer="whitespace")
+    return block_out(pretokenize(documents(spark, sf), opts), "batch_id", "block_ord")
+
+
 @query("decode_bpe", "SELECT doc_id AS doc_ord, md5(text) AS text_md5 FROM documents")
 def _(spark, sf):
     df, model = _encoded(spark, sf)
