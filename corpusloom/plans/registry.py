@@ -323,25 +323,32 @@ def _(spark, sf):
     return block_out(shards.read_committed(spark, path), "shard")
 
 
+def _stream_into_shards(spark: SparkSession, blocks: DataFrame, path: str) -> None:
+    """Blocks arrive in two steps; a stream that is started anew for each appends them."""
+    source, ckpt = scratch_path(spark, "blocks"), scratch_path(spark, "ckpt")
+    blocks = blocks.withColumnRenamed("ord", "at")
+    bounds = blocks.agg(F.min("at"), F.max("at")).head()
+    middle = sum(b or 0 for b in bounds) // 2
+    for step in (F.col("at") <= middle, F.col("at") > middle):
+        blocks.where(step).write.mode("append").parquet(source)
+        stream = files.read_stream(spark, source, blocks.schema)
+        flows.run_batches(stream, flows.StreamShards(path, "at", SHARD), ckpt)
+
+
 @query("stream_shards", _IN_SHARDS)
 def _(spark, sf):
-    path, source = scratch_path(spark, "shards"), scratch_path(spark, "blocks")
-    numbered_blocks(spark, sf).withColumnRenamed("ord", "at").coalesce(1).write.parquet(source)
-    schema = spark.read.parquet(source).schema
-    stream = files.read_stream(spark, source, schema)
-    flows.run_batches(stream, flows.StreamShards(path, "at", SHARD), scratch_path(spark, "ckpt"))
+    path = scratch_path(spark, "shards")
+    _stream_into_shards(spark, stage(numbered_blocks(spark, sf), "numbered"), path)
     return block_out(shards.read_committed(spark, path), "shard")
 
 
 @query("stream_append_shards", _IN_SHARDS)
 def _(spark, sf):
     """A stream into a directory that holds a batch run's commit already."""
-    path, source = scratch_path(spark, "shards"), scratch_path(spark, "blocks")
-    blocks = numbered_blocks(spark, sf)
+    path = scratch_path(spark, "shards")
+    blocks = stage(numbered_blocks(spark, sf), "numbered")
     shards.write_shards(blocks.where(F.col("ord") < SHARD + 500), path, SHARD)
-    blocks.where(F.col("ord") >= SHARD + 500).withColumnRenamed("ord", "at").coalesce(1).write.parquet(source)
-    stream = files.read_stream(spark, source, spark.read.parquet(source).schema)
-    flows.run_batches(stream, flows.StreamShards(path, "at", SHARD), scratch_path(spark, "ckpt"))
+    _stream_into_shards(spark, blocks.where(F.col("ord") >= SHARD + 500), path)
     return block_out(shards.read_committed(spark, path), "shard")
 
 
@@ -1297,29 +1304,37 @@ def _(spark, sf):
     return block_out(spark.read.parquet(path), "doc_ord")
 
 
-@query("stream_resume", _TOKENIZED)
-def _(spark, sf):
-    """Stopped after the first micro-batch, then run again from the same checkpoint."""
-    source, path, ckpt = _document_files(spark, sf), scratch_path(spark, "tokens"), scratch_path(spark, "ckpt")
+def _arriving(spark: SparkSession, sf: str, run: Callable[[DataFrame], None]) -> None:
+    """The documents arrive in four steps; ``run`` is called with a new stream after each.
 
-    def stream():
-        return flows.tokenize_stream(_document_stream(spark, sf, source), eos_id=tokens.EOS_ID)
+    A step is one micro-batch of all its files, so streams that keep their checkpoint go
+    through four micro-batches and three restarts.
+    """
+    docs, path = documents(spark, sf), scratch_path(spark, "arriving")
+    step = (docs.agg(F.max("doc_ord")).head()[0] or 0) // 4 + 1
+    for i in range(4):
+        part = docs.where((F.col("doc_ord") >= i * step) & (F.col("doc_ord") < (i + 1) * step))
+        spread(part).write.mode("append").parquet(path)
+        run(files.read_stream(spark, path, docs.schema))
 
-    def sink(df):
-        return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", ckpt)
 
-    first = sink(stream()).trigger(processingTime="0 seconds").start()
-    while first.isActive and not first.recentProgress:
-        first.awaitTermination(0.1)
-    first.stop()
-    flows.run_to_files(stream(), path, ckpt)
+@query("stream_resume", _TOKENIZED)
+def _(spark, sf):
+    """Ended after each step and run again from the same checkpoint."""
+    path, ckpt = scratch_path(spark, "tokens"), scratch_path(spark, "ckpt")
+    _arriving(spark, sf, lambda docs: flows.run_to_files(flows.tokenize_stream(docs, eos_id=tokens.EOS_ID), path, ckpt))
     return block_out(spark.read.parquet(path), "doc_ord")
 
 
 def _packed_stream(spark: SparkSession, sf: str, batch_size: int | None) -> DataFrame:
-    packer = flows.StreamPacker(scratch_path(spark, "packed"), BLOCK, batch_size)
-    stream = flows.tokenize_stream(_document_stream(spark, sf), eos_id=tokens.EOS_ID)
-    flows.run_batches(stream, packer, scratch_path(spark, "ckpt"))
+    path, ckpt = scratch_path(spark, "packed"), scratch_path(spark, "ckpt")
+
+    def run(docs):
+        ids = flows.tokenize_stream(docs, eos_id=tokens.EOS_ID)
+        flows.run_batches(ids, flows.StreamPacker(path, BLOCK, batch_size), ckpt)
+
+    _arriving(spark, sf, run)
+    packer = flows.StreamPacker(path, BLOCK, batch_size)
     packer.finish(spark)
     return packer.blocks(spark)
 
@@ -1354,9 +1369,14 @@ def _(spark, sf):
     f"""WITH {_D}, {_MIX} SELECT pos, src_ord, doc_ord, md5(text) AS text_md5 FROM m WHERE src_ord >= 0""",
 )
 def _(spark, sf):
-    """One stream per language; all of them end up in one micro-batch here."""
-    docs = _document_stream(spark, sf).drop("src_ord")
-    streams = [docs.where(F.col("lang") == lang) for lang in LANGS]
-    mixed = flows.StreamInterleave(scratch_path(spark, "mixed"))
-    flows.run_batches(flows.interleave_streams(streams), mixed, scratch_path(spark, "ckpt"))
-    return mixed.rows(spark).select("pos", "src_ord", "doc_ord", text_md5().alias("text_md5"))
+    """One stream per language, over four micro-batches; the round goes on from one to the next."""
+    path, ckpt = scratch_path(spark, "mixed"), scratch_path(spark, "ckpt")
+
+    def run(docs):
+        docs = docs.drop("src_ord")
+        streams = [docs.where(F.col("lang") == lang) for lang in LANGS]
+        flows.run_batches(flows.interleave_streams(streams), flows.StreamInterleave(path), ckpt)
+
+    _arriving(spark, sf, run)
+    mixed = flows.StreamInterleave(path).rows(spark)
+    return mixed.select("pos", "src_ord", "doc_ord", text_md5().alias("text_md5"))

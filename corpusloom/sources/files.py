@@ -32,6 +32,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    fs, jpath = _hadoop_path(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     fs, jpath = _hadoop_path(spark, path)
     return bool(fs.delete(jpath, True))

@@ -19,7 +19,7 @@ from corpusloom.operators.mix import interleave_documents
 from corpusloom.operators.order import dense_ordinal
 from corpusloom.operators.pack import cut_blocks, pack_blocks
 from corpusloom.operators.rows import filter_nonempty, filter_valid_text
-from corpusloom.sources.files import path_exists
+from corpusloom.sources.files import delete_path, list_names, path_exists
 from corpusloom.sources.shards import MAX_SAMPLES_PER_SHARD, commit_once
 
 BLOCK_SCHEMA = "batch_id bigint, block_ord bigint, input_ids array<int>, attention_mask array<int>"
@@ -58,6 +58,17 @@ def run_batches(
     query.awaitTermination()
 
 
+def last_finished(spark: SparkSession, folder: str) -> int:
+    """The highest micro-batch whose state in ``folder`` is written whole; -1 without one."""
+    numbers = sorted((int(n) for n in list_names(spark, folder) if n.isdigit()), reverse=True)
+    return next((n for n in numbers if path_exists(spark, f"{folder}/{n}/_SUCCESS")), -1)
+
+
+def forget(spark: SparkSession, folder: str, number: int) -> None:
+    """Drop what no replay of micro-batch ``number`` reads: the states before its predecessor's."""
+    delete_path(spark, f"{folder}/{number - 2}")
+
+
 class StreamPacker:
     """Packs a stream of token lists as ``pack_blocks`` packs a table.
 
@@ -100,6 +111,8 @@ class StreamPacker:
         spark.createDataFrame([state], STATE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
             f"{self.path}/_state/{number}"
         )
+        for folder in ("_state", "_pending"):
+            forget(spark, f"{self.path}/{folder}", number)
 
     def __call__(self, df: DataFrame, number: int) -> None:
         spark = df.sparkSession
@@ -157,10 +170,7 @@ class StreamPacker:
         self._save(packed, self._pending(spark, -1), (batches + 1, 0, 0), last + 1)
 
     def last_number(self, spark: SparkSession) -> int:
-        number = -1
-        while path_exists(spark, f"{self.path}/_state/{number + 1}"):
-            number += 1
-        return number
+        return last_finished(spark, f"{self.path}/_state")
 
     def blocks(self, spark: SparkSession) -> DataFrame:
         """The blocks of all finished micro-batches."""
@@ -206,18 +216,50 @@ def interleave_streams(streams: Sequence[DataFrame]) -> DataFrame:
 
 
 class StreamInterleave:
-    """Round-robin order inside each micro-batch, and micro-batches in turn."""
+    """The round-robin over streams, going on from micro-batch to micro-batch.
+
+    The state is the number of rows of each source so far, which a source's rows of the next
+    micro-batch take their ranks from. Positions follow from ranks and sizes when the rows are
+    read, so they equal those of the table for any cut into micro-batches, as long as each
+    source arrives in the order of ``order``.
+    """
+
+    def __init__(self, path: str, src: str = "src_ord", order: str = "doc_ord"):
+        self.path, self.src, self.order = path, src, order
 
-    def __init__(self, path: str):
-        self.path = path
+    def _sizes(self, spark: SparkSession, number: int) -> dict[int, int]:
+        """Rows of each source up to the end of a micro-batch; there are as many as streams."""
+        if number < 0:
+            return {}
+        found = spark.read.schema("src int, n bigint").parquet(f"{self.path}/_sizes/{number}")
+        return {r["src"]: r["n"] for r in found.collect()}
 
     def __call__(self, df: DataFrame, number: int) -> None:
-        interleave_documents(df).withColumn("micro_batch", F.lit(number).cast("bigint")).write.mode(
+        spark, path = df.sparkSession, f"{self.path}/part={number}"
+        sizes = self._sizes(spark, number - 1)
+        before = F.lit(0).cast("bigint")
+        for source, n in sizes.items():
+            before = F.when(F.col(self.src) == source, F.lit(n)).otherwise(before)
+        ranked = dense_ordinal(df, self.order, by=[self.src], out="rank")
+        ranked.withColumn("rank", F.col("rank") + before).withColumn(
+            "micro_batch", F.lit(number).cast("bigint")
+        ).write.mode("overwrite").parquet(path)
+        for r in spark.read.schema(df.schema).parquet(path).groupBy(self.src).count().collect():
+            sizes[r[self.src]] = sizes.get(r[self.src], 0) + r["count"]
+        spark.createDataFrame(list(sizes.items()), "src int, n bigint").coalesce(1).write.mode(
             "overwrite"
-        ).parquet(f"{self.path}/part={number}")
+        ).parquet(f"{self.path}/_sizes/{number}")
+        forget(spark, f"{self.path}/_sizes", number)
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/part=*")
+        """All rows of finished micro-batches with ``pos``, their place in the round-robin."""
+        last = last_finished(spark, f"{self.path}/_sizes")
+        if last < 0:
+            raise FileNotFoundError(f"no micro-batch is finished in {self.path}")
+        sizes = self._sizes(spark, last)
+        counts = [sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)]
+        found = spark.read.parquet(self.path).where(F.col("part") <= last).drop("part")
+        return interleave_documents(found, src=self.src, rank="rank", counts=counts).drop("rank")
 
 
 class StreamShards:

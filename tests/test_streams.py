@@ -99,7 +99,7 @@ def test_interleaved_stream(spark, docs, tmp_path):
     streams = [whole.where(f"doc_ord % 3 = {i}") for i in range(3)]
     mixed = flows.StreamInterleave(str(tmp_path / "m"))
     flows.run_batches(flows.interleave_streams(streams), mixed, str(tmp_path / "c"))
-    got = [r["doc_ord"] for r in mixed.rows(spark).orderBy("micro_batch", "pos").collect()]
+    got = [r["doc_ord"] for r in mixed.rows(spark).orderBy("pos").collect()]
     keys = [[k for k in range(len(texts)) if k % 3 == i] for i in range(3)]
     assert got == models.interleave_all(keys)
 
@@ -113,3 +113,37 @@ def test_stream_of_blocks_to_shards(spark, tmp_path):
     sink(df.where("at >= 6"), 1)
     got = shards.read_committed(spark, str(tmp_path / "s")).collect()
     assert sorted((r["shard"], r["input_ids"][0]) for r in got) == [(i // 4, i) for i in range(10)]
+
+
+@pytest.mark.parametrize("cuts", [[], [1], [0, 4, 5, 17], list(range(1, 20))])
+def test_interleaving_does_not_depend_on_micro_batches(spark, tmp_path, cuts):
+    rows = [(0 if i % 2 else i % 3, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "src_ord int, doc_ord bigint")
+    path = str(tmp_path / "m")
+    edges = [0, *cuts, 20]
+    for number, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        part = df.where((df.doc_ord >= lo) & (df.doc_ord < hi))
+        flows.StreamInterleave(path)(part, number)
+        flows.StreamInterleave(path)(part, number)  # a replay changes nothing
+    got = [r["doc_ord"] for r in flows.StreamInterleave(path).rows(spark).orderBy("pos").collect()]
+    assert got == models.interleave_all([[k for s, k in rows if s == i] for i in range(3)])
+    assert len(os.listdir(tmp_path / "m" / "_sizes")) <= 2
+
+
+def test_interleaving_nothing(spark, tmp_path):
+    mixed = flows.StreamInterleave(str(tmp_path / "m"))
+    with pytest.raises(FileNotFoundError):
+        mixed.rows(spark)
+    mixed(spark.createDataFrame([], "src_ord int, doc_ord bigint"), 0)
+    assert mixed.rows(spark).collect() == []
+
+
+def test_old_states_go_and_half_written_ones_do_not_count(spark, tmp_path):
+    packer = flows.StreamPacker(str(tmp_path / "p"), 5, 4)
+    df = spark.createDataFrame([(i, [i]) for i in range(50)], "doc_ord bigint, input_ids array<int>")
+    for number in range(5):
+        packer(df.where(f"doc_ord div 10 = {number}"), number)
+    assert sorted(os.listdir(tmp_path / "p" / "_state")) == ["3", "4"]
+    assert sorted(os.listdir(tmp_path / "p" / "_pending")) == ["3", "4"]
+    os.mkdir(tmp_path / "p" / "_state" / "5")
+    assert packer.last_number(spark) == 4
