@@ -52,17 +52,17 @@ def encode_words(
 ) -> DataFrame:
     """Replace ``text`` by the ids of its words, in order.
 
-    The other columns tell the rows apart: they must be unique together, not null and of types
-    that group. Words meet the dictionary in a join that deals frequent ones over salts, and come
-    back to their row with their place. A row without words has an empty list.
+    The other columns tell the rows apart: they must be unique together and of types that group.
+    Words meet the dictionary in a join that deals frequent ones over salts, and come back to
+    their row with their place. A row without words has an empty list.
     """
     keys = [c for c in docs.columns if c != text]
     if not keys:
         raise ValueError("a key column is needed next to the text")
-    split = spread(docs).select(*keys, F.posexplode(whitespace_pieces(text)).alias("__at", "piece"))
+    # A row without words stays as one row without a place.
+    split = spread(docs).select(*keys, F.posexplode_outer(whitespace_pieces(text)).alias("__at", "__piece"))
     split = stage(split, "split")  # read for the counts and for the join
-    met = salted_join(split, model.vocab.select("piece", "id"), ["piece"], "left", least_hot)
-    placed = F.struct("__at", F.coalesce("id", F.lit(model.unk_id)).alias("id"))
-    lists = met.groupBy(*keys).agg(F.sort_array(F.collect_list(placed)).alias("__placed"))
-    lists = lists.select(*keys, F.col("__placed.id").alias(out))
-    return docs.drop(text).join(lists, keys, "left").withColumn(out, F.coalesce(out, F.array().cast("array<int>")))
+    met = salted_join(split, model.vocab.select(F.col("piece").alias("__piece"), F.col("id").alias("__id")), ["__piece"], "left", least_hot)
+    placed = F.struct("__at", F.coalesce("__id", F.lit(model.unk_id)).alias("id"))
+    lists = F.sort_array(F.collect_list(F.when(F.col("__at").isNotNull(), placed))).alias("__placed")
+    return met.groupBy(*keys).agg(lists).select(*keys, F.col("__placed.id").alias(out))

@@ -37,6 +37,13 @@ def test_ids_of_all_rows(spark, least_hot):
     }
 
 
+def test_other_columns_may_have_any_name(spark):
+    docs = frame(spark).selectExpr("doc_ord", "text", "'x' AS piece", "doc_ord AS id", "7 AS n", "CAST(NULL AS INT) AS col")
+    got = words.encode_words(docs, words.word_model(docs))
+    assert got.columns == ["doc_ord", "piece", "id", "n", "col", "input_ids"]
+    assert sorted((r["id"], len(r["input_ids"])) for r in got.collect()) == [(i, len((t or "").split())) for i, t in enumerate(TEXTS)]
+
+
 def test_rare_and_unseen_words_are_unknown(spark):
     docs = frame(spark, ["a a b"])
     model = words.word_model(docs, least=2)
