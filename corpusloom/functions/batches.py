@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.operators.pack import batch_of
@@ -44,3 +45,20 @@ def map_batches(
             yield fn(pd.concat(held, ignore_index=True))
 
     return df.mapInPandas(chunks, schema)
+
+
+def filter_batches(
+    df: DataFrame, keep: Callable[[pd.DataFrame], pd.Series], columns: Sequence[str] | None = None
+) -> DataFrame:
+    """The rows for which ``keep``, called on Arrow batches, gives true; null counts as false.
+
+    With ``columns`` only these go to Python, for the answer alone, so other columns of any
+    type and size stay in the JVM. A predicate of built-in expressions belongs into ``where``.
+    """
+    sent = list(columns) if columns is not None else df.columns
+
+    @F.pandas_udf("boolean")
+    def answer(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series(keep(rows), index=rows.index).fillna(False).astype(bool)
+
+    return df.where(answer(F.struct(*[F.col(f"`{c}`") for c in sent])))

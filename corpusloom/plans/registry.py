@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays, bpe, tokens, vocab, words as word_ids
-from corpusloom.functions.batches import map_batches
+from corpusloom.functions.batches import filter_batches, map_batches
 from corpusloom.operators import mix, pack, rows, sizing
 from corpusloom.operators.order import dense_ordinal
 from corpusloom.plans.loading import load_shards
@@ -23,7 +23,7 @@ from corpusloom.plans.pretokenize import (
     tokenize_documents,
 )
 from corpusloom.session import scratch_path, spread, stage
-from corpusloom.sources import catalog, files, materialize, shards
+from corpusloom.sources import catalog, files, listed, materialize, shards
 from corpusloom.streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -261,6 +261,42 @@ def _(spark, sf):
     return df.select("file_ord", "ord", text_md5().alias("text_md5"))
 
 
+_LISTED = """SELECT 0 AS file_ord, item_id AS row_index, md5(text) AS text_md5 FROM benchmark
+    UNION ALL SELECT 1, doc_id, md5(text) FROM documents UNION ALL SELECT 2, item_id, md5(text) FROM benchmark"""
+
+
+def _listed_paths(sf: str) -> list[str]:
+    return [f"{sf}/{name}.parquet" for name in ("benchmark", "documents", "benchmark")]
+
+
+def _listed_out(df: DataFrame) -> DataFrame:
+    return df.select("file_ord", "row_index", text_md5().alias("text_md5"))
+
+
+@query("listed_files", _LISTED)
+def _(spark, sf):
+    return _listed_out(listed.read_listed(spark, _listed_paths(sf), ["text"]))
+
+
+@query(
+    "listed_first_n",
+    f"SELECT * FROM ({_LISTED}) WHERE row_index < 30",
+)
+def _(spark, sf):
+    return _listed_out(listed.read_listed(spark, _listed_paths(sf), ["text"], first_n=30))
+
+
+@query("stream_listed", _LISTED)
+def _(spark, sf):
+    """The list grows by a file before each of three runs from one checkpoint."""
+    path, ckpt, names = scratch_path(spark, "listed"), scratch_path(spark, "ckpt"), scratch_path(spark, "names")
+    paths, schema = _listed_paths(sf), table(spark, sf, "documents").schema
+    for n in range(1, len(paths) + 1):
+        files.write_text(spark, names, "\n".join(paths[:n]))
+        flows.run_to_files(listed.stream_listed(spark, names, schema, ["text"]), path, ckpt)
+    return _listed_out(spark.read.parquet(path))
+
+
 # Sinks and resumable state
 
 
@@ -1268,6 +1304,30 @@ def _(spark, sf):
     return map_batches(df.select("ord", "text"), summarise, "batch bigint, rows bigint, chars bigint", BATCH, "ord")
 
 
+@query(
+    "filter_batches",
+    """SELECT doc_id AS ord, md5(text) AS text_md5 FROM documents
+    WHERE length(text) - length(replace(text, ' ', '')) >= 50""",
+)
+def _(spark, sf):
+    df = files.read_files_in_order(spark, [f"{sf}/documents.parquet"], ["text"])
+    kept = filter_batches(df, lambda pdf: pdf["text"].str.count(" ") >= 50, ["text"])
+    return kept.select("ord", text_md5().alias("text_md5"))
+
+
+@query(
+    "text_lines",
+    """SELECT md5(line) AS line_md5, count(*) AS lines FROM
+    (SELECT unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY 1""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "lines")
+    flat = F.regexp_replace("text", "\\r", "")
+    table(spark, sf, "documents").where(F.col("text").isNotNull()).select(flat.alias("text")).write.text(path)
+    lines = files.read_text_lines(spark, path)
+    return lines.groupBy(F.md5("text").alias("line_md5")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 def _document_files(spark: SparkSession, sf: str) -> str:
     """The documents as several files, to be streamed one per micro-batch."""
     path = scratch_path(spark, "documents")

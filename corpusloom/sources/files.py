@@ -43,6 +43,16 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(jpath, True))
 
 
+def write_text(spark: SparkSession, path: str, body: str) -> None:
+    """One small file with ``body``, in place of what was there."""
+    fs, jpath = _hadoop_path(spark, path)
+    out = fs.create(jpath, True)
+    try:
+        out.write(body.encode("utf-8"))
+    finally:
+        out.close()
+
+
 def scan_name(spark: SparkSession, path: str) -> str:
     """The name under which the scan reports a file."""
     fs, jpath = _hadoop_path(spark, path)
