@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+import time
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -53,6 +56,42 @@ def write_text(spark: SparkSession, path: str, body: str) -> None:
         out.close()
 
 
+def create_new(spark: SparkSession, path: str, body: str) -> bool:
+    """A small file with ``body``, unless there is a file; of several callers one gets true.
+
+    This rests on the file system's create without overwriting. Where Spark's local file system
+    looks first and writes then, the operating system's exclusive create is used.
+    """
+    fs, jpath = _hadoop_path(spark, path)
+    if fs.getUri().getScheme() == "file":
+        local = fs.makeQualified(jpath).toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            with open(local, "x", encoding="utf-8") as handle:
+                handle.write(body)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        out = fs.create(jpath, False)
+    except Py4JJavaError:
+        if fs.exists(jpath):
+            return False
+        raise
+    try:
+        out.write(body.encode("utf-8"))
+    finally:
+        out.close()
+    return True
+
+
+def age_seconds(spark: SparkSession, path: str) -> float | None:
+    """Seconds since a file was written; none if there is no such file."""
+    fs, jpath = _hadoop_path(spark, path)
+    found = fs.globStatus(jpath)
+    return time.time() - found[0].getModificationTime() / 1000 if found else None
+
+
 def scan_name(spark: SparkSession, path: str) -> str:
     """The name under which the scan reports a file."""
     fs, jpath = _hadoop_path(spark, path)
