@@ -60,19 +60,20 @@ def own_text(lines: Column) -> Column:
 
 
 def _passages(lines: Column) -> Column:
-    """Runs of lines of one level above 0, as structs ``level, lines``."""
-    kind = "array<struct<level:int,lines:array<string>>>"
-
-    def step(out: Column, x: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        grown = F.struct(last["level"].alias("level"), F.concat(last["lines"], F.array(x["line"])).alias("lines"))
-        fresh = F.struct(x["level"].alias("level"), F.array(x["line"]).alias("lines"))
-        same = F.coalesce(last["level"] == x["level"], F.lit(False))
-        before = F.when(same, F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(out)
-        return F.concat(before, F.array(F.when(same, grown).otherwise(fresh))).cast(kind)
-
-    runs = F.aggregate(lines, F.array().cast(kind), step)
-    return F.filter(runs, lambda r: r["level"] > 0)
+    """Runs of lines of one level above 0, as structs ``level, lines``; every line is copied once."""
+    level = lambda i: F.get(lines, i)["level"]
+    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (level(i) != level(i - 1)))
+    bounds = F.arrays_zip(
+        starts.alias("start"), F.concat(F.slice(starts, 2, F.size(lines)), F.array(F.size(lines))).alias("end")
+    )
+    quoted = F.filter(bounds, lambda r: level(r["start"]) > 0)
+    return F.transform(
+        quoted,
+        lambda r: F.struct(
+            level(r["start"]).alias("level"),
+            F.transform(F.slice(lines, r["start"] + 1, r["end"] - r["start"]), lambda x: x["line"]).alias("lines"),
+        ),
+    )
 
 
 def _unit(text: Column, whole: Column) -> Column:
