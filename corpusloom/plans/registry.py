@@ -290,7 +290,7 @@ def _(spark, sf):
 def _(spark, sf):
     """The list grows by a file before each of three runs from one checkpoint."""
     path, ckpt, names = scratch_path(spark, "listed"), scratch_path(spark, "ckpt"), scratch_path(spark, "names")
-    paths, schema = _listed_paths(sf), table(spark, sf, "documents").schema
+    paths, schema = [files.real_path(spark, p) for p in _listed_paths(sf)], table(spark, sf, "documents").schema
     for n in range(1, len(paths) + 1):
         files.write_text(spark, names, "\n".join(paths[:n]))
         flows.run_to_files(listed.stream_listed(spark, names, schema, ["text"]), path, ckpt)

@@ -1,8 +1,9 @@
 """A Python data source over a list of Parquet files: in list order, as a batch or a stream.
 
 A task reads a run of a file's row groups and takes their place in the file from the footer
-it opens anyway, so nothing is read ahead on the driver and no row moves to be numbered.
-Paths must be ones that Arrow's file systems open (local, ``s3://``, ``gs://``, ``hdfs://``);
+it opens anyway, so no row moves to be numbered. A listed folder stands for its data files, by
+name; only the footers of these are read ahead, to number the rows over the folder.
+Paths must lead to where Arrow's file systems read (local, ``s3://``, ``gs://``, ``hdfs://``);
 ``files.read_files_in_order`` reads every path that Spark does.
 """
 
@@ -10,28 +11,37 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from corpusloom.sources.files import real_path
+
 NAME = "listed_parquet"
 # Runs of row groups that a file is read in, unless a reader asks for another number.
 SPLITS = 8
 # Rows of one Arrow batch; a text column of long documents stays small in it.
 BATCH_ROWS = 1_024
+# Footers of a folder's files that are read at once.
+FOOTERS = 16
 PLACE = [StructField("file_ord", IntegerType()), StructField("row_index", LongType())]
 
 
 @dataclass
 class Run(InputPartition):
-    """The ``part``-th of ``parts`` runs of row groups of one listed file."""
+    """The ``part``-th of ``parts`` runs of row groups of a file.
+
+    ``file_ord`` is the place in the list of the file or of its folder, whose earlier files hold ``before`` rows.
+    """
 
     file_ord: int
     path: str
     part: int
     parts: int
+    before: int = 0
 
 
 class _Listed:
@@ -58,10 +68,26 @@ class _Listed:
         return [line.strip() for line in lines if line.strip()]
 
     def runs(self, start: int, end: int) -> list[Run]:
-        # The first rows of a file lie in its first row groups, which one task reads.
-        parts = self.splits if self.first_n is None else 1
         files = self.listed()
-        return [Run(i, files[i], k, parts) for i in range(start, end) for k in range(parts)]
+        return [run for i in range(start, end) for run in self._runs_of(i, files[i])]
+
+    def _runs_of(self, file_ord: int, path: str) -> Iterator[Run]:
+        # The first rows of a file lie in its first row groups, which one task reads.
+        most = self.splits if self.first_n is None else 1
+        inner = _data_files(path)
+        if inner is None:
+            yield from (Run(file_ord, path, k, most) for k in range(most))
+            return
+        before = 0
+        with ThreadPoolExecutor(FOOTERS) as pool:
+            for lo in range(0, len(inner), FOOTERS):
+                some = inner[lo : lo + FOOTERS]
+                for name, (rows, groups) in zip(some, pool.map(_footer, some)):
+                    if self.first_n is not None and before >= self.first_n:
+                        return
+                    parts = min(most, max(1, groups))
+                    yield from (Run(file_ord, name, k, parts, before) for k in range(parts))
+                    before += rows
 
     def read(self, run: Run) -> Iterator:
         import pyarrow as pa
@@ -75,7 +101,7 @@ class _Listed:
             absent = set(columns) - set(file.schema_arrow.names)
             if absent:
                 raise ValueError(f"{run.path} has no columns {sorted(absent)}")
-            groups, first = file.metadata.num_row_groups, 0
+            groups, first = file.metadata.num_row_groups, run.before
             for group in range(groups):
                 rows = file.metadata.row_group(group).num_rows
                 due = group * run.parts // groups == run.part
@@ -97,16 +123,44 @@ def _batches(pa, file, group: int, columns: list[str], wanted, file_ord: int, fi
         first, left = first + n, left - n
 
 
-def _open(path: str):
+def _system(path: str):
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        system, inner = fs.FileSystem.from_uri(path)
-    else:
-        system, inner = fs.LocalFileSystem(), path
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path.removeprefix("file:")
+
+
+def _open(path: str):
+    system, inner = _system(path)
     return system.open_input_file(inner)
 
 
+def _data_files(path: str) -> list[str] | None:
+    """The data files below a folder, by name; None for anything else."""
+    from pyarrow import fs
+
+    system, inner = _system(path)
+    if system.get_file_info(inner).type != fs.FileType.Directory:
+        return None
+    found = system.get_file_info(fs.FileSelector(inner, recursive=True))
+    # As Spark does, leave out names with a mark in front, also of folders.
+    files = [(f.path, f.path.removeprefix(inner).strip("/")) for f in found if f.type == fs.FileType.File]
+    names = sorted(name for _, name in files if not any(part[0] in "._" for part in name.split("/")))
+    if not names:
+        raise ValueError(f"no data files in {path}")
+    return [f"{path.rstrip('/')}/{name}" for name in names]
+
+
+def _footer(path: str) -> tuple[int, int]:
+    """Rows and row groups of a file."""
+    import pyarrow.parquet as pq
+
+    with _open(path) as handle:
+        found = pq.ParquetFile(handle).metadata
+        return found.num_rows, found.num_row_groups
+
+
 class ListedReader(_Listed, DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         return self.runs(0, len(self.listed()))
@@ -166,12 +220,12 @@ def read_listed(
 
     The two numbers give the order of the concatenation. With ``first_n`` a file's task stops
     in the row group that holds its n-th row and opens no later one. A file listed twice is
-    read twice; one that is missing or lacks a column is an error.
+    read twice; one that is missing or lacks a column is an error. A folder counts as one file.
     """
     if schema is None:
         schema = spark.read.parquet(files[0]).schema if files else StructType([])
     spark.dataSource.register(ListedParquet)
-    reader = spark.read.format(NAME).schema(with_place(schema, columns)).option("files", json.dumps(list(files)))
+    reader = spark.read.format(NAME).schema(with_place(schema, columns)).option("files", json.dumps([real_path(spark, p) for p in files]))
     if first_n is not None:
         reader = reader.option("firstN", str(first_n))
     return reader.option("splits", str(splits)).load()
@@ -188,10 +242,11 @@ def stream_listed(
     """The files named in a text file, one a line, as a stream in the order of the list.
 
     Lines appended to the list arrive as the next micro-batch, also after a restart from the
-    checkpoint. ``file_ord`` counts over the whole list. Lines already read must stay.
+    checkpoint. ``file_ord`` counts over the whole list. Lines already read must stay, and so must
+    the files of a listed folder. Paths of mounts are written to the list as ``files.real_path`` gives them.
     """
     spark.dataSource.register(ListedParquet)
     reader = spark.readStream.format(NAME).schema(with_place(schema, columns)).option("splits", str(splits))
     if first_n is not None:
         reader = reader.option("firstN", str(first_n))
-    return reader.load(list_path)
+    return reader.load(real_path(spark, list_path))

@@ -87,3 +87,49 @@ def test_filter_batches(spark):
     assert found.columns == ["id", "text"]
     assert filter_batches(df, lambda pdf: pd.Series([None] * len(pdf))).count() == 0
     assert filter_batches(df.limit(0), lambda pdf: pdf["id"] > 0).count() == 0
+
+
+def test_a_folder_is_one_file_of_the_list(spark, tmp_path):
+    (tmp_path / "many" / "inner").mkdir(parents=True)
+    for name, start, n in (("part-0", 0, 25), ("part-1", 25, 5), ("inner/part-2", 1000, 12)):
+        parquet(tmp_path / "many" / f"{name}.parquet", start, n)
+    (tmp_path / "many" / "_SUCCESS").write_text("")
+    one, many = parquet(tmp_path / "one.parquet", 100, 7), str(tmp_path / "many")
+    held = [*range(1000, 1012), *range(30)]  # by name: inner/part-2, part-0, part-1
+    lists = [[100 + i for i in range(7)], held, [100 + i for i in range(7)]]
+    for n in (None, 0, 3, 14, 40, 99):
+        expected = [(f, i, x) for f, xs in enumerate(lists) for i, x in enumerate(xs[:n])]
+        assert rows(read_listed(spark, [one, many, one], ["x"], first_n=n)) == expected
+    names, out, ckpt = (str(tmp_path / n) for n in ("names", "out", "ckpt"))
+    for n in (1, 3):
+        (tmp_path / "names").write_text("\n".join([one, many, one][:n]))
+        run_to_files(stream_listed(spark, names, StructType([StructField("x", LongType())])), out, ckpt)
+    assert rows(spark.read.parquet(out)) == [(f, i, x) for f, xs in enumerate(lists) for i, x in enumerate(xs)]
+
+
+@pytest.fixture(scope="module")
+def folders(spark, tmp_path_factory):
+    """The smallest tables, documents as a folder of three files."""
+    from tests.conftest import SF_DIR
+
+    if not os.path.isdir(SF_DIR):
+        pytest.skip("no table folder")
+    path = tmp_path_factory.mktemp("tables")
+    for name in os.listdir(SF_DIR):
+        if name != "documents.parquet":
+            os.symlink(f"{SF_DIR}/{name}", path / name)
+    docs = pq.read_table(f"{SF_DIR}/documents.parquet")
+    (path / "documents.parquet").mkdir()
+    for i, lo in enumerate(range(0, docs.num_rows, 80)):
+        pq.write_table(docs.slice(lo, 80), path / "documents.parquet" / f"part-{i}.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["listed_files", "listed_first_n", "stream_listed", "stream_take", "stream_tokenize"])
+def test_tables_that_are_folders(spark, sf_dir, folders, name):
+    from corpusloom.plans.registry import QUERIES
+
+    def found(path):
+        return sorted(map(tuple, QUERIES[name](spark, path).collect()))
+
+    assert found(folders) == found(sf_dir)
