@@ -1339,7 +1339,8 @@ def _document_stream(spark: SparkSession, sf: str, path: str | None = None) -> D
     schema = documents(spark, sf).schema
     if path is not None:
         return files.read_stream(spark, path, schema, max_files=1)
-    raw = files.read_stream(spark, sf, table(spark, sf, "documents").schema, pattern="documents.parquet")
+    # A pattern, as a plain path may not be one file; what it finds may be a file or a folder.
+    raw = files.read_stream(spark, f"{sf}/documents.parque[t]", table(spark, sf, "documents").schema)
     return raw.select(src_ord().alias("src_ord"), F.col("doc_id").alias("doc_ord"), "lang", "text")
 
 
