@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +37,13 @@ MAX_PAIRS = 200_000
 PART_WORDS = 500_000
 # Rounds between two written copies of the words.
 STAGE_EVERY = 20
-# Distinct words a worker remembers before it starts over.
-WORD_CACHE = 1_000_000
+# Distinct words a worker remembers before it starts over, and the pieces in them.
+WORD_CACHE = 200_000
+PIECE_CACHE = 4_000_000
+# Bytes of text that become ids at once, or one longer text.
+GROUP_BYTES = 1 << 21
+# Bytes of an Arrow batch that is sent to a worker, or one longer text.
+BATCH_BYTES = 6 << 20
 
 
 # Corpus side
@@ -441,12 +446,19 @@ def merge_word(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -
 
 
 def text_encoder(model: BpeModel):
-    """A function from text to ids that remembers the words it has seen."""
+    """A function from text to a list of ids."""
+    encode = array_encoder(model)
+    return lambda text: encode(text).tolist()
+
+
+def array_encoder(model: BpeModel):
+    """A function from text to an array of ids that remembers the words it has seen."""
     chars = model.with_kind("char")
     symbols = model.with_kind("user")
     first_byte = model.kinds.index("byte") if "byte" in model.kinds else None
-    words: dict[str, list[int]] = {}
-    find_words = re.compile(WORD_PATTERN).findall
+    words: dict[str, array] = {}
+    held = 0
+    word_finder = re.compile(WORD_PATTERN).finditer
     split_symbols = re.compile("(" + "|".join(map(re.escape, symbols)) + ")").split if symbols else None
 
     def encode_word(word: str) -> list[int]:
@@ -462,33 +474,64 @@ def text_encoder(model: BpeModel):
                 ids.extend(first_byte + b for b in raw.encode("utf-8"))
         return merge_word(ids, model.merges)
 
-    def encode(text: str | None) -> list[int]:
-        out: list[int] = []
+    def encode(text: str | None) -> array:
+        nonlocal held
+        out = array("i")
         for part in split_symbols(text or "") if split_symbols else [text or ""]:
             if part in symbols:
                 out.append(symbols[part])
                 continue
-            for word in find_words(part.replace(" ", WORD_MARK)):
+            for found in word_finder(part.replace(" ", WORD_MARK)):
+                word = found[0]
                 ids = words.get(word)
                 if ids is None:
-                    if len(words) >= WORD_CACHE:
+                    if len(words) >= WORD_CACHE or held >= PIECE_CACHE:
                         words.clear()
-                    ids = words[word] = encode_word(word)
+                        held = 0
+                    ids = words[word] = array("i", encode_word(word))
+                    held += len(ids)
                 out.extend(ids)
         return out
 
     return encode
 
 
+def text_groups(texts: pa.Array, limit: int = GROUP_BYTES) -> Iterator[list[str | None]]:
+    """The texts in groups of at most ``limit`` characters, or of one longer text."""
+    group, size = [], 0
+    for text in texts:
+        text = text.as_py()
+        if group and size + len(text or "") > limit:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text or "")
+    if group:
+        yield group
+
+
+def id_lists(rows: Sequence[array]) -> pa.Array:
+    """An array of lists from one array of 32-bit ids a row."""
+    ends = np.cumsum([0, *map(len, rows)])
+    flat = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r, np.int32) for r in rows)])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+
 def bpe_ids(spark: SparkSession, model: BpeModel, text: str = "text") -> Column:
-    """Token ids of a text; each worker remembers the words it has seen."""
+    """Token ids of a text; each worker remembers the words it has seen.
+
+    Texts come in small batches and ids go back in smaller ones, as arrays of 32-bit numbers:
+    ids as Python objects would take many times the room of the text.
+    """
     shared = spark.sparkContext.broadcast(model)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = text_encoder(shared.value)
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = array_encoder(shared.value)
         for texts in batches:
-            yield texts.map(one)
+            for group in text_groups(texts):
+                yield id_lists([one(text) for text in group])
 
     return encode(text)
 

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +221,21 @@ def test_long_lines_are_trained_on(spark):
     assert ("a", "b") in {(r["left"], r["right"]) for r in merges.collect()}
     _, merges = bpe.train_bpe(lines, 280, coverage=1.0, max_length=16_384)
     assert {(r["left"], r["right"]) for r in merges.collect()} == {("c", "d")}
+
+
+def test_ids_leave_a_worker_in_small_arrays():
+    texts = pa.array(["a" * 3, None, "", "b" * 9, "c", "d" * 6])
+    assert list(bpe.text_groups(texts, 5)) == [["aaa", None, ""], ["b" * 9], ["c"], ["d" * 6]]
+    kinds = ["control"] * 3 + ["char"] * 2
+    one = bpe.array_encoder(bpe.BpeModel([*"012", "a", "b"], kinds, {}))
+    ids = bpe.id_lists([one(t) for t in ("ab", None, "b")])
+    assert ids.to_pylist() == [[3, 4], [], [4]] and ids.type == pa.list_(pa.int32())
+    assert one("ab").itemsize * len(one("ab")) == 8  # four bytes an id, not a Python object
+
+
+def test_a_full_memory_of_words_changes_no_id(monkeypatch):
+    model = bpe.BpeModel([*"012", "a", "b", "▁", "ab"], ["control"] * 3 + ["char"] * 3 + ["merge"], {(3, 4): (0, 6)})
+    text = "ab ba abab  b a" * 3
+    whole = list(bpe.text_encoder(model)(text))
+    monkeypatch.setattr(bpe, "PIECE_CACHE", 2)
+    assert list(bpe.text_encoder(model)(text)) == whole
