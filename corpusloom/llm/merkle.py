@@ -137,7 +137,8 @@ def paths(tree: list[DataFrame], above: DataFrame) -> DataFrame:
             own = F.array(F.struct((F.col("i") % ARITY).cast("int").alias("before"), "sibs")).cast(PATH)
             inner = level.where("n > 1").withColumn("__p", F.expr(f"i div {ARITY}")).join(parent, ["g", "__p"])
             tops = tops.unionByName(inner.withColumn("path", F.concat(own, "path")).select(*keep, "path", *more))
-        down = tops
+        # Written but for the lowest: one plan over all levels would be drawn up anew after each of its stages.
+        down = tops if level is tree[0] else stage(tops, "paths")
     return down
 
 

@@ -100,3 +100,14 @@ def test_untampered_rows_verify_and_tampered_do_not(spark):
 
 def test_empty_table(spark):
     assert merkle.manifest(spark.createDataFrame([], DOCS), tamper=merkle.without_line_feeds()).collect() == []
+
+
+def test_no_plan_holds_the_paths_of_all_levels(spark):
+    """The last plan joins the lowest level with written paths, whatever the number of levels."""
+
+    def joins(n):
+        rows = [(i, "a" if i % 2 else "b", "en", 1, f"t{i}") for i in range(n)]
+        plan = merkle.manifest(spark.createDataFrame(rows, DOCS))._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Join")
+
+    assert joins(9) == joins(40)
