@@ -17,6 +17,8 @@ PAD_ID = CODEPOINTS + 2
 WORD_MARK = "▁"
 
 INT_LIST = "array<int>"
+# Code points that are decoded by a lookup.
+LISTED_POINTS = 0x800
 
 
 def _col(c: str | Column) -> Column:
@@ -134,19 +136,15 @@ def pad_or_eos(pad_id: str | Column, eos_id: str | Column) -> Column:
     return F.coalesce(_col(pad_id), _col(eos_id))
 
 
-def _point_hex(c: Column) -> Column:
-    """A code point as eight hex digits; they reach above U+FFFF."""
-    return F.lpad(F.hex(c.cast("bigint")), 8, "0")
+def _char(c: Column) -> Column:
+    """The character of a code point: frequent ones from a constant list."""
+    listed = F.split(F.lit("".join(map(chr, range(LISTED_POINTS)))), "")
+    wide = F.decode(F.unhex(F.lpad(F.hex(c.cast("bigint")), 8, "0")), "UTF-32")
+    return F.when((c >= 0) & (c < LISTED_POINTS), F.get(listed, c)).otherwise(wide)
 
 
-def _text_hex(text: str) -> str:
-    return text.encode("utf-32-be").hex().upper()
-
-
-def _hex_text(digits: Column) -> Column:
-    """Join the digits of a list and decode them at once."""
-    text = F.decode(F.unhex(F.array_join(digits, "")), "UTF-32")
-    return F.replace(text, F.lit(WORD_MARK), F.lit(" "))
+def _text(pieces: Column) -> Column:
+    return F.replace(F.array_join(pieces, ""), F.lit(WORD_MARK), F.lit(" "))
 
 
 def decode_codepoint(
@@ -162,28 +160,25 @@ def decode_codepoint(
     runs of text between them. The word mark becomes a blank.
     """
     c = _col(ids)
-    specials = dict(specials or {})
-    if not specials:
-        return _hex_text(F.transform(c, _point_hex))
+    specials = {i: "" if skip_special else content for i, content in dict(specials or {}).items()}
     special_ids = list(specials)
-    if skip_special:
-        kept = F.filter(c, lambda x: ~x.isin(*special_ids))
-        return decode_codepoint(kept)
 
     def render(x: Column) -> Column:
-        out = _point_hex(x)
+        out = _char(x)
         for sid, content in specials.items():
-            out = F.when(x == sid, F.lit(_text_hex(content))).otherwise(out)
-        return out
+            out = F.when(x == sid, F.lit(content)).otherwise(out)
+        # Most ids are low code points and end here.
+        low = [i for i in special_ids if i < LISTED_POINTS]
+        return out if low else F.when((x >= 0) & (x < LISTED_POINTS), _char(x)).otherwise(out)
 
     def render_after(x: Column, before: Column) -> Column:
         parted = before.isNotNull() & (x.isin(*special_ids) | before.isin(*special_ids))
-        return F.concat(F.when(parted, F.lit(_text_hex(" "))).otherwise(F.lit("")), render(x))
+        return F.concat(F.when(parted, F.lit(" ")).otherwise(F.lit("")), render(x))
 
-    if not spaces_between:
-        return _hex_text(F.transform(c, render))
+    if not spaces_between or skip_special or not specials:
+        return _text(F.transform(c, render))
     # Each id meets the one before it in a second list: a look back into ``c`` from the
     # lambda could work the whole list out again for every id.
     n = F.size(c)
     earlier = F.slice(F.concat(F.array(F.lit(None).cast("int")), c), F.lit(1), n)
-    return _hex_text(F.zip_with(c, earlier, render_after))
+    return _text(F.zip_with(c, earlier, render_after))

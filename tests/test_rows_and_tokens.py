@@ -128,3 +128,13 @@ def test_required_columns(spark):
 def test_nonempty(spark):
     df = spark.createDataFrame([([1],), ([],), (None,)], "input_ids array<int>")
     assert [r[0] for r in rows.filter_nonempty(df).collect()] == [[1]]
+
+
+def test_decoding_goes_over_the_ids_once(spark):
+    texts = ["", "".join(map(chr, range(0x900))), "a\U0010ffff é"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string")
+    ids = df.select("k", tokens.add_special(tokens.codepoint_ids(), eos_id=tokens.EOS_ID).alias("ids"))
+    names = {tokens.BOS_ID: "<s>", tokens.EOS_ID: "</s>"}
+    back = ids.select("k", tokens.decode_codepoint("ids", names, skip_special=True).alias("back"))
+    assert "filter(" not in back._jdf.queryExecution().analyzed().toString()
+    assert [r["back"] for r in back.orderBy("k").collect()] == texts
