@@ -12,13 +12,15 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.order import LIGHT_BITS, running_total
+from corpusloom.operators.order import LIGHT_BITS, measure_key_bits, running_total
 from corpusloom.operators.rows import require_columns
 from corpusloom.session import stage
 from corpusloom.sources.files import path_exists
 
 MAX_SAMPLES_PER_SHARD = 200_000
 SAVE_BATCH_SIZE = 100_000
+# Bits of the largest batch number up to which each task gets the numbers of all batches.
+BROADCAST_BITS = 20
 PROGRESS_SCHEMA = (
     "commit bigint, lang string, rows bigint, rows_done bigint, shard int, "
     "rows_in_shard bigint, done boolean"
@@ -33,11 +35,14 @@ def block_ordinal(
     """Dense ordinal over blocks: blocks of the earlier batches plus the own number.
 
     Only one light row per batch is summed up. The blocks are read several times, so they
-    should be staged.
+    should be staged. Numbers of up to ``2^BROADCAST_BITS`` batches are sent to the blocks, which then
+    stay where they are; Spark itself would take the numbers to be as large as the blocks.
     """
     counts = blocks.groupBy(batch).agg(F.count(F.lit(1)).alias("__n"))
-    bases = running_total(counts, F.col("__n"), batch, out="__base", row_bits=LIGHT_BITS)
+    bits = measure_key_bits(blocks, batch)
+    bases = running_total(counts, F.col("__n"), batch, out="__base", row_bits=LIGHT_BITS, key_bits=bits)
     bases = bases.select(batch, "__base")
+    bases = F.broadcast(bases) if bits <= BROADCAST_BITS else bases
     return blocks.join(bases, batch).withColumn(out, F.col("__base") + F.col(block)).drop("__base")
 
 

@@ -361,3 +361,16 @@ def test_null_and_negative_keys_are_an_error(spark):
         docs = spark.createDataFrame([(0, 0, "a"), (0, bad, "b")], "src_ord int, doc_ord bigint, text string")
         with pytest.raises(ValueError):
             pretokenize(docs, PretokenizeOptions(block_size=1, batch_size=1))
+
+
+def test_numbers_of_batches_are_sent_to_the_blocks(spark, monkeypatch):
+    blocks = spark.createDataFrame([(b, k, [b]) for b in (0, 2, 3) for k in range(b + 1)], "batch_id bigint, block_ord bigint, input_ids array<int>")
+    sent = shards.block_ordinal(blocks)
+    assert "strategy=broadcast" in sent._jdf.queryExecution().analyzed().toString()
+    assert sorted((r["batch_id"], r["block_ord"], r["ord"]) for r in sent.collect()) == [
+        (0, 0, 0), (2, 0, 1), (2, 1, 2), (2, 2, 3), (3, 0, 4), (3, 1, 5), (3, 2, 6), (3, 3, 7)
+    ]
+    monkeypatch.setattr(shards, "BROADCAST_BITS", 1)
+    moved = shards.block_ordinal(blocks)
+    assert "strategy=broadcast" not in moved._jdf.queryExecution().analyzed().toString()
+    assert sorted(moved.collect()) == sorted(sent.collect())
