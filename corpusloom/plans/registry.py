@@ -1329,16 +1329,18 @@ def _(spark, sf):
 
 
 def _document_files(spark: SparkSession, sf: str) -> str:
-    """The documents as several files, to be streamed one per micro-batch."""
+    """The documents as many files, to be streamed over some four micro-batches."""
     path = scratch_path(spark, "documents")
-    documents(spark, sf).repartitionByRange(4, "doc_ord").sortWithinPartitions("doc_ord").write.parquet(path)
+    parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    documents(spark, sf).repartitionByRange(parts, "doc_ord").sortWithinPartitions("doc_ord").write.parquet(path)
     return path
 
 
 def _document_stream(spark: SparkSession, sf: str, path: str | None = None) -> DataFrame:
     schema = documents(spark, sf).schema
     if path is not None:
-        return files.read_stream(spark, path, schema, max_files=1)
+        n = sum(name.endswith(".parquet") for name in files.list_names(spark, path))
+        return files.read_stream(spark, path, schema, max_files=max(1, -(-n // 4)))
     # A pattern, as a plain path may not be one file; what it finds may be a file or a folder.
     raw = files.read_stream(spark, f"{sf}/documents.parque[t]", table(spark, sf, "documents").schema)
     return raw.select(src_ord().alias("src_ord"), F.col("doc_id").alias("doc_ord"), "lang", "text")

@@ -147,3 +147,17 @@ def test_old_states_go_and_half_written_ones_do_not_count(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "p" / "_pending")) == ["3", "4"]
     os.mkdir(tmp_path / "p" / "_state" / "5")
     assert packer.last_number(spark) == 4
+
+
+def test_files_of_the_document_stream_follow_the_partitions(spark, sf_dir):
+    """A file is one task's work, so their number grows with that of the partitions."""
+    from corpusloom.plans import registry
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        path = registry._document_files(spark, sf_dir)
+        names = [n for n in os.listdir(path.removeprefix("file:")) if n.endswith(".parquet")]
+        assert len(names) == 16 and spark.read.parquet(path).count() == registry.documents(spark, sf_dir).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
