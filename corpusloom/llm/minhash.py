@@ -138,8 +138,8 @@ def band_keys(representatives: DataFrame) -> DataFrame:
     return representatives.select("id", F.posexplode(keys).alias("band", "key"))
 
 
-def full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``id, items``: the packed full set of each document in ``ids(doc_id)``."""
+def full_sets(ids: DataFrame, docs: DataFrame, width: int, rows: int) -> DataFrame:
+    """``id, items``: the packed full set of each document in ``ids(doc_id)``, a table of ``rows`` rows at most."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +150,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 packed = pa.array([s.tobytes() for s in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), packed], ["id", "items"])
 
-    return matching(docs, ids, "left_semi").mapInArrow(sets, "id long, items binary")
+    return matching(docs, ids, "left_semi", rows).mapInArrow(sets, "id long, items binary")
 
 
 def linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
@@ -176,7 +176,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-    full = stage(full_sets(wanted, docs, width), "sets")
+    full = stage(full_sets(wanted, docs, width, 2 * pairs.count()), "sets")
     left = full.select(F.col("id").alias("a"), F.col("items").alias("sa"))
     right = full.select(F.col("id").alias("b"), F.col("items").alias("sb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
@@ -249,7 +249,7 @@ def cross_links(open_bands: DataFrame, light: DataFrame, docs: DataFrame, width:
                     links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    sets = full_sets(found.select(F.col("id").alias("doc_id")), docs, width)
+    sets = full_sets(found.select(F.col("id").alias("doc_id")), docs, width, found.count())
     return (
         found.join(light, "id").join(sets, "id")
         .groupBy("key", "band", "u", "v", "sub")
@@ -265,18 +265,19 @@ def near_duplicates(
     threshold = percent / 100
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stage(signatures(rows, width), "signatures")
+    size = signed.count()  # from the footers, as the counts below
     whole = ["n", "set_a", "set_b"]
     classes = signed.where("n > 0 AND doc_id IS NOT NULL")
     # min over (id, registers): equal sets have equal registers
     found = classes.groupBy(*whole).agg(F.min("doc_id").alias("id"), F.any_value("regs").alias("regs"))
-    representatives = stage(found, "classes")
+    representatives = stage(found, "classes", size)
 
     keys = band_keys(representatives)
     shared = keys.groupBy("key", "band").agg(
         F.count(F.lit(1)).alias("size"), F.min("id").alias("center"), F.max("id").alias("most")
     )
     shared = shared.where("center < most").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = stage(keys.join(shared.select("key", "band", "center", "blocks"), ["key", "band"]), "bands")
+    members = stage(keys.join(shared.select("key", "band", "center", "blocks"), ["key", "band"]), "bands", BANDS * size)
     star = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b"))
     order = W.partitionBy("key", "band", "part").orderBy(F.xxhash64("id", "key"), "id")
     chain = (
@@ -309,8 +310,9 @@ def near_duplicates(
         first_pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").select("a", "b", "na", "nb", "ra", "rb")
         .mapInArrow(plausible, "a long, b long")
     )
-    links = stage(confirm(stage(estimated, "pairs"), rows, width, percent), "links")
-    labels = components(links)
+    pairs = stage(estimated, "pairs", 2 * members.count())
+    links = stage(confirm(pairs, rows, width, percent), "links")
+    labels = components(links, rows=links.count())
 
     # Bands that still hold several components
     placed = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
@@ -322,14 +324,14 @@ def near_duplicates(
         to = labels.select("id", "component")
         ends = more.join(to.toDF("a", "ca"), "a", "left").join(to.toDF("b", "cb"), "b", "left")
         ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        above = components(ends)
+        above = components(ends, rows=more.count())
         lone = above.join(to.select("id"), "id", "left_anti")
         labels = (
             labels.join(above.toDF("component", "up"), "component", "left")
             .select("id", F.coalesce("up", "component").alias("component"))
             .unionByName(lone)
         )
-        labels = stage(labels, "labels")
+        labels = stage(labels, "labels", size)
 
     # Copies, then rows with equal ids, follow their class.
     joined = classes.select("doc_id", *whole).join(representatives.select("id", *whole), whole).select("doc_id", "id")
@@ -352,7 +354,7 @@ def near_duplicates(
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group; rows whose id is null stay."""
     found = stage(near_duplicates(docs, width, percent).select("doc_id", "kept"), "kept")
-    left = matching(docs, found.where("NOT kept"), "left_anti")
+    left = matching(docs, found.where("NOT kept"), "left_anti", found.count())
     ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
     if ids.where("c > 1").limit(1).count() == 0:
         return left

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# Rows of a few numbers that one task should write, where a table is known to be light.
+LIGHT_ROWS = 1 << 16
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -75,13 +77,17 @@ def spread(df):
     return df.repartition(cores) if size < cores * split else df
 
 
-def stage(df, name: str = "stage"):
+def stage(df, name: str = "stage", rows: int | None = None):
     """Write ``df`` once to the scratch folder and read it back.
 
     Cuts the lineage with a table that outlives lost executors, and lets later steps
-    read single columns of an expensive result.
+    read single columns of an expensive result. ``rows`` is a bound on the rows of a light table: it
+    is written by a task for each ``LIGHT_ROWS`` of them, and by one a core at least. On a local file system
+    Hadoop starts processes of its own for each file that an executor creates, so many tiny files cost more than their rows.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // LIGHT_ROWS)))
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
