@@ -67,3 +67,16 @@ def test_by_name_in_the_flow(spark):
     ids, _ = expected_ids()
     lists = [[ids[w] for w in t.split()] + [2] for t in TEXTS if t and t.split()]
     assert got == models.pack(lists, 4, 2)
+
+
+def test_rows_in_many_groups_with_equal_keys_and_unknown_words(spark, monkeypatch):
+    """Words are looked up once a group, and no column has to tell the rows apart."""
+    monkeypatch.setattr(words, "GROUP_BYTES", 40)
+    texts = [f"w{i % 7} w{i % 11}  new{i} w{i % 7}" for i in range(300)] + [None, " "]
+    docs = spark.createDataFrame([(0, t) for t in texts], "same int, text string")
+    model = words.word_model(docs, least=2)
+    ids = {r["piece"]: r["id"] for r in model.vocab.collect()}
+    expected = sorted([ids.get(w, 1) for w in (t or "").split()] for t in texts)
+    for least_hot in (5, 100_000):
+        got = words.encode_words(docs, model, least_hot=least_hot)
+        assert sorted(r["input_ids"] for r in got.collect()) == expected
