@@ -23,6 +23,7 @@ from corpusloom.sources.shards import (
     commits_by_writer,
     finished_languages,
     has_progress,
+    ordinal_after,
     progress,
     read_committed,
     write_dataset_info,
@@ -159,14 +160,33 @@ def _commit_batches(docs, path, opts, max_samples, batches_per_commit, max_commi
     number = made.get(writer, 0)
     placed = order_documents(docs, opts).select("ord", "text").withColumn("part", F.expr(f"ord div {int(span)}"))
     folder = scratch_path(spark, "ordered")
-    placed.where(F.col("part") >= number).repartitionByRange("ord").write.partitionBy("part").parquet(folder)
+    wanted = F.col("part") >= number
+    if max_commits is not None:  # a run that stops early writes no texts for later ones
+        wanted = wanted & (F.col("part") < number + max_commits)
+    placed.where(wanted).repartitionByRange("ord").write.partitionBy("part").parquet(folder)
     ordered = spark.read.schema("ord bigint, text string, part bigint").parquet(folder)
-    last = ordered.agg(F.max("part")).head()[0]
+    last = (ordered if max_commits is None else placed).agg(F.max("part")).head()[0]
     last = number if last is None else last
     stop = last + 1 if max_commits is None else min(last + 1, number + max_commits)
     for part in range(number, stop):
-        blocks = stage(_pack(ordered.where(F.col("part") == part).drop("part"), opts), "blocks")
-        commit_once(block_ordinal(blocks), path, part, max_samples, writer=writer, done=part == last)
+        docs = ordered.where(F.col("part") == part).drop("part")
+        in_place = isinstance(opts.tokenizer, str) and opts.batch_size <= WINDOW_BATCH
+        blocks = _in_order(docs, opts, (part + 1) * batches_per_commit) if in_place else block_ordinal(stage(_pack(docs, opts), "blocks"))
+        commit_once(blocks, path, part, max_samples, writer=writer, done=part == last, ranged=in_place)
+
+
+def _in_order(docs: DataFrame, opts: PretokenizeOptions, batches: int) -> DataFrame:
+    """The blocks of ``docs`` with their ordinal, in partitions by ranges of it.
+
+    The texts move by ranges of their batch, and the numbers of blocks follow from the numbers of tokens. Tokenizing twice
+    by expressions takes less than writing the blocks and moving them, which are several times the texts.
+    """
+    docs = docs.withColumn("batch_id", batch_of("ord", opts.batch_size))
+    sizes = tokenize_documents(docs, opts).groupBy("batch_id").agg(F.sum(F.size("input_ids")).alias("n"))
+    counts = sizes.select("batch_id", F.expr(f"n div {int(opts.block_size)}").alias("__n"))
+    tokens = tokenize_documents(docs.repartitionByRange("batch_id"), opts)
+    blocks = filter_nonempty(pack_blocks(tokens, opts.block_size, opts.batch_size))
+    return ordinal_after(blocks, counts, key_bits_for(batches))
 
 
 def pretokenize_languages_to_shards(

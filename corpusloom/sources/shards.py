@@ -39,7 +39,11 @@ def block_ordinal(
     stay where they are; Spark itself would take the numbers to be as large as the blocks.
     """
     counts = blocks.groupBy(batch).agg(F.count(F.lit(1)).alias("__n"))
-    bits = measure_key_bits(blocks, batch)
+    return ordinal_after(blocks, counts, measure_key_bits(blocks, batch), batch, block, out)
+
+
+def ordinal_after(blocks: DataFrame, counts: DataFrame, bits: int, batch: str = "batch_id", block: str = "block_ord", out: str = "ord") -> DataFrame:
+    """The ordinal of ``block_ordinal`` from ``counts``, the blocks ``__n`` of each batch; batch numbers have ``bits`` bits."""
     bases = running_total(counts, F.col("__n"), batch, out="__base", row_bits=LIGHT_BITS, key_bits=bits)
     bases = bases.select(batch, "__base")
     bases = F.broadcast(bases) if bits <= BROADCAST_BITS else bases
@@ -60,15 +64,10 @@ def _stored(df: DataFrame) -> DataFrame:
     )
 
 
-def _write(df: DataFrame, path: str, max_samples: int, ord: str, start: int) -> None:
+def _write(df: DataFrame, path: str, max_samples: int, ord: str, start: int, ranged: bool = False) -> None:
     # By ranges of the ordinal: a shard may take several tasks, whose files follow one another.
-    moved = (
-        assign_shard(require_columns(df), max_samples, ord, start)
-        .select("shard", ord, "input_ids", "attention_mask")
-        .repartitionByRange(ord)
-        .sortWithinPartitions("shard", ord)
-        .drop(ord)
-    )
+    rows = assign_shard(require_columns(df), max_samples, ord, start).select("shard", ord, "input_ids", "attention_mask")
+    moved = (rows if ranged else rows.repartitionByRange(ord)).sortWithinPartitions("shard", ord).drop(ord)
     (
         _stored(moved)  # widened after the shuffle
         .write.mode("overwrite")
@@ -124,25 +123,27 @@ def commit_once(
     ord: str = "ord",
     writer: str = "stream",
     done: bool = False,
+    ranged: bool = False,
 ) -> DataFrame:
     """Append the blocks of a stream's micro-batch once; a repeated call does nothing.
 
     The log tells the micro-batches of each ``writer`` apart, so other commits in the same
-    directory, of batch runs or other streams, do not matter.
+    directory, of batch runs or other streams, do not matter. ``ranged`` blocks already lie in partitions by
+    ranges of the ordinal and are written where they are.
     """
     spark = blocks.sparkSession
     mine = (F.col("writer") == writer) & (F.col("micro_batch") == micro_batch)
     if _log_rows(spark, path).where(mine).limit(1).count():
         return progress(spark, path)
     _, total = _rows_done(spark, path, "all")
-    return _commit(blocks, path, max_samples, ord, "all", total, total, done, (writer, micro_batch))
+    return _commit(blocks, path, max_samples, ord, "all", total, total, done, (writer, micro_batch), ranged)
 
 
-def _commit(df, path, max_samples, ord, lang, start, total, done, origin=(None, None)) -> DataFrame:
+def _commit(df, path, max_samples, ord, lang, start, total, done, origin=(None, None), ranged=False) -> DataFrame:
     spark = df.sparkSession
     number = _next_commit(spark, path)
     target = f"{path}/commit={number}"
-    _write(df, target, max_samples, ord, start)
+    _write(df, target, max_samples, ord, start, ranged)
     rows = _count_rows(spark, target)
     now = total + rows
     entry = (number, lang, rows, now, int(now // max_samples), now % max_samples, done, *origin)
