@@ -118,9 +118,12 @@ class StreamPacker:
         spark = df.sparkSession
         batches, blocks, pending = self._left(spark, number - 1)
         df = df.select(self.order, "input_ids").persist()
-        fresh = dense_ordinal(df, self.order, out="ord").select(
-            (F.col("ord") + pending).alias("ord"), "input_ids"
-        )
+        if self.batch_size is None:  # the order is enough, and the ids stay; what waits comes first, as 0
+            fresh = df.select((F.col(self.order) + 1).alias("ord"), "input_ids")
+        else:
+            fresh = dense_ordinal(df, self.order, out="ord").select(
+                (F.col("ord") + pending).alias("ord"), "input_ids"
+            )
         rows = self._pending(spark, number - 1).unionByName(fresh).persist()
         try:
             if self.batch_size is None:
