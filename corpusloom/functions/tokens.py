@@ -87,6 +87,21 @@ def tokenize(
     return append_eos(ids, eos_id)
 
 
+def token_count(
+    text: str | Column = "text",
+    tokenizer: str = "codepoint",
+    max_length: int | None = None,
+    eos_id: int | None = None,
+) -> Column:
+    """The size of ``tokenize``'s list; code points are counted without making the list."""
+    if tokenizer != "codepoint" or (eos_id is not None and eos_id < CODEPOINTS):
+        return F.size(tokenize(text, tokenizer, max_length, eos_id))
+    n = F.coalesce(F.char_length(_col(text)), F.lit(0))
+    if max_length is not None:
+        n = F.least(n, F.lit(max_length))
+    return n if eos_id is None else n + (n > 0).cast("int")
+
+
 def _one(value: int | None) -> list[Column]:
     return [] if value is None else [F.array(F.lit(value))]
 

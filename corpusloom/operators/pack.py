@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from corpusloom.operators.order import running_total
 
 # Batches up to this many documents are one window group each.
 WINDOW_BATCH = 1 << 14
 IGNORE_LABEL = -100
+# Bytes of an Arrow batch of token lists, or one longer list.
+BATCH_BYTES = 6 << 20
 
 
 def batch_of(ordinal: str, batch_size: int | None) -> Column:
@@ -37,7 +42,8 @@ def pack_blocks(
 
     Rows that already carry ``batch_id`` keep it, and with it their partitioning.
 
-    Each row finds the blocks it touches from its token offset in the batch and sends
+    Batches of up to ``WINDOW_BATCH`` rows are cut in one pass over their rows in order, in Arrow tasks. In longer
+    ones each row finds the blocks it touches from its token offset in the batch and sends
     one slice to each, so what moves is tokens once, never a row per token.
     """
     blocks = cut_blocks(rows, block_size, batch_size, ordinal, ids, by)
@@ -69,14 +75,61 @@ def cut_blocks(
     )
     if whole or batch_size > WINDOW_BATCH:
         placed = running_total(lists, F.col("__n"), "__ord", by=batch, out="__start")
-    else:
-        earlier = (
-            W.partitionBy(*batch).orderBy("__ord").rowsBetween(W.unboundedPreceding, -1)
-        )
-        placed = lists.withColumn(
-            "__start", F.coalesce(F.sum("__n").over(earlier), F.lit(0).cast("bigint"))
-        )
-    return _assemble(placed.where("__n > 0"), block_size, batch)
+        return _assemble(placed.where("__n > 0"), block_size, batch)
+    earlier = W.partitionBy(*batch).orderBy("__ord").rowsBetween(W.unboundedPreceding, -1)
+    placed = lists.withColumn("__start", F.coalesce(F.sum("__n").over(earlier), F.lit(0).cast("bigint")))
+    return _cut_in_order(placed.where("__n > 0"), block_size, batch)
+
+
+def _cut_in_order(placed: DataFrame, block_size: int, batch: Sequence[str]) -> DataFrame:
+    """Cut rows as the window leaves them: batch after batch, in order inside each.
+
+    A task holds one Arrow batch and less than a block besides. Each row's offset is checked against
+    what was read, so rows in another order are an error, never other blocks.
+    """
+    rows = placed.select(*batch, "__start", "__ids")
+    ids = rows.schema["__ids"].dataType
+    out = StructType([rows.schema[c] for c in batch]).add("block_ord", LongType()).add("input_ids", ids)
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, number, rest = None, 0, None
+
+        def blocks(keys: list[tuple], parts: list[pa.Array], ends: list[int], numbers: list[int]) -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(parts))
+            named = zip(batch, zip(*keys))
+            columns = [pa.array(values, types[c]) for c, values in named]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int64()), lists], [*batch, "block_ord", "input_ids"])
+
+        for frame in frames:
+            types = {c: frame.schema.field(c).type for c in batch}
+            lists, starts = frame.column("__ids"), frame.column("__start").to_pylist()
+            values, offsets = lists.values, lists.offsets.to_pylist()
+            every = list(zip(*(frame.column(c).to_pylist() for c in batch)))
+            keys, parts, ends, numbers = [], [], [0], []
+            for now, places in groupby(range(len(every)), every.__getitem__):
+                places = list(places)
+                first, last = places[0], places[-1]
+                if now != key:
+                    if rest is not None and len(rest):
+                        keys, parts, ends, numbers = [*keys, key], [*parts, rest], [*ends, ends[-1] + len(rest)], [*numbers, number]
+                    key, number, rest = now, 0, values.slice(0, 0)
+                before = number * block_size + len(rest) - offsets[first]
+                if any(starts[i] != before + offsets[i] for i in places):
+                    raise ValueError("rows of a batch are out of order")
+                line = pa.concat_arrays([rest, values.slice(offsets[first], offsets[last + 1] - offsets[first])])
+                n = len(line) // block_size
+                parts.append(line.slice(0, n * block_size))
+                keys += [now] * n
+                numbers += range(number, number + n)
+                ends += range(ends[-1] + block_size, ends[-1] + n * block_size + 1, block_size)
+                number, rest = number + n, pa.concat_arrays([line.slice(n * block_size)])
+            if keys:
+                yield blocks(keys, parts, ends, numbers)
+        if rest is not None and len(rest):
+            yield blocks([key], [rest], [0, len(rest)], [number])
+
+    return rows.mapInArrow(work, out)
 
 
 def _assemble(placed: DataFrame, block_size: int, batch: Sequence[str]) -> DataFrame:

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.bpe import BpeModel, bpe_ids
-from corpusloom.functions.tokens import EOS_ID, append_eos, tokenize, truncate
+from corpusloom.functions.tokens import EOS_ID, append_eos, token_count, tokenize, truncate
 from corpusloom.functions.words import WordModel, encode_words, word_model
 from corpusloom.operators.mix import concat_ordinal, interleave_documents, source_sizes
 from corpusloom.operators.order import LIGHT_BITS, dense_ordinal, key_bits_for
 from corpusloom.operators.pack import WINDOW_BATCH, batch_of, pack_blocks
 from corpusloom.operators.rows import cap_documents, filter_nonempty, filter_valid_text, has_text
-from corpusloom.session import scratch_path, spread, stage
+from corpusloom.session import fine_parts, scratch_path, spread, stage
 from corpusloom.sources.shards import (
     MAX_SAMPLES_PER_SHARD,
     block_ordinal,
@@ -31,6 +31,9 @@ from corpusloom.sources.shards import (
     write_shards,
 )
 
+# Bytes of stored texts whose blocks one task makes and writes.
+TEXT_BYTES = 8 << 20
+
 
 @dataclass(frozen=True)
 class PretokenizeOptions:
@@ -138,8 +141,8 @@ def pretokenize_to_shards(
     if "all" in finished_languages(spark, path):
         return progress(spark, path)
     if batches_per_commit is None:
-        # The blocks are staged: numbering and writing them reads them twice.
-        write_shards(block_ordinal(stage(pretokenize(docs, opts), "blocks")), path, max_samples, resume=resume)
+        opts = with_dictionary(docs, opts)
+        write_shards(pretokenize_numbered(docs, opts), path, max_samples, resume=resume, ranged=_in_place(opts))
     else:
         _commit_batches(docs, path, opts, max_samples, batches_per_commit, max_commits)
     write_dataset_info(read_committed(spark, path), path)
@@ -170,21 +173,45 @@ def _commit_batches(docs, path, opts, max_samples, batches_per_commit, max_commi
     stop = last + 1 if max_commits is None else min(last + 1, number + max_commits)
     for part in range(number, stop):
         docs = ordered.where(F.col("part") == part).drop("part")
-        in_place = isinstance(opts.tokenizer, str) and opts.batch_size <= WINDOW_BATCH
+        in_place = _in_place(opts)
         blocks = _in_order(docs, opts, (part + 1) * batches_per_commit) if in_place else block_ordinal(stage(_pack(docs, opts), "blocks"))
         commit_once(blocks, path, part, max_samples, writer=writer, done=part == last, ranged=in_place)
 
 
-def _in_order(docs: DataFrame, opts: PretokenizeOptions, batches: int) -> DataFrame:
+def pretokenize_numbered(docs: DataFrame, opts: PretokenizeOptions = PretokenizeOptions()) -> DataFrame:
+    """The blocks of ``pretokenize`` with their dense ordinal ``ord``.
+
+    With an expression tokenizer and batches of up to ``WINDOW_BATCH`` documents they lie in partitions by ranges of the
+    ordinal: the texts in order are staged, not the blocks, which are several times larger. Other blocks are staged and numbered.
+    """
+    opts = with_dictionary(docs, opts)
+    if not _in_place(opts):
+        # The blocks are staged: numbering and writing them reads them twice.
+        return block_ordinal(stage(pretokenize(docs, opts), "blocks"))
+    ordered = stage(order_documents(docs, opts).select("ord", "text"), "ordered")
+    batches = ordered.count() // opts.batch_size + 1
+    return _in_order(ordered, opts, batches, min(batches, fine_parts(ordered, TEXT_BYTES)))
+
+
+def _in_place(opts: PretokenizeOptions) -> bool:
+    """Whether blocks can be numbered from the sizes of texts, and each batch is cut in one task."""
+    return isinstance(opts.tokenizer, str) and opts.tokenizer != "whitespace" and 0 < (opts.batch_size or 0) <= WINDOW_BATCH
+
+
+def _in_order(docs: DataFrame, opts: PretokenizeOptions, batches: int, parts: int | None = None) -> DataFrame:
     """The blocks of ``docs`` with their ordinal, in partitions by ranges of it.
 
-    The texts move by ranges of their batch, and the numbers of blocks follow from the numbers of tokens. Tokenizing twice
-    by expressions takes less than writing the blocks and moving them, which are several times the texts.
+    The texts move by ranges of their batch, and the numbers of blocks follow from the numbers of tokens. Counting tokens
+    takes less than writing the blocks and moving them, which are several times the texts.
     """
     docs = docs.withColumn("batch_id", batch_of("ord", opts.batch_size))
-    sizes = tokenize_documents(docs, opts).groupBy("batch_id").agg(F.sum(F.size("input_ids")).alias("n"))
-    counts = sizes.select("batch_id", F.expr(f"n div {int(opts.block_size)}").alias("__n"))
-    tokens = tokenize_documents(docs.repartitionByRange("batch_id"), opts)
+    n = token_count("text", opts.tokenizer, opts.truncate, opts.eos_id)
+    counts = docs.groupBy("batch_id").agg(F.sum(n).alias("n"))
+    counts = counts.select("batch_id", F.expr(f"n div {int(opts.block_size)}").alias("__n"))
+    # Sorted as texts, so that the token lists need no sort.
+    moved = docs.repartitionByRange(*([] if parts is None else [parts]), "batch_id")
+    placed = moved.sortWithinPartitions("batch_id", "ord")
+    tokens = tokenize_documents(placed, opts)
     blocks = filter_nonempty(pack_blocks(tokens, opts.block_size, opts.batch_size))
     return ordinal_after(blocks, counts, key_bits_for(batches))
 

@@ -19,6 +19,7 @@ from corpusloom.plans.pretokenize import (
     order_documents,
     pretokenize,
     pretokenize_by_language,
+    pretokenize_numbered,
     pretokenize_to_shards,
     tokenize_documents,
 )
@@ -318,7 +319,7 @@ _IN_SHARDS = f"{_NUMBERED} SELECT CAST(ord // {SHARD} AS INT) AS shard, n_tokens
 @query("shard_write", _IN_SHARDS)
 def _(spark, sf):
     path = scratch_path(spark, "shards")
-    shards.write_shards(numbered_blocks(spark, sf), path, SHARD)
+    shards.write_shards(pretokenize_numbered(documents(spark, sf), WHOLE), path, SHARD, ranged=True)
     return block_out(shards.read_committed(spark, path), "shard")
 
 

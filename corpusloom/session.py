@@ -77,6 +77,12 @@ def spread(df):
     return df.repartition(cores) if size < cores * split else df
 
 
+def fine_parts(df, part_bytes: int) -> int:
+    """Partitions of some ``part_bytes`` of a stored table, four a core at least, so that all cores end at about one time."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // part_bytes))
+
+
 def stage(df, name: str = "stage", rows: int | None = None):
     """Write ``df`` once to the scratch folder and read it back.
 

@@ -85,11 +85,13 @@ def write_shards(
     lang: str = "all",
     resume: bool = False,
     done: bool = True,
+    ranged: bool = False,
 ) -> DataFrame:
     """Write blocks with a dense ordinal as one commit; gives the progress table.
 
     A fresh run needs a path without progress. With ``resume`` the rows below the
     committed count are skipped, so an interrupted run ends up as an undisturbed one.
+    ``ranged`` blocks already lie in partitions by ranges of the ordinal and are written where they are.
     """
     spark = blocks.sparkSession
     if not resume and has_progress(spark, path):
@@ -98,7 +100,7 @@ def write_shards(
         return progress(spark, path)
     in_lang, total = _rows_done(spark, path, lang)
     rest = blocks.where(F.col(ord) >= in_lang)
-    return _commit(rest, path, max_samples, ord, lang, total - in_lang, total, done)
+    return _commit(rest, path, max_samples, ord, lang, total - in_lang, total, done, ranged=ranged)
 
 
 def append_shards(
