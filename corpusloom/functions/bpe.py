@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ ROUND_MERGES = 256
 # Pairs that the driver ranks, and distinct words of one partition.
 MAX_PAIRS = 200_000
 PART_WORDS = 500_000
+# Symbols of distinct words that a training task works on at once, or one longer word.
+STATE_PLACES = 1 << 18
 # Rounds between two written copies of the words.
 STAGE_EVERY = 20
 # Distinct words a worker remembers before it starts over, and the pieces in them.
@@ -101,8 +104,8 @@ def pair_counts(words: DataFrame, symbols: str = "symbols") -> DataFrame:
 
 # Training
 
-# While training, a partition of the distinct words is one row: an array of symbols, words parted by
-# ``GAP``, and the count of the word at each place. A character is its code point, a merged symbol a number
+# While training, some ``STATE_PLACES`` places of the distinct words are one row: an array of symbols, words parted by
+# ``GAP``, and the count of the word at each place. A worker holds one such row and arrays of its size at a time. A character is its code point, a merged symbol a number
 # above all code points. ``GAP`` also stands for a character outside the coverage; nothing merges with it.
 GAP = -1
 STATE = "left int, right int, n long, symbols binary, weights binary"
@@ -135,26 +138,45 @@ def _packed(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _initial_state(words: DataFrame, covered: Sequence[str]) -> DataFrame:
-    """One row a partition; the words are spread so that each has at most some ``PART_WORDS``."""
+    """Rows of some ``STATE_PLACES``; the words are spread so that a partition has at most some ``PART_WORDS``."""
     points = np.array(sorted(map(ord, covered)), np.int32)
     parts = max(words.sparkSession.sparkContext.defaultParallelism, -(-words.count() // PART_WORDS))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, weights = [np.array([GAP], np.int32)], [np.zeros(1, np.int64)]
+        symbols, weights, held = [np.array([GAP], np.int32)], [np.zeros(1, np.int64)], 0
         for batch in batches:
-            texts = batch.column("word").to_pylist()
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-            flat = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), np.int32).copy()
-            ends = np.cumsum(sizes) - 1
-            flat[~np.isin(flat, points)] = GAP
-            flat[ends] = GAP
-            symbols.append(flat)
-            weights.append(np.repeat(batch.column("n").to_numpy(), sizes))
+            for texts, counts in word_groups(batch, STATE_PLACES):
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+                if held and held + sizes.sum() > STATE_PLACES:
+                    yield _state_row(np.concatenate(symbols), np.concatenate(weights))
+                    symbols, weights, held = [np.array([GAP], np.int32)], [np.zeros(1, np.int64)], 0
+                flat = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), np.int32).copy()
+                ends = np.cumsum(sizes) - 1
+                flat[~np.isin(flat, points)] = GAP
+                flat[ends] = GAP
+                symbols.append(flat)
+                weights.append(np.repeat(counts, sizes))
+                held += len(flat)
         yield _state_row(np.concatenate(symbols), np.concatenate(weights))
 
+    # A batch of rows is sent to Python whole, and rows of the state take far more room there than in files.
+    words.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return words.select("word", "n").repartition(parts, "word").mapInArrow(work, STATE)
 
 
+def word_groups(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The words in groups of at most ``limit`` places, or of one longer word, with their counts."""
+    words, counts = batch.column("word"), batch.column("n").to_numpy()
+    start, size = 0, 0
+    for i, n in enumerate(pc.utf8_length(words).to_pylist()):
+        if i > start and size + n + 1 > limit:
+            yield words[start:i].to_pylist(), counts[start:i]
+            start, size = i, 0
+        size += n + 1
+    if start < len(words):
+        yield words[start:].to_pylist(), counts[start:]
+
+
 def _read_state(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for symbols, weights in zip(batch.column("symbols"), batch.column("weights")):
         if symbols.is_valid:
