@@ -361,6 +361,7 @@ def encode(
                 if decoded:
                     out = _with(out, "decoded", _bytes(coder, flat, ends), [*kept, "ids"])
                 yield out
+        vector.give_back()
 
     fields = [docs.schema[c] for c in kept] + [StructField("ids", ArrayType(IntegerType()))]
     fields += [StructField("decoded", BinaryType())] * decoded
@@ -390,6 +391,7 @@ def decode(tokens: DataFrame, ranks, pattern: str) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))])
                 column = _bytes(coder, ids.flatten().to_numpy(zero_copy_only=False), ends[1:])
                 yield _with(batch, "decoded", column, kept)
+        vector.give_back()
 
     fields = [tokens.schema[c] for c in kept] + [StructField("decoded", BinaryType())]
     return tokens.mapInArrow(work, StructType(fields))

@@ -199,6 +199,7 @@ def windows(rows: DataFrame, widths: list[int] | None, bitmap=None) -> DataFrame
                     columns += [pa.array(d, pa.int64()), pa.array(e, pa.list_(pa.string()))]
                     columns += [pa.array(f, pa.int32()), pa.array(g, pa.int32())]
                     yield pa.RecordBatch.from_arrays(columns, ["id", "width", "place", "hash", "words", "total", "rich"])
+        vector.give_back()
 
     vector.bound_batches(rows.sparkSession)
     return rows.mapInArrow(work, OUT)

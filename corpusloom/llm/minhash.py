@@ -126,6 +126,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     pa.array(regs, pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set_a", "set_b", "regs"])
+        vector.give_back()
 
     return docs.mapInArrow(work, _SIGNED)
 
@@ -149,6 +150,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, width: int, rows: int) -> DataFra
                 found = shingle_sets(part, bounds[lo : hi + 1] - bounds[lo], width)
                 packed = pa.array([s.tobytes() for s in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), packed], ["id", "items"])
+        vector.give_back()
 
     return matching(docs, ids, "left_semi", rows).mapInArrow(sets, "id long, items binary")
 
@@ -174,6 +176,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                 for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        vector.give_back()
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
     full = stage(full_sets(wanted, docs, width, 2 * pairs.count()), "sets")

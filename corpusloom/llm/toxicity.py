@@ -179,6 +179,7 @@ def features(spark, lexicon, text: Column) -> Column:
             values = np.concatenate(found, axis=1).T.astype(float)
             at = np.arange(len(values) + 1, dtype=np.int32) * len(FEATURES)
             yield pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(values).ravel()))
+        vector.give_back()
 
     return work(text)
 
@@ -219,6 +220,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 new[1:] = (doc[1:] != doc[:-1]) | (both[1:] != both[:-1])
                 toxic = labels[lo:hi][doc[new]]
                 yield pa.RecordBatch.from_arrays([pa.array(both[new].view(np.int64)), pa.array(toxic)], ["term", "toxic"])
+        vector.give_back()
 
     totals = sample.agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).first()
     pos, n = totals["pos"] or 0.0, totals["n"]
@@ -250,6 +252,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    vector.bound_batches(docs.sparkSession)
     sample = stage(labelled_sample(docs, labels), "labelled")
     lexicon = learn_lexicon(sample)
     if not len(lexicon[0]):
