@@ -5,8 +5,10 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from corpusloom.session import spread, stage
 
 # A run of word marks stays with the word that follows it.
 WORD_PATTERN = f"{WORD_MARK}*[^{WORD_MARK}]+|{WORD_MARK}+"
+# The same for lines that are joined by line feeds, which belong to no word.
+LINE_WORDS = re.compile(f"{WORD_MARK}*[^{WORD_MARK}\n]+|{WORD_MARK}+")
 
 # Pairs looked at, and merges taken, in one training round.
 ROUND_PAIRS = 512
@@ -43,6 +47,13 @@ STAGE_EVERY = 20
 # Distinct words a worker remembers before it starts over, and the pieces in them.
 WORD_CACHE = 200_000
 PIECE_CACHE = 4_000_000
+# Characters whose words a task counts before it hands the counts on.
+COUNTED_CHARS = 1 << 24
+# Symbols of a word up to which it is merged together with others, and the place of a pair without a merge.
+SHORT_WORD = 64
+UNMERGED = 1 << 30
+# Bytes of text whose words are looked up together.
+WORDS_BYTES = 1 << 18
 # Bytes of text that become ids at once, or one longer text.
 GROUP_BYTES = 1 << 21
 # Bytes of an Arrow batch that is sent to a worker, or one longer text.
@@ -65,14 +76,43 @@ def max_sentence_length(lines: DataFrame, n: int = 16_384, text: str = "text") -
 def word_counts(
     lines: DataFrame, special_tokens: Sequence[str] = DEFAULT_SPECIAL_TOKENS, text: str = "text"
 ) -> DataFrame:
-    """``(word, n)``: distinct words with their counts; symbols of the user end a word."""
-    col = F.col(text)
+    """``(word, n)``: distinct words with their counts; symbols of the user end a word.
+
+    Arrow tasks count the words of their lines, so what moves is distinct words of a task, not occurrences.
+    """
     symbols = user_symbols(special_tokens)
-    if symbols:
-        col = F.regexp_replace(col, "|".join(map(re.escape, symbols)), "\n")
-    runs = F.split(F.replace(col, F.lit(" "), F.lit(WORD_MARK)), "\n")
-    words = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(WORD_PATTERN), F.lit(0))))
-    return spread(lines).select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    cut = re.compile("|".join(map(re.escape, symbols))).sub if symbols else None
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        held = 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for group in text_groups(batch.column("text")):
+                texts = [cut("\n", t) if cut else t for t in group if t]
+                run = "\n".join(texts).replace(" ", WORD_MARK)
+                counts.update(found_words(run, LINE_WORDS))
+                held += len(run)
+                if len(counts) >= WORD_CACHE or held >= COUNTED_CHARS:
+                    yield rows()
+                    counts.clear()
+                    held = 0
+        if counts:
+            yield rows()
+
+    lines.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    sent = spread(lines).select(F.make_valid_utf8(F.col(text)).alias("text"))
+    return sent.mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def found_words(text: str, pattern: re.Pattern) -> Iterable[str]:
+    """The words of a text; those of a very long one are not listed at once."""
+    if len(text) <= GROUP_BYTES:
+        return pattern.findall(text)
+    return (m[0] for m in pattern.finditer(text))
 
 
 def word_char_counts(words: DataFrame) -> DataFrame:
@@ -131,6 +171,25 @@ def _pair_rows(keys: np.ndarray, amounts: np.ndarray) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(total), none, none], STATE_NAMES)
 
 
+class _PairSums:
+    """Amounts of pairs over the rows of a task, handed on when there are many."""
+
+    def __init__(self):
+        self.keys, self.amounts, self.held = [], [], 0
+
+    def add(self, keys: np.ndarray, amounts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.keys.append(keys)
+        self.amounts.append(amounts)
+        self.held += len(keys)
+        if self.held >= STATE_PLACES:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield from _pair_rows(np.concatenate(self.keys), np.concatenate(self.amounts))
+        self.__init__()
+
+
 def _packed(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pair that begins at each place, and whether there is one."""
     wide = symbols.astype(np.int64)
@@ -185,48 +244,59 @@ def _read_state(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]
 
 def _all_pairs(state: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _PairSums()
         for batch in batches:
             for symbols, weights in _read_state(batch):
                 keys, real = _packed(symbols)
-                yield from _pair_rows(keys[real], weights[:-1][real])
+                yield from sums.add(keys[real], weights[:-1][real])
+        yield from sums.rest()
 
     return state.mapInArrow(work, STATE).groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
+def _packed_at(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_packed`` for the places ``at`` alone; none of them is the last."""
+    left, right = symbols[at].astype(np.int64), symbols[at + 1].astype(np.int64)
+    return left << 32 | right & 0xFFFFFFFF, (left >= 0) & (right >= 0)
+
+
 def merge_places(symbols: np.ndarray, taken: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Where one of the pairs ``taken`` is merged, left to right, and into what."""
-    keys, real = _packed(symbols)
     wanted = np.array(sorted(taken), np.int64)
     made = np.array([taken[int(k)] for k in wanted], np.int32)
+    # Most places are left out by their symbol; the last entry stands for ``GAP``.
+    begins = np.zeros(max(int(symbols.max(initial=0)), int(wanted[-1] >> 32)) + 2, bool)
+    begins[wanted >> 32] = True
+    at = np.flatnonzero(begins[symbols[:-1]])
+    keys, real = _packed_at(symbols, at)
     near = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-    at = np.flatnonzero(real & (wanted[near] == keys))
+    hit = real & (wanted[near] == keys)
+    at, near = at[hit], near[hit]
     # A run of one symbol merges in twos from its first.
     fresh = np.ones(len(at), bool)
     fresh[1:] = np.diff(at) > 1
     start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-    at = at[(np.arange(len(at)) - start) % 2 == 0]
-    return at, made[near[at]]
+    first = (np.arange(len(at)) - start) % 2 == 0
+    return at[first], made[near[first]]
 
 
 def merged_state(symbols: np.ndarray, weights: np.ndarray, taken: dict[int, int]):
     """The state after a round's merges, and what they take from and add to the pairs around them."""
     at, into = merge_places(symbols, taken)
-    keys, real = _packed(symbols)
     old = np.unique(np.concatenate([at - 1, at, at + 1]))
-    old = old[(old >= 0) & (old < len(keys))]
-    old = old[real[old]]
-    lost_keys, lost = keys[old], -weights[old]
+    old = old[(old >= 0) & (old < len(symbols) - 1)]
+    keys, real = _packed_at(symbols, old)
+    lost_keys, lost = keys[real], -weights[old[real]]
     after = symbols.copy()
     after[at] = into
     keep = np.ones(len(after), bool)
     keep[at + 1] = False
     new_at = at - np.arange(len(at))
     after, weights = after[keep], weights[keep]
-    keys, real = _packed(after)
     new = np.unique(np.concatenate([new_at - 1, new_at]))
-    new = new[(new >= 0) & (new < len(keys))]
-    new = new[real[new]]
-    return after, weights, np.concatenate([lost_keys, keys[new]]), np.concatenate([lost, weights[new]])
+    new = new[(new >= 0) & (new < len(after) - 1)]
+    keys, real = _packed_at(after, new)
+    return after, weights, np.concatenate([lost_keys, keys[real]]), np.concatenate([lost, weights[new[real]]])
 
 
 def _without_finished(symbols: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,11 +310,13 @@ def _round(state: DataFrame, taken: dict[int, int]) -> DataFrame:
     """The merged words, and a row for each pair whose count changes in a partition."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _PairSums()
         for batch in batches:
             for symbols, weights in _read_state(batch):
                 symbols, weights, keys, amounts = merged_state(symbols, weights, taken)
                 yield _state_row(*_without_finished(symbols, weights))
-                yield from _pair_rows(keys, amounts)
+                yield from sums.add(keys, amounts)
+        yield from sums.rest()
 
     return state.where("symbols IS NOT NULL").mapInArrow(work, STATE)
 
@@ -390,7 +462,8 @@ def train_bpe(
         else:
             state = state.persist()
             held.append(state)
-        changed = state.where("symbols IS NULL").groupBy("left", "right").agg(F.sum("n").alias("n")).toArrow()
+        # By the pair: rows of symbols have none, and looking at the symbols would read them all.
+        changed = state.where("left IS NOT NULL").groupBy("left", "right").agg(F.sum("n").alias("n")).toArrow()
         ranking.change(*(changed.column(c).to_pylist() for c in ("left", "right", "n")), first_new)
         # The round before is only needed until this one is written or held.
         while held and held[0] is not state:
@@ -467,57 +540,149 @@ def merge_word(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -
     return [x for x in ids if x >= 0]
 
 
+class WordMerger:
+    """``merge_word`` for many words at once: each step makes the next merge of every word that has one."""
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
+        listed = sorted((left << 32 | right, rank, made) for (left, right), (rank, made) in merges.items())
+        self.keys, self.ranks, self.made = (np.array([m[i] for m in listed], np.int64) for i in range(3))
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of the merge in the list by rank, or ``UNMERGED``."""
+        if not len(self.keys):
+            return np.full(len(left), UNMERGED, np.int64)
+        keys = left.astype(np.int64) << 32 | right.astype(np.int64) & 0xFFFFFFFF
+        near = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[near] == keys, self.by_rank[near], UNMERGED)
+
+    @cached_property
+    def by_rank(self) -> np.ndarray:
+        """The places of the merges in the order of their ranks."""
+        places = np.empty(len(self.ranks), np.int64)
+        places[np.argsort(self.ranks, kind="stable")] = np.arange(len(places))
+        return places
+
+    def __call__(self, symbols: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The ids of each word as bytes; ``symbols`` has ``GAP`` after each word, and a word is not empty."""
+        made = np.empty(len(self.made), np.int32)
+        made[self.by_rank] = self.made
+        out: list[bytes] = [b""] * len(sizes)
+        words, starts = np.arange(len(sizes)), np.cumsum(sizes + 1) - sizes - 1
+        merge = np.append(self._find(symbols[:-1], symbols[1:]), UNMERGED)
+        while len(words):
+            first = np.minimum.reduceat(merge << 32 | np.arange(len(merge)), starts)
+            going = first < UNMERGED << 32
+            for word, start, size in zip(words[~going].tolist(), starts[~going].tolist(), sizes[~going].tolist()):
+                out[word] = symbols[start : start + size].tobytes()
+            if not going.all():
+                first = first - starts
+                kept = np.repeat(going, sizes + 1)
+                symbols, merge = symbols[kept], merge[kept]
+                words, sizes, first = words[going], sizes[going], first[going]
+                starts = np.cumsum(sizes + 1) - sizes - 1
+                first = first + starts
+            at = first & 0xFFFFFFFF
+            symbols[at] = made[first >> 32]
+            kept = np.ones(len(symbols), bool)
+            kept[at + 1] = False
+            symbols, merge = symbols[kept], merge[kept]
+            # Each word before has lost a place.
+            at, starts, sizes = at - np.arange(len(at)), starts - np.arange(len(at)), sizes - 1
+            merge[at] = self._find(symbols[at], symbols[at + 1])
+            after = at[at > starts]
+            merge[after - 1] = self._find(symbols[after - 1], symbols[after])
+        return out
+
+
 def text_encoder(model: BpeModel):
     """A function from text to a list of ids."""
     encode = array_encoder(model)
     return lambda text: encode(text).tolist()
 
 
-def array_encoder(model: BpeModel):
-    """A function from text to an array of ids that remembers the words it has seen."""
-    chars = model.with_kind("char")
-    symbols = model.with_kind("user")
-    first_byte = model.kinds.index("byte") if "byte" in model.kinds else None
-    words: dict[str, array] = {}
-    held = 0
-    word_finder = re.compile(WORD_PATTERN).finditer
-    split_symbols = re.compile("(" + "|".join(map(re.escape, symbols)) + ")").split if symbols else None
+class _WordIds(dict):
+    """The ids of words as bytes, found when words are first asked for; what is full starts over."""
+
+    def __init__(self, model: BpeModel):
+        self.chars = model.with_kind("char")
+        self.first_byte = model.kinds.index("byte") if "byte" in model.kinds else None
+        self.merges, self.merger, self.held = model.merges, WordMerger(model.merges), 0
+        single = sorted((ord(c), i) for c, i in self.chars.items() if len(c) == 1)
+        self.points, self.ids = np.array([p for p, _ in single], np.int64), np.array([i for _, i in single], np.int32)
+
+    def __missing__(self, word: str) -> bytes:
+        self.make_room()
+        return self.keep(word, array("i", merge_word(self.basic_ids(word), self.merges)).tobytes())
 
-    def encode_word(word: str) -> list[int]:
+    def keep(self, word: str, ids: bytes) -> bytes:
+        self[word] = ids
+        self.held += len(ids) // 4
+        return ids
+
+    def make_room(self) -> None:
+        if len(self) >= WORD_CACHE or self.held >= PIECE_CACHE:
+            self.clear()
+            self.held = 0
+
+    def basic_ids(self, word: str) -> list[int]:
         ids: list[int] = []
         for c in word:
-            if c in chars:
-                ids.append(chars[c])
-            elif first_byte is None:
+            if c in self.chars:
+                ids.append(self.chars[c])
+            elif self.first_byte is None:
                 ids.append(UNK_ID)
             else:
                 # A mark that no vocabulary character stands for was a blank.
                 raw = " " if c == WORD_MARK else c
-                ids.extend(first_byte + b for b in raw.encode("utf-8"))
-        return merge_word(ids, model.merges)
-
-    def encode(text: str | None) -> array:
-        nonlocal held
-        out = array("i")
-        for part in split_symbols(text or "") if split_symbols else [text or ""]:
-            if part in symbols:
-                out.append(symbols[part])
-                continue
-            for found in word_finder(part.replace(" ", WORD_MARK)):
-                word = found[0]
-                ids = words.get(word)
-                if ids is None:
-                    if len(words) >= WORD_CACHE or held >= PIECE_CACHE:
-                        words.clear()
-                        held = 0
-                    ids = words[word] = array("i", encode_word(word))
-                    held += len(ids)
-                out.extend(ids)
+                ids.extend(self.first_byte + b for b in raw.encode("utf-8"))
+        return ids
+
+    def learn(self, found: Iterable[list[str]]) -> None:
+        """Find the ids of all new words together but for long ones and those with a character of no piece."""
+        self.make_room()
+        new = [w for w in set().union(*found).difference(self) if len(w) <= SHORT_WORD]
+        if not new or not len(self.points):
+            return
+        flat = np.frombuffer("\0".join([*new, ""]).encode("utf-32-le"), np.int32)
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        near = np.minimum(np.searchsorted(self.points, flat), len(self.points) - 1)
+        symbols = np.where(self.points[near] == flat, self.ids[near], GAP).astype(np.int32)
+        symbols[np.cumsum(sizes + 1) - 1] = GAP
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        known = np.add.reduceat(symbols == GAP, starts, dtype=np.int64) == 1
+        lists = self.merger(symbols[np.repeat(known, sizes + 1)], sizes[known])
+        for i, ids in zip(np.flatnonzero(known).tolist(), lists):
+            self.keep(new[i], ids)
+
+
+def texts_encoder(model: BpeModel):
+    """A function from texts to an array of ids for each that remembers the words it has seen."""
+    words, finder = _WordIds(model), re.compile(WORD_PATTERN)
+    symbols = model.with_kind("user")
+    split_symbols = re.compile("(" + "|".join(map(re.escape, symbols)) + ")").split if symbols else None
+
+    def encode(texts: Sequence[str | None]) -> list[array]:
+        parted = [split_symbols(text or "") if split_symbols else [text or ""] for text in texts]
+        found = [[p if p in symbols else found_words(p.replace(" ", WORD_MARK), finder) for p in parts] for parts in parted]
+        words.learn(f for parts in found for f in parts if isinstance(f, list))
+        out = []
+        for parts in found:
+            ids = array("i")
+            for f in parts:
+                # Without a step of Python for a word that is remembered.
+                ids.frombytes(array("i", [symbols[f]]).tobytes() if isinstance(f, str) else b"".join(map(words.__getitem__, f)))
+            out.append(ids)
         return out
 
     return encode
 
 
+def array_encoder(model: BpeModel):
+    """A function from one text to an array of ids."""
+    encode = texts_encoder(model)
+    return lambda text: encode([text])[0]
+
+
 def text_groups(texts: pa.Array, limit: int = GROUP_BYTES) -> Iterator[list[str | None]]:
     """The texts in groups of at most ``limit`` characters, or of one longer text."""
     group, size = [], 0
@@ -550,10 +715,10 @@ def bpe_ids(spark: SparkSession, model: BpeModel, text: str = "text") -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        one = array_encoder(shared.value)
+        many = texts_encoder(shared.value)
         for texts in batches:
             for group in text_groups(texts):
-                yield id_lists([one(text) for text in group])
+                yield id_lists([ids for some in text_groups(pa.array(group, pa.string()), WORDS_BYTES) for ids in many(some)])
 
     return encode(text)
 
