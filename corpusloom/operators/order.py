@@ -15,10 +15,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.session import stage
+
 # Keys per window group where rows carry texts or token lists: 2^10.
 ROW_BITS = 10
 # Keys per window group where rows are a few numbers: 2^16.
 LIGHT_BITS = 16
+# Buckets whose first ordinals are sent to all tasks.
+BROADCAST_BUCKETS = 1 << 20
 
 
 def key_bits_for(largest: int | None) -> int:
@@ -93,7 +97,31 @@ def dense_ordinal(
     by: Sequence[str] = (),
     lead: Sequence[str] = (),
     out: str = "ord",
+    ranged: bool = False,
     **kw,
 ) -> DataFrame:
-    """Add ``out`` = 0, 1, 2, ... in the order of ``(*lead, order)`` inside ``by``."""
+    """Add ``out`` = 0, 1, 2, ... in the order of ``(*lead, order)`` inside ``by``.
+
+    With ``ranged``, which takes neither ``by`` nor ``lead``, the rows come in partitions by ranges of ``order`` and sorted by it.
+    They move once, and are read twice before that, for the numbers of rows and for the ranges.
+    """
+    if ranged:
+        if by or lead:
+            raise ValueError("ranges are those of one order key")
+        return _ranged_ordinal(df, order, out, **kw)
     return running_total(df, F.lit(1).cast("bigint"), order, by, lead, out, **kw)
+
+
+def _ranged_ordinal(df: DataFrame, order: str, out: str, row_bits: int = ROW_BITS) -> DataFrame:
+    bucket, amount, base = f"__b_{out}", f"__v_{out}", f"__base_{out}"
+    keyed = df.withColumn(bucket, F.coalesce(F.shiftright(F.col(order), row_bits), F.lit(-1).cast("bigint")))
+    # Written: the sizes of the buckets are read several times, the rows that they are counted from once.
+    totals = stage(keyed.groupBy(bucket).agg(F.count(F.lit(1)).alias(amount)), "totals")
+    bases = running_total(totals, F.col(amount), bucket, out=base, row_bits=LIGHT_BITS).select(bucket, base)
+    if totals.count() <= BROADCAST_BUCKETS:
+        bases = F.broadcast(bases)
+    # One range of buckets is one partition, so the window needs no move of its own.
+    moved = keyed.repartitionByRange(bucket).sortWithinPartitions(bucket, order)
+    rows = moved.withColumn(out, _sum_before(F.lit(1).cast("bigint"), W.partitionBy(bucket).orderBy(order)))
+    joined = rows.join(bases, bucket).withColumn(out, F.col(out) + F.col(base)).drop(bucket, base)
+    return joined if totals.count() <= BROADCAST_BUCKETS else joined.repartitionByRange(out)

@@ -23,7 +23,6 @@ from corpusloom.sources.shards import (
     commits_by_writer,
     finished_languages,
     has_progress,
-    ordinal_after,
     progress,
     read_committed,
     write_dataset_info,
@@ -213,7 +212,7 @@ def _in_order(docs: DataFrame, opts: PretokenizeOptions, batches: int, parts: in
     placed = moved.sortWithinPartitions("batch_id", "ord")
     tokens = tokenize_documents(placed, opts)
     blocks = filter_nonempty(pack_blocks(tokens, opts.block_size, opts.batch_size))
-    return ordinal_after(blocks, counts, key_bits_for(batches))
+    return block_ordinal(blocks, counts=counts, bits=key_bits_for(batches))
 
 
 def pretokenize_languages_to_shards(

@@ -103,6 +103,13 @@ def numbered_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return shards.block_ordinal(stage(blocks_of(spark, sf), "blocks"))
 
 
+def stored_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The numbered blocks as a table in the order of their ordinal, written once; their masks are made when they are read."""
+    numbered = pretokenize_numbered(documents(spark, sf), WHOLE)
+    stored = stage(numbered.drop("attention_mask"), "numbered")
+    return stored.withColumn("attention_mask", tokens.attention_mask("input_ids"))
+
+
 def block_out(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols, big(F.size("input_ids")).alias("n_tokens"), ids_md5("input_ids").alias("ids_md5"))
 
@@ -326,10 +333,10 @@ def _(spark, sf):
 @query("shard_incremental", _IN_SHARDS)
 def _(spark, sf):
     """Stops after one commit, then resumes to the end."""
-    path, blocks = scratch_path(spark, "shards"), numbered_blocks(spark, sf)
+    path, blocks = scratch_path(spark, "shards"), stored_blocks(spark, sf)
     every = max(1, blocks.count() // 3)
-    shards.write_incremental(blocks, path, SHARD, every, max_commits=1)
-    shards.write_incremental(blocks, path, SHARD, every, resume=True)
+    shards.write_incremental(blocks, path, SHARD, every, max_commits=1, stored=True)
+    shards.write_incremental(blocks, path, SHARD, every, resume=True, stored=True)
     return block_out(shards.read_committed(spark, path), "shard")
 
 
@@ -367,15 +374,16 @@ def _stream_into_shards(spark: SparkSession, blocks: DataFrame, path: str) -> No
     bounds = blocks.agg(F.min("at"), F.max("at")).head()
     middle = sum(b or 0 for b in bounds) // 2
     for step in (F.col("at") <= middle, F.col("at") > middle):
-        blocks.where(step).write.mode("append").parquet(source)
-        stream = files.read_stream(spark, source, blocks.schema)
+        blocks.where(step).drop("attention_mask").write.mode("append").parquet(source)
+        stream = files.read_stream(spark, source, blocks.drop("attention_mask").schema)
+        stream = stream.withColumn("attention_mask", tokens.attention_mask("input_ids"))
         flows.run_batches(stream, flows.StreamShards(path, "at", SHARD), ckpt)
 
 
 @query("stream_shards", _IN_SHARDS)
 def _(spark, sf):
     path = scratch_path(spark, "shards")
-    _stream_into_shards(spark, stage(numbered_blocks(spark, sf), "numbered"), path)
+    _stream_into_shards(spark, stored_blocks(spark, sf), path)
     return block_out(shards.read_committed(spark, path), "shard")
 
 
@@ -383,7 +391,7 @@ def _(spark, sf):
 def _(spark, sf):
     """A stream into a directory that holds a batch run's commit already."""
     path = scratch_path(spark, "shards")
-    blocks = stage(numbered_blocks(spark, sf), "numbered")
+    blocks = stored_blocks(spark, sf)
     shards.write_shards(blocks.where(F.col("ord") < SHARD + 500), path, SHARD)
     _stream_into_shards(spark, blocks.where(F.col("ord") >= SHARD + 500), path)
     return block_out(shards.read_committed(spark, path), "shard")

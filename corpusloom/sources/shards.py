@@ -19,6 +19,9 @@ from corpusloom.sources.files import path_exists
 
 MAX_SAMPLES_PER_SHARD = 200_000
 SAVE_BATCH_SIZE = 100_000
+# Rows that a task of a commit should write at least, and bytes of stored blocks at most.
+PART_ROWS = 1 << 10
+PART_BYTES = 4 << 20
 # Bits of the largest batch number up to which each task gets the numbers of all batches.
 BROADCAST_BITS = 20
 PROGRESS_SCHEMA = (
@@ -30,20 +33,23 @@ LOG_SCHEMA = f"{PROGRESS_SCHEMA}, writer string, micro_batch bigint"
 
 
 def block_ordinal(
-    blocks: DataFrame, batch: str = "batch_id", block: str = "block_ord", out: str = "ord"
+    blocks: DataFrame,
+    batch: str = "batch_id",
+    block: str = "block_ord",
+    out: str = "ord",
+    counts: DataFrame | None = None,
+    bits: int | None = None,
 ) -> DataFrame:
     """Dense ordinal over blocks: blocks of the earlier batches plus the own number.
 
     Only one light row per batch is summed up. The blocks are read several times, so they
     should be staged. Numbers of up to ``2^BROADCAST_BITS`` batches are sent to the blocks, which then
     stay where they are; Spark itself would take the numbers to be as large as the blocks.
+    Where ``counts``, the blocks ``__n`` of each batch, and the ``bits`` of its numbers are known, the blocks are read once.
     """
-    counts = blocks.groupBy(batch).agg(F.count(F.lit(1)).alias("__n"))
-    return ordinal_after(blocks, counts, measure_key_bits(blocks, batch), batch, block, out)
-
-
-def ordinal_after(blocks: DataFrame, counts: DataFrame, bits: int, batch: str = "batch_id", block: str = "block_ord", out: str = "ord") -> DataFrame:
-    """The ordinal of ``block_ordinal`` from ``counts``, the blocks ``__n`` of each batch; batch numbers have ``bits`` bits."""
+    if counts is None:
+        counts = blocks.groupBy(batch).agg(F.count(F.lit(1)).alias("__n"))
+    bits = measure_key_bits(blocks, batch) if bits is None else bits
     bases = running_total(counts, F.col("__n"), batch, out="__base", row_bits=LIGHT_BITS, key_bits=bits)
     bases = bases.select(batch, "__base")
     bases = F.broadcast(bases) if bits <= BROADCAST_BITS else bases
@@ -64,10 +70,15 @@ def _stored(df: DataFrame) -> DataFrame:
     )
 
 
-def _write(df: DataFrame, path: str, max_samples: int, ord: str, start: int, ranged: bool = False) -> None:
+def _write(df: DataFrame, path: str, max_samples: int, ord: str, start: int, ranged: bool = False, span: tuple[int, int, int] | None = None) -> None:
     # By ranges of the ordinal: a shard may take several tasks, whose files follow one another.
     rows = assign_shard(require_columns(df), max_samples, ord, start).select("shard", ord, "input_ids", "attention_mask")
-    moved = (rows if ranged else rows.repartitionByRange(ord)).sortWithinPartitions("shard", ord).drop(ord)
+    if span is not None:  # ordinals from the first to before the second, in so many parts of one size
+        low, high, parts = map(int, span)
+        rows = rows.repartitionById(parts, F.expr(f"cast((`{ord}` - {low}) * {parts} div {high - low} as int)"))
+    elif not ranged:
+        rows = rows.repartitionByRange(ord)
+    moved = rows.sortWithinPartitions("shard", ord).drop(ord)
     (
         _stored(moved)  # widened after the shuffle
         .write.mode("overwrite")
@@ -141,11 +152,11 @@ def commit_once(
     return _commit(blocks, path, max_samples, ord, "all", total, total, done, (writer, micro_batch), ranged)
 
 
-def _commit(df, path, max_samples, ord, lang, start, total, done, origin=(None, None), ranged=False) -> DataFrame:
+def _commit(df, path, max_samples, ord, lang, start, total, done, origin=(None, None), ranged=False, span=None) -> DataFrame:
     spark = df.sparkSession
     number = _next_commit(spark, path)
     target = f"{path}/commit={number}"
-    _write(df, target, max_samples, ord, start, ranged)
+    _write(df, target, max_samples, ord, start, ranged, span)
     rows = _count_rows(spark, target)
     now = total + rows
     entry = (number, lang, rows, now, int(now // max_samples), now % max_samples, done, *origin)
@@ -162,22 +173,25 @@ def write_incremental(
     lang: str = "all",
     resume: bool = False,
     max_commits: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Commit every ``save_every`` rows, which bounds the work a failure loses.
 
     The blocks are staged once, sorted by ordinal, so that each commit reads its own
-    key range. ``max_commits`` stops a run early.
+    key range. ``stored`` blocks are a table in that order already, with ordinals from 0 without a gap; they are read as they are,
+    and a commit moves its rows to parts of one size. ``max_commits`` stops a run early.
     """
     spark = blocks.sparkSession
     if not resume and has_progress(spark, path):
         raise FileExistsError(f"{path} holds shards already; pass resume=True to go on")
     if lang in finished_languages(spark, path):
         return progress(spark, path)
-    staged = stage(
-        blocks.select(ord, "input_ids", "attention_mask").repartitionByRange(ord).sortWithinPartitions(ord),
-        "blocks",
-    )
+    staged = blocks.select(ord, "input_ids", "attention_mask")
+    if not stored:
+        staged = stage(staged.repartitionByRange(ord).sortWithinPartitions(ord), "blocks")
     n = staged.count()
+    size = int(staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = spark.sparkContext.defaultParallelism
     in_lang, total = _rows_done(spark, path, lang)
     offset, commits = total - in_lang, 0
     while in_lang < n or commits == 0:
@@ -185,7 +199,10 @@ def write_incremental(
             break
         upto = min(n, in_lang + save_every)
         part = staged.where((F.col(ord) >= in_lang) & (F.col(ord) < upto))
-        _commit(part, path, max_samples, ord, lang, offset, offset + in_lang, upto == n)
+        rows, span = upto - in_lang, None
+        if stored and rows:
+            span = in_lang, upto, max(min(cores, -(-rows // PART_ROWS)), -(-size * rows // (n * PART_BYTES)))
+        _commit(part, path, max_samples, ord, lang, offset, offset + in_lang, upto == n, span=span)
         in_lang, commits = upto, commits + 1
     return progress(spark, path)
 

@@ -274,5 +274,6 @@ class StreamShards:
         self.path, self.order, self.max_samples, self.writer = path, order, max_samples, writer
 
     def __call__(self, df: DataFrame, number: int) -> None:
-        rows = dense_ordinal(df, self.order, out="ord")
-        commit_once(rows, self.path, number, self.max_samples, writer=self.writer)
+        # The blocks move once, to the ranges in which they are written.
+        rows = dense_ordinal(df, self.order, out="ord", ranged=True)
+        commit_once(rows, self.path, number, self.max_samples, writer=self.writer, ranged=True)
