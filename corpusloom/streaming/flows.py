@@ -8,7 +8,8 @@ micro-batch overwrites what it wrote before and reads what its predecessor left.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +17,19 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import attention_mask, tokenize
 from corpusloom.operators.mix import interleave_documents
-from corpusloom.operators.order import dense_ordinal
+from corpusloom.operators.order import LIGHT_BITS, dense_ordinal
 from corpusloom.operators.pack import cut_blocks, pack_blocks
 from corpusloom.operators.rows import filter_nonempty, filter_valid_text
+from corpusloom.session import scratch_path
 from corpusloom.sources.files import delete_path, list_names, path_exists
 from corpusloom.sources.shards import MAX_SAMPLES_PER_SHARD, commit_once
 
 BLOCK_SCHEMA = "batch_id bigint, block_ord bigint, input_ids array<int>, attention_mask array<int>"
 PENDING_SCHEMA = "ord bigint, input_ids array<int>"
 STATE_SCHEMA = "batches bigint, blocks bigint, pending bigint"
+# Rows of token lists that a scan takes at a time, and bytes that a writer holds of them.
+READ_ROWS = 512
+GROUP_BYTES = 16 << 20
 
 
 def tokenize_stream(docs: DataFrame, **settings) -> DataFrame:
@@ -69,6 +74,19 @@ def forget(spark: SparkSession, folder: str, number: int) -> None:
     delete_path(spark, f"{folder}/{number - 2}")
 
 
+@contextmanager
+def kept(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` as a table in the scratch folder, read some rows at a time, for as long as the block lasts."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
+    path = scratch_path(spark, name)
+    try:
+        df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        delete_path(spark, path)
+
+
 class StreamPacker:
     """Packs a stream of token lists as ``pack_blocks`` packs a table.
 
@@ -76,6 +94,9 @@ class StreamPacker:
     unfinished batch, fewer than ``batch_size``, wait for the next micro-batch. With
     ``batch_size=None`` the whole stream is one batch, and fewer than ``block_size``
     ids wait. Within a micro-batch ``order`` gives the order of the documents.
+
+    What a micro-batch reads more than once is written to the scratch folder while it lasts: kept in
+    executors it would fill their memory, and what they put to disk they map into it again.
     """
 
     def __init__(
@@ -117,29 +138,35 @@ class StreamPacker:
     def __call__(self, df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         batches, blocks, pending = self._left(spark, number - 1)
-        df = df.select(self.order, "input_ids").persist()
-        if self.batch_size is None:  # the order is enough, and the ids stay; what waits comes first, as 0
-            fresh = df.select((F.col(self.order) + 1).alias("ord"), "input_ids")
-        else:
-            fresh = dense_ordinal(df, self.order, out="ord").select(
-                (F.col("ord") + pending).alias("ord"), "input_ids"
-            )
-        rows = self._pending(spark, number - 1).unionByName(fresh).persist()
-        try:
-            if self.batch_size is None:
-                self._step_continuous(rows, blocks, number)
+        with kept(df.select(self.order, "input_ids"), "arrived") as fresh:
+            if self.batch_size is None:  # the order is enough, and the ids stay; what waits comes first, as 0
+                rows = fresh.select((F.col(self.order) + 1).alias("ord"), "input_ids")
+                self._step_continuous(self._pending(spark, number - 1).unionByName(rows), blocks, number)
             else:
-                self._step_batches(rows, batches, number)
-        finally:
-            rows.unpersist()
-            df.unpersist()
+                self._step_batches(fresh, batches, pending, number)
+
+    def _numbered(self, df: DataFrame, before: int) -> DataFrame:
+        numbered = dense_ordinal(df, self.order, out="ord")
+        return numbered.select((F.col("ord") + before).alias("ord"), "input_ids")
 
-    def _step_batches(self, rows: DataFrame, batches: int, number: int) -> None:
-        n = rows.count()
+    def _step_batches(self, fresh: DataFrame, batches: int, pending: int, number: int) -> None:
+        spark = fresh.sparkSession
+        n = pending + fresh.count()
         full = n // self.batch_size
         cut = full * self.batch_size
-        packed = pack_blocks(rows.where(F.col("ord") < cut), self.block_size, self.batch_size)
-        waiting = rows.where(F.col("ord") >= cut).withColumn("ord", F.col("ord") - cut)
+        old = self._pending(spark, number - 1)
+        if full == 0:
+            packed = pack_blocks(self._pending(spark, -1), self.block_size, self.batch_size)
+            waiting = old.unionByName(self._numbered(fresh, pending))
+        else:
+            # The first row that waits is found by its key, so that the lists of those that wait are not numbered with the others.
+            keys = dense_ordinal(fresh.select(self.order), self.order, out="ord", row_bits=LIGHT_BITS)
+            first = keys.where(F.col("ord") == cut - pending).select(self.order).head()
+            ready, late = fresh, fresh.limit(0)
+            if first is not None:
+                ready, late = fresh.where(F.col(self.order) < first[0]), fresh.where(F.col(self.order) >= first[0])
+            packed = pack_blocks(old.unionByName(self._numbered(ready, pending)), self.block_size, self.batch_size)
+            waiting = self._numbered(late, 0)
         self._save(
             packed.withColumn("batch_id", F.col("batch_id") + batches),
             waiting,
@@ -148,8 +175,7 @@ class StreamPacker:
         )
 
     def _step_continuous(self, rows: DataFrame, blocks: int, number: int) -> None:
-        pieces = cut_blocks(rows, self.block_size, None).persist()
-        try:
+        with kept(cut_blocks(rows, self.block_size, None), "pieces") as pieces:
             full = F.size("input_ids") == self.block_size
             packed = (
                 pieces.where(full)
@@ -159,8 +185,6 @@ class StreamPacker:
             tail = pieces.where(~full).select(F.lit(0).cast("bigint").alias("ord"), "input_ids")
             counted = pieces.agg(F.count_if(full), F.count_if(~full)).head()
             self._save(packed, tail, (0, blocks + counted[0], counted[1]), number)
-        finally:
-            pieces.unpersist()
 
     def finish(self, spark: SparkSession) -> None:
         """Pack the last, unfinished batch; to be called when the stream has ended."""
